@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("records", "histories")
+FAMILIES = ("records", "histories", "rankings", "streams")
 
 
 def _load() -> None:

@@ -61,18 +61,21 @@ def undominated(df: DataFrame, id: str, a: str, m: int) -> DataFrame:
     and not the pool.
     """
     def skyline(frames):
-        ids, kept = [], np.zeros((0, m))
+        ids, kept = np.zeros(0, dtype=np.int64), np.zeros((0, m))
         for frame in frames:
             if not len(frame):
                 continue
             values = np.vstack([kept, stack(frame["a"])])
-            names = ids + frame["id"].tolist()
+            names = np.concatenate([ids, frame["id"].to_numpy()])
             order = np.argsort(-values.sum(1), kind="stable")
-            front: list[int] = []
-            for i in order:
-                if not any((values[j] >= values[i]).all() for j in front):
-                    front.append(i)
-            ids, kept = [names[i] for i in front], values[front]
+            values, names = values[order], names[order]
+            # The row with the largest sum left is undominated; drop all it covers, and go on.
+            front = []
+            while len(values):
+                front.append((names[0], values[0]))
+                free = ~(values[0] >= values).all(1)
+                values, names = values[free], names[free]
+            ids, kept = np.asarray([f[0] for f in front], dtype=np.int64), np.asarray([f[1] for f in front])
         yield pd.DataFrame({"id": ids, "a": list(kept)})
 
     rows = df.select(F.col(id).cast("bigint").alias("id"), F.col(a).alias("a"))

@@ -14,11 +14,12 @@ def maximize(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
     table[:rows, -1] = b
     table[-1, :cols] = -np.asarray(c, dtype=float)
     basis = list(range(cols, cols + rows))
-    for _ in range(20_000):
+    for step in range(20_000):
         entering = np.flatnonzero(table[-1, :-1] < -1e-11)
         if not len(entering):
             break
-        j = int(entering[0])  # smallest index first: no cycling
+        # Steepest column at first; smallest index later, which cannot cycle.
+        j = int(table[-1, :-1].argmin()) if step < 1_000 else int(entering[0])
         positive = np.flatnonzero(table[:rows, j] > 1e-11)
         if not len(positive):
             raise ArithmeticError("unbounded program")
@@ -26,9 +27,9 @@ def maximize(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
         tied = positive[ratio <= ratio.min() + 1e-13]
         i = int(min(tied, key=lambda r: basis[r]))
         table[i] /= table[i, j]
-        for k in range(rows + 1):
-            if k != i and table[k, j] != 0.0:
-                table[k] -= table[k, j] * table[i]
+        factor = table[:, j].copy()
+        factor[i] = 0.0
+        table -= np.outer(factor, table[i])
         basis[i] = j
     else:
         raise ArithmeticError("simplex did not finish")
@@ -41,9 +42,9 @@ def game(columns: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
     """max over q of min over rows of (columns @ q): weights, value and the witness over rows."""
     a = np.asarray(columns, dtype=float)
     scale = max(float(np.abs(a).max()), 1e-300)
-    shift = float(a.min()) / scale - 1.0
-    positive = a / scale - shift  # every entry at least 1
-    y, x, _ = maximize(np.ones(a.shape[0]), positive.T, np.ones(a.shape[1]))
+    # Losses of at least 1: minimizing the largest one has one constraint per row of the game.
+    loss = 1.0 + (a.max() - a) / scale
+    x, y, _ = maximize(np.ones(a.shape[1]), loss, np.ones(a.shape[0]))
     q, lam = x / x.sum(), y / y.sum()
     return q, float((a @ q).min()), lam
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("records", "histories", "rankings", "streams")
+FAMILIES = ("records", "histories", "rankings", "streams", "estimates", "graphs")
 
 
 def _load() -> None:

@@ -133,6 +133,8 @@ def with_views(names: list[str], sql: str) -> str:
         return sql
     head = ", ".join(f"{n} as ({VIEWS[n][1]})" for n in ordered)
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {head}, {body[15:]}"
     if body.lower().startswith("with "):
         return f"with {head}, {body[5:]}"
     return f"with {head} {body}"

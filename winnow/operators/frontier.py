@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.functions.vectors import dot_with, literal, norm, scaled, sum_array
+from winnow.functions.vectors import dot, dot_with, norm, scaled, sum_array, sum_by
 from winnow.plans.cut import cut
 from winnow.plans.smalllp import face, game, guarded
 
@@ -31,8 +31,8 @@ def response_with_floor(df: DataFrame, a: str, p: str, floor: float, m: int) ->
     if not 0 <= floor <= 1:
         raise ValueError("invalid floor")
     mean = df.agg(sum_array(a, m, F.col(p)).alias("mean")).select("mean").scalar()
-    mixed = F.zip_with(F.col(a), mean, lambda x, c: F.lit(floor) * c + F.lit(1 - floor) * x)
-    return df.withColumn(a, mixed)
+    mixed = F.zip_with(F.col(a), F.col("_mean"), lambda x, c: F.lit(floor) * c + F.lit(1 - floor) * x)
+    return df.withColumn("_mean", mean).withColumn(a, mixed).drop("_mean")
 
 
 def worst(a: str = "a") -> Column:
@@ -165,29 +165,33 @@ def dual_face_gain(old: DataFrame, new: DataFrame, id: str, a: str, m: int, tol:
 def kth_largest(df: DataFrame, value: str, k: int, bins: int = 1024) -> tuple[float, int, int]:
     """(x, above, equal): the k-th largest value, rows strictly above it and rows equal to it.
 
-    Counting in bins narrows the range until the bin of the k-th row holds one value, so no sort and
-    no gathering of rows is needed however many rows share a value.
+    Counting in bins narrows the range until the bin of the k-th row holds at most `bins` rows or one
+    value, so no sort and no gathering of rows is needed however many rows share a value.
     """
     ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n")).first()
-    lo, hi, above = ends["lo"], ends["hi"], 0
-    if not 1 <= k <= ends["n"]:
+    lo, hi, above, inside = ends["lo"], ends["hi"], 0, ends["n"]
+    if not 1 <= k <= inside:
         raise ValueError("k outside the table")
-    inside = df
-    while lo < hi:
+    while lo < hi and inside > bins:
         width = (hi - lo) / bins
-        slot = F.least(F.greatest(F.floor((F.col(value) - F.lit(lo)) / F.lit(width)), F.lit(0)), F.lit(bins - 1))
+        slot = f"least(greatest(floor(({value} - {lo!r}D) / {width!r}D), 0), {bins - 1})" if width > 0 else "0"
         rows = (
-            df.filter((F.col(value) >= F.lit(lo)) & (F.col(value) <= F.lit(hi)))
-            .groupBy((slot if width > 0 else F.lit(0)).alias("b"))
+            df.filter(f"{value} >= {lo!r}D and {value} <= {hi!r}D").groupBy(F.expr(slot).alias("b"))
             .agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")).collect()
         )
         for row in sorted(rows, key=lambda r: -r["lo"]):
             if above + row["n"] >= k:
-                lo, hi = row["lo"], row["hi"]
+                lo, hi, inside = row["lo"], row["hi"], row["n"]
                 break
             above += row["n"]
-    equal = inside.filter(F.col(value) == F.lit(lo)).count()
-    return float(lo), int(above), int(equal)
+    if lo == hi:
+        return float(lo), int(above), int(inside)
+    few = df.filter(f"{value} >= {lo!r}D and {value} <= {hi!r}D").groupBy(value).agg(F.count("*").alias("n")).collect()
+    for row in sorted(few, key=lambda r: -r[value]):
+        if above + row["n"] >= k:
+            return float(row[value]), int(above), int(row["n"])
+        above += row["n"]
+    raise ArithmeticError("rows changed between passes")
 
 
 @dataclass
@@ -319,22 +323,19 @@ def clipped(v: str, clip: float) -> Column:
 
 
 def response_interval(
-    targets: DataFrame, objective: str, v: str, updates: DataFrame, id: str, g: str, width: int, clip: float, delta: float = 0.05
+    targets: DataFrame, objective: str, v: str, updates: DataFrame, id: str, g: str, clip: float, delta: float = 0.05
 ) -> DataFrame:
     """(id, objective, mean, radius): clipped-mean responses with a simultaneous Hoeffding radius."""
     if clip <= 0 or not 0 < delta < 1:
         raise ValueError("clip/delta")
-    means = (
-        targets.withColumn("_c", clipped(v, clip)).groupBy(objective)
-        .agg(sum_array("_c", width).alias("s"), F.count("*").alias("n")).orderBy(objective).collect()
-    )
+    means = sorted(sum_by(targets.withColumn("_c", clipped(v, clip)), [objective], "_c").collect(), key=lambda r: r[objective])
     pool = updates.count()
     factor = np.log(2.0 * len(means) * pool / delta)
     parts = [
         F.struct(
             F.lit(row[objective]).alias("objective"),
-            dot_with(g, np.asarray(row["s"]) / row["n"]).alias("mean"),
-            (F.lit(float(clip * np.sqrt(2.0 * factor / row["n"]))) * norm(g)).alias("radius"),
+            dot_with(g, np.asarray(row["s"]) / row["w"]).alias("mean"),
+            (F.lit(float(clip * np.sqrt(2.0 * factor / row["w"]))) * norm(g)).alias("radius"),
         )
         for row in means
     ]
@@ -342,20 +343,18 @@ def response_interval(
 
 
 def descent_bound(
-    pool: DataFrame, g: str, q: str, width: int, targets: Sequence[Sequence[float]], step: float, smoothness: float,
+    pool: DataFrame, g: str, q: str, targets: Sequence[Sequence[float]], step: float, smoothness: float,
     gradient_error: float = 0.0, direction_error: float = 0.0, batch: int | None = None,
 ) -> DataFrame:
     """Per objective the smoothness lower bound of the loss decrease along the mean direction."""
     if step < 0 or smoothness < 0 or gradient_error < 0 or direction_error < 0 or (batch is not None and batch < 1):
         raise ValueError("negative bound")
     w = F.col(q)
-    row = pool.agg(
-        sum_array(g, width, w).alias("d"),
-        F.sum(w * F.aggregate(g, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))).alias("sq"),
-    ).first()
-    d = np.asarray(row["d"], dtype=float)
+    d = np.asarray(sum_by(pool, [], g, w).first()["s"], dtype=float)
     n = float(np.linalg.norm(d))
-    trace = max(row["sq"] - n * n, 0.0)
+    trace = 0.0
+    if batch is not None:
+        trace = max(pool.agg(F.sum(w * dot(g, g)).alias("sq")).first()["sq"] - n * n, 0.0)
     out = []
     for i, target in enumerate(targets):
         v = np.asarray(target, dtype=float)

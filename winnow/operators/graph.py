@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.operators.contracts import require_clean
 from winnow.plans.cut import cut
 from winnow.plans.ordered import with_group
 
-STEPS = 4
+STEPS = 5
 
 
 def personalized_pagerank(
@@ -26,24 +26,23 @@ def personalized_pagerank(
     if not 0 <= alpha < 1:
         raise ValueError("invalid damping")
     require_clean(edges.filter("w < 0").select("src", "dst", "w"), "negative edge")
-    nodes = cut(restart.select("node", F.col("p").cast("double").alias("p")))
+    nodes = cut(restart.selectExpr("node as dst", "cast(p as double) as p"))
     positive = edges.filter("w > 0").groupBy("src", "dst").agg(F.sum("w").alias("w"))
     out = positive.groupBy("src").agg(F.sum("w").alias("_t"))
-    steps = cut(positive.join(out, "src").select("src", "dst", (F.lit(alpha) * F.col("w") / F.col("_t")).alias("share")))
-    start = cut(nodes.select("node", F.col("p").alias("x")))
+    steps = cut(positive.join(out, "src").selectExpr("src", "dst", f"{float(alpha)!r}D * w / _t as share"))
+    start = cut(nodes.selectExpr("dst as src", "p as x"))
+    # Shares are summed map-side by destination, so a hub is never one task's list of edges.
+    inflow = F.expr("sum(x * share)").alias("inflow")
     for _ in range(0, max_iter, STEPS):
         x = start
         for _ in range(STEPS):
-            # Shares are summed map-side by destination, so a hub is never one task's list of edges.
-            moved = steps.join(x, steps["src"] == x["node"]).groupBy(F.col("dst").alias("node")).agg(
-                F.sum(F.col("x") * F.col("share")).alias("in")
-            )
-            x = nodes.join(moved, "node", "left").select("node", (F.coalesce("in", F.lit(0.0)) + F.col("p")).alias("x"))
-        both = cut(x.join(start.select("node", F.col("x").alias("_old")), "node"))
-        row = both.agg(F.sum(F.abs(F.col("x") - F.col("_old"))).alias("d"), F.sum("x").alias("s")).first()
-        start = both.select("node", "x")
+            moved = steps.join(x, "src").groupBy("dst").agg(inflow)
+            x = nodes.join(moved, "dst", "left").selectExpr("dst as src", "coalesce(inflow, 0D) + p as x")
+        both = cut(x.join(start.selectExpr("src", "x as old"), "src"))
+        row = both.selectExpr("abs(x - old) as d", "x").agg(F.sum("d").alias("d"), F.sum("x").alias("s")).first()
+        start = both.select("src", "x")
         if row["d"] < tol * row["s"]:
-            return start.select("node", (F.col("x") / F.lit(row["s"])).alias("rank"))
+            return start.select(F.col("src").alias("node"), (F.col("x") / F.lit(row["s"])).alias("rank"))
     raise RuntimeError("random walk did not converge")
 
 
@@ -57,22 +56,20 @@ def absorbing_value(
     """
     over = transitions.groupBy("src").agg(F.sum("p").alias("m")).filter(f"m > {1 + 1e-10}")
     require_clean(over, "rows of a substochastic matrix sum to more than one")
-    reward = cut(rewards.select("state", F.col("r").cast("double").alias("r")))
-    moves = cut(transitions.select("src", "dst", (F.col("p") * F.lit(float(discount))).alias("p")))
-    value = reward.select("state", F.col("r").alias("value"))
-    start = cut(value)
+    reward = cut(rewards.selectExpr("state as src", "cast(r as double) as r"))
+    moves = cut(transitions.selectExpr("src", "dst", f"p * {float(discount)!r}D as p"))
+    start = cut(reward.selectExpr("src as dst", "r as value"))
+    ahead = F.expr("sum(p * value)").alias("ahead")
     for _ in range(0, max_iter, STEPS):
         value = start
         for _ in range(STEPS):
-            ahead = moves.join(value, moves["dst"] == value["state"]).groupBy(F.col("src").alias("state")).agg(
-                F.sum(F.col("p") * F.col("value")).alias("next")
-            )
-            value = reward.join(ahead, "state", "left").select("state", (F.col("r") + F.coalesce("next", F.lit(0.0))).alias("value"))
-        both = cut(value.join(start.select("state", F.col("value").alias("_old")), "state"))
-        row = both.agg(F.max(F.abs(F.col("value") - F.col("_old"))).alias("d"), F.max(F.abs("value")).alias("v")).first()
-        start = both.select("state", "value")
+            moved = moves.join(value, "dst").groupBy("src").agg(ahead)
+            value = reward.join(moved, "src", "left").selectExpr("src as dst", "r + coalesce(ahead, 0D) as value")
+        both = cut(value.join(start.selectExpr("dst", "value as old"), "dst"))
+        row = both.selectExpr("abs(value - old) as d", "abs(value) as v").agg(F.max("d").alias("d"), F.max("v").alias("v")).first()
+        start = both.select("dst", "value")
         if row["d"] <= tol * (1 + row["v"]):
-            return start
+            return start.select(F.col("dst").alias("state"), "value")
     raise ValueError("dynamics are not absorbing")
 
 

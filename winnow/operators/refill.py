@@ -67,6 +67,19 @@ def _capped(pool: DataFrame, keys: list[str], max_swaps: int, cap: int, block: i
     counts: dict = {}
     inside: dict = defaultdict(list)
     swaps, gone, last = [], set(), None
+
+    def count_groups(groups: set) -> DataFrame | None:
+        """Selected rows per group, for groups not counted yet; their selected rows."""
+        fresh = sorted(groups - set(counts))
+        if not fresh:
+            return None
+        mine = chosen.join(spark.createDataFrame([(g,) for g in fresh], "grp string"), "grp", "left_semi")
+        counts.update(dict.fromkeys(fresh, 0))
+        counts.update({r["grp"]: r["n"] for r in mine.groupBy("grp").agg(F.count("*").alias("n")).collect()})
+        return mine
+
+    count_groups({r["grp"] for r in worst})
+    listed: set = set()
     while len(swaps) < max_swaps:
         rest = arriving if last is None else arriving.filter(
             (F.col("score") < last["score"]) | ((F.col("score") == last["score"]) & (F.col("id") > last["id"]))
@@ -75,13 +88,12 @@ def _capped(pool: DataFrame, keys: list[str], max_swaps: int, cap: int, block: i
         if not got:
             break
         last = got[-1]
-        fresh = sorted({r["grp"] for r in got} - set(counts))
-        if fresh:
-            names = spark.createDataFrame([(g,) for g in fresh], "grp string")
-            mine = chosen.join(names, "grp", "left_semi")
-            sizes = {r["grp"]: r["n"] for r in mine.groupBy("grp").agg(F.count("*").alias("n")).collect()}
-            for g in fresh:
-                counts[g] = counts.get(g, 0) + sizes.get(g, 0)
+        count_groups({r["grp"] for r in got})
+        # Only a full group can be confined to its own rows, and only then are they needed.
+        full = sorted({r["grp"] for r in got if counts[r["grp"]] + len(got) >= cap} - listed)
+        if full:
+            listed.update(full)
+            mine = chosen.join(spark.createDataFrame([(g,) for g in full], "grp string"), "grp", "left_semi")
             for r in top_per_group(mine, ["grp", *keys], [F.col("score"), F.col("id")], max_swaps, "_r").collect():
                 inside[(r["grp"], *[r[k] for k in keys])].append(r)
         for r in got:
@@ -98,10 +110,6 @@ def _capped(pool: DataFrame, keys: list[str], max_swaps: int, cap: int, block: i
             if j is None or r["score"] <= j["score"]:
                 continue
             gone.add(j["id"])
-            if j["grp"] not in counts:
-                counts[j["grp"]] = chosen.filter(F.col("grp") == j["grp"]).count()
-                for x in top_per_group(chosen.filter(F.col("grp") == j["grp"]), ["grp", *keys], [F.col("score"), F.col("id")], max_swaps, "_r").collect():
-                    inside[(x["grp"], *[x[k] for k in keys])].append(x)
             counts[j["grp"]] -= 1
             counts[r["grp"]] += 1
             swaps.append((r["id"], j["id"], float(r["score"] - j["score"]), int(r["cost"] - j["cost"]), float(r["score"])))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.functions.keys import hash48, seeded
-from winnow.functions.vectors import dot_with, mean_array, minus, norm
+from winnow.functions.vectors import dot_with, mean_by, minus, norm, squared_distance
 from winnow.plans.cut import cut
 from winnow.plans.ordered import top_per_group, with_group
 from winnow.plans.partials import array_sum, stack
@@ -60,15 +60,15 @@ def random_projection(df: DataFrame, v: str, width: int, dim: int, seed: int = 0
     return times(df, v, projection_matrix(width, dim, seed), out)
 
 
-def history_sensitive(full: DataFrame, controls: DataFrame, id: str, v: str, width: int) -> DataFrame:
+def history_sensitive(full: DataFrame, controls: DataFrame, id: str, v: str) -> DataFrame:
     """(id, v): the full vector minus the mean of its controls; rows without a control drop out."""
-    mean = controls.groupBy(id).agg(mean_array(v, width).alias("_mean"))
+    mean = mean_by(controls, [id], v, out="_mean")
     return full.join(mean, id).select(id, minus(v, "_mean").alias(v))
 
 
-def alignment(df: DataFrame, v: str, reference: DataFrame, ref_v: str, width: int, cosine: bool = True, out: str = "score") -> DataFrame:
+def alignment(df: DataFrame, v: str, reference: DataFrame, ref_v: str, cosine: bool = True, out: str = "score") -> DataFrame:
     """Add out: signed cosine (or dot) with the mean reference vector; a vanishing centroid is an error."""
-    centroid = np.asarray(reference.agg(mean_array(ref_v, width).alias("m")).first()["m"], dtype=float)
+    centroid = np.asarray(mean_by(reference, [], ref_v).first()["m"], dtype=float)
     size = float(np.linalg.norm(centroid))
     if size < 1e-12:
         raise ValueError("reference centroid vanishes")
@@ -138,27 +138,18 @@ def farthest_first(df: DataFrame, id: str, v: str, k: int, seed: int = 0, every:
     """
     pool = cut(df.select(F.col(id).alias("id"), F.col(v).alias("v")))
     first = pool.agg(F.min_by(F.struct("id", "v"), seeded(seed, "id")).alias("b")).first()["b"]
-    chosen, fresh = [first["id"]], [np.asarray(first["v"], dtype=float)]
-    table = pool.withColumn("d", F.lit(float("inf")))
-
-    def updated(table: DataFrame, points: list[np.ndarray]) -> DataFrame:
-        d = F.col("d")
-        for x in points:
-            gap = F.aggregate(F.zip_with("v", F.array(*[F.lit(float(t)) for t in x]), lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda acc, t: acc + t)
-            d = F.least(d, gap)
-        return table.withColumn("d", d)
-
+    chosen, point = [first["id"]], first["v"]
+    table = pool.withColumn("d", F.expr("double('infinity')"))
     while len(chosen) < k:
-        now = updated(table, fresh)
-        if len(fresh) >= every:
-            table, fresh = cut(now), []
-            now = table
-        rest = now.filter(~F.col("id").isin(chosen))
-        best = rest.agg(F.max_by(F.struct("id", "v"), F.struct(F.round("d", 12), -F.col("id"))).alias("b")).first()["b"]
+        table = table.withColumn("d", F.least("d", squared_distance("v", point)))
+        if len(chosen) % every == 0:
+            table = cut(table)
+        rest = table.filter(~F.col("id").isin(chosen))
+        best = rest.agg(F.expr("max_by(struct(id, v), struct(round(d, 12), -id))").alias("b")).first()["b"]
         if best is None:
             break
         chosen.append(best["id"])
-        fresh.append(np.asarray(best["v"], dtype=float))
+        point = best["v"]
     return chosen
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 RUNTIME = {
@@ -16,10 +20,25 @@ RUNTIME = {
 }
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="winnow-ship-"), "winnow"), "zip", root, "winnow")
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL settings to an existing session."""
+    """Apply the runtime SQL settings to an existing session and ship the package to its workers."""
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 

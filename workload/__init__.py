@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("records", "histories", "rankings", "streams", "estimates", "graphs")
+FAMILIES = ("records", "histories", "rankings", "streams", "estimates", "graphs", "vectors", "selections", "frontiers")
 
 
 def _load() -> None:

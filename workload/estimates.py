@@ -333,10 +333,10 @@ def acq_rank_acquisition(spark, sf):
 @query("acq_best_small_batch")
 def acq_best_small_batch(spark, sf):
     """Which up to three label centroids would raise the margin of the pool of labels 5 to 9."""
-    from winnow.functions.vectors import mean_array
+    from winnow.functions.vectors import mean_by
 
     rows = T.wide(spark, sf)
-    centers = rows.groupBy("label").agg(mean_array("a", 3).alias("a")).select(
+    centers = mean_by(rows, ["label"], "a", out="a").select(
         F.col("label").cast("bigint").alias("id"), "a", (F.col("label") % 3 + 1).alias("cost")
     )
     out = A.best_small_batch(rows.filter("label >= 5"), centers, "id", "a", "cost", 5, 3)

@@ -39,7 +39,7 @@ def grf_personalized_pagerank(spark, sf):
     ev = T.ev(spark, sf)
     n = ev.agg(F.count("*").alias("n")).select("n").scalar()
     restart = ev.groupBy(F.col("item_id").alias("node")).agg((F.count("*") / n).alias("p"))
-    return G.personalized_pagerank(_edges(spark, sf), restart, 0.5, 1e-10).select("node", r("rank").alias("rank"))
+    return G.personalized_pagerank(_edges(spark, sf), restart, 0.5, 1e-9).select("node", r("rank").alias("rank"))
 
 
 @query(
@@ -58,7 +58,7 @@ def grf_absorbing_value(spark, sf):
     out = edges.groupBy("src").agg(F.sum("w").alias("t"))
     moves = edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("p"))
     rewards = T.ev(spark, sf).groupBy(F.col("item_id").alias("state")).agg(F.avg("value").alias("r"))
-    return G.absorbing_value(moves, rewards, 0.5, 1e-12).select("state", r("value", 4).alias("value"))
+    return G.absorbing_value(moves, rewards, 0.5, 1e-10).select("state", r("value", 4).alias("value"))
 
 
 _USER = """u as (select user_id, domain, count(*) as n, avg(value) as lower from ev group by all),

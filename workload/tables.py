@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.functions.keys import stable_bucket
+from winnow.functions.vectors import sum_by
 from winnow.operators.contracts import record_keys
 from winnow.operators.history import with_history
 from winnow.session import tune
@@ -124,12 +126,9 @@ def vec(spark: SparkSession, sf: str) -> DataFrame:
 
 def targets(spark: SparkSession, sf: str) -> list[list[float]]:
     """The three target vectors: three label centroids less the global one (driver-sized)."""
-    from winnow.functions.vectors import mean_array
-
-    v = vec(spark, sf)
-    centroids = v.filter("label < 3").groupBy("label").agg(mean_array("v", D).alias("m")).orderBy("label").collect()
-    overall = v.agg(mean_array("v", D).alias("m")).first()["m"]
-    return [[a - b for a, b in zip(c["m"], overall)] for c in centroids]
+    sums = {r["label"]: (np.asarray(r["s"]), r["w"]) for r in sum_by(vec(spark, sf), ["label"], "v").collect()}  # one row per label
+    overall = sum(s for s, _ in sums.values()) / sum(w for _, w in sums.values())
+    return [(sums[k][0] / sums[k][1] - overall).tolist() for k in range(3)]
 
 
 def wide(spark: SparkSession, sf: str) -> DataFrame:

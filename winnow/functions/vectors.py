@@ -38,18 +38,21 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return total(F.zip_with(col(a), col(b), lambda x, y: x.cast("double") * y.cast("double")))
 
 
-def dot_with(a: Column | str, weights: Sequence[float]) -> Column:
-    """Dot product with fixed weights.
+def dot_sql(a: str, weights: Sequence[float]) -> str:
+    """SQL text of the dot product of an array column with fixed weights.
 
     A few weights are unrolled into generated code; for long vectors the higher-order form was
     measured three times faster than the unrolled one.
     """
     w = np.asarray(weights, dtype=float).ravel()
-    if not isinstance(a, str):
-        return dot(a, literal(w))
     if len(w) > 8:
-        return F.expr(f"aggregate(zip_with({a}, {array_sql(w)}, (x, y) -> cast(x as double) * y), 0D, (acc, x) -> acc + x)")
-    return F.expr(" + ".join(f"cast({a}[{i}] as double) * {float(x)!r}D" for i, x in enumerate(w)))
+        return f"aggregate(zip_with({a}, {array_sql(w)}, (x, y) -> cast(x as double) * y), 0D, (acc, x) -> acc + x)"
+    return " + ".join(f"cast({a}[{i}] as double) * {float(x)!r}D" for i, x in enumerate(w))
+
+
+def dot_with(a: Column | str, weights: Sequence[float]) -> Column:
+    """Dot product with fixed weights."""
+    return F.expr(dot_sql(a, weights)) if isinstance(a, str) else dot(a, literal(weights))
 
 
 def norm(a: Column | str) -> Column:

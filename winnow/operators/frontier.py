@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.functions.vectors import dot, dot_with, norm, scaled, sum_array, sum_by
+from winnow.functions.vectors import dot, dot_sql, dot_with, norm, scaled, sum_array, sum_by
 from winnow.plans.cut import cut
 from winnow.plans.smalllp import face, game, guarded
 
@@ -204,33 +204,32 @@ class Fill:
     at: float
     low: float
 
-    def column(self, a: str) -> Column:
-        s = F.round(priced(a, self.witness), 12)
-        return F.when(s > self.threshold, self.high).when(s == self.threshold, self.at).otherwise(self.low)
+    def sql(self, a: str) -> str:
+        if np.isinf(self.threshold):
+            return f"{self.high!r}D"
+        s = f"round({dot_sql(a, self.witness)}, 12)"
+        return f"case when {s} > {self.threshold!r}D then {self.high!r}D when {s} = {self.threshold!r}D then {self.at!r}D else {self.low!r}D end"
 
 
 def fill(pool: DataFrame, a: str, witness: Sequence[float], n: int, low: float, high: float, m: int) -> tuple[Fill, np.ndarray]:
     """The weighting in the box [low, high] that maximizes witness.(A q), and its A q."""
-    scores = pool.select(F.round(priced(a, witness), 12).alias("s"))
+    witness = [float(x) for x in witness]
     left = 1.0 - n * low
     room = high - low
     full = n if room <= 0 else min(n, int(np.floor(left / room + 1e-9)))
     if full >= n:
-        one = Fill(list(witness), -np.inf, high, high, low)
+        one = Fill(witness, -np.inf, high, high, low)
     else:
+        scores = pool.selectExpr(f"round({dot_sql(a, witness)}, 12) as s")
         x, above, equal = kth_largest(scores, "s", full + 1)
-        one = Fill(list(witness), x, high, low + (left - above * room) / equal, low)
-    total = pool.agg(*[F.sum(one.column(a) * F.element_at(a, i + 1)).alias(f"g{i}") for i in range(m)]).first()
-    return one, np.asarray([total[f"g{i}"] for i in range(m)])
+        one = Fill(witness, x, high, float(low + (left - above * room) / equal), low)
+    total = pool.selectExpr("a", f"{one.sql(a)} as w").agg(F.array(*[F.expr(f"sum(w * a[{i}])") for i in range(m)]).alias("g")).first()
+    return one, np.asarray(total["g"])
 
 
 def mixed_fills(fills: list[Fill], weights: Sequence[float], a: str) -> Column:
     """The weights of a mix of fills, as a column over the pool."""
-    out = F.lit(0.0)
-    for f, w in zip(fills, weights):
-        if w > 0:
-            out = out + F.lit(float(w)) * f.column(a)
-    return out
+    return F.expr(" + ".join(f"{float(w)!r}D * ({f.sql(a)})" for f, w in zip(fills, weights) if w > 0))
 
 
 def _box(n: int, multiple: float, floor: float) -> tuple[float, float]:

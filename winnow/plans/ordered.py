@@ -22,6 +22,7 @@ from winnow.plans.cut import cut
 HOT_ROWS = 2_000_000
 SLICE = "_slice"
 ALL = "_all"
+COLD = -1  # the slice of keys below the limit; slices of hot keys count from 0
 
 
 def hot_rows(df: DataFrame) -> int:
@@ -47,14 +48,14 @@ def sliced(
     hot = hot_keys(df if count_on is None else count_on, keys).select(*keys, "_n")
     found = hot.agg(F.count("*").alias("keys"), F.sum("_n").alias("rows")).first()
     if not found["keys"]:
-        return df.withColumn(SLICE, F.lit(0)), keys, False
+        return df.withColumn(SLICE, F.lit(COLD)), keys, False
     slices = max(2, -(-int(found["rows"]) // hot_rows(df)) * 2)
     hot = cut(hot.drop("_n"))
     big = df.join(hot, keys, "left_semi")
     big = big.repartitionByRange(slices, *[F.col(k) for k in keys], *order)
     # The slice number must not change when a lost task is run again, so it is written down.
     big = cut(big.withColumn(SLICE, F.spark_partition_id()))
-    rest = df.join(hot, keys, "left_anti").withColumn(SLICE, F.lit(0))
+    rest = df.join(hot, keys, "left_anti").withColumn(SLICE, F.lit(COLD))
     return rest.unionByName(big), keys, True
 
 
@@ -76,7 +77,7 @@ def with_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     local = df.withColumn(out, F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(*order)).cast("bigint"))
     if not cut_any:
         return _tidy(local)
-    sizes = df.groupBy(*keys, SLICE).agg(F.count("*").alias("_n"))
+    sizes = df.filter(F.col(SLICE) != COLD).groupBy(*keys, SLICE).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = sizes.withColumn("_carry", F.sum("_n").over(before)).filter(F.col("_carry").isNotNull())
     joined = _attach(local, carry, keys, "_carry")
@@ -92,7 +93,7 @@ def with_running_sum(
     local = df.withColumn(out, F.sum(value).over(upto))
     if not cut_any:
         return _tidy(local)
-    sums = df.groupBy(*keys, SLICE).agg(F.sum(value).alias("_s"))
+    sums = df.filter(F.col(SLICE) != COLD).groupBy(*keys, SLICE).agg(F.sum(value).alias("_s"))
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = sums.withColumn("_carry", F.sum("_s").over(before)).filter(F.col("_carry").isNotNull())
     joined = _attach(local, carry, keys, "_carry")
@@ -110,16 +111,12 @@ def with_previous(
     if not cut_any:
         return _tidy(local)
     # Each slice hands on its last h values; h slices back always hold at least h rows.
-    newest = [c.desc() for c in order]
-    ends = df.filter(F.col(SLICE) >= 0).withColumn(
-        "_back", F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(*newest))
-    )
-    ends = ends.filter(F.col("_back") <= h)
+    hot = df.filter(F.col(SLICE) != COLD)
+    numbered = hot.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(*order)))
+    sizes = hot.groupBy(*keys, SLICE).agg(F.count("*").alias("_n"))
+    ends = numbered.join(sizes, [*keys, SLICE]).filter(F.col("_rn") > F.col("_n") - h)
     tails = ends.groupBy(*keys, SLICE).agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.struct((-F.col("_back")).alias("o"), F.col(value).alias("v")))),
-            lambda s: s["v"],
-        ).alias("_tail")
+        F.transform(F.sort_array(F.collect_list(F.struct(F.col("_rn").alias("o"), F.col(value).alias("v")))), lambda s: s["v"]).alias("_tail")
     )
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(-h, -1)
     carry = tails.withColumn("_carry", F.flatten(F.collect_list("_tail").over(before))).filter(F.size("_carry") > 0)

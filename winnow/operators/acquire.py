@@ -76,7 +76,7 @@ def undominated(df: DataFrame, id: str, a: str, m: int) -> DataFrame:
                 free = ~(values[0] >= values).all(1)
                 values, names = values[free], names[free]
             ids, kept = np.asarray([f[0] for f in front], dtype=np.int64), np.asarray([f[1] for f in front])
-        yield pd.DataFrame({"id": ids, "a": list(kept)})
+        yield pd.DataFrame({"id": ids, "a": pd.Series(list(kept), dtype=object)})
 
     rows = df.select(F.col(id).cast("bigint").alias("id"), F.col(a).alias("a"))
     schema = "id bigint, a array<double>"

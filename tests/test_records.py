@@ -101,11 +101,12 @@ def test_trie_paths_return_the_distribution(spark):
 
 
 def test_history_category_ties_by_name(spark):
-    rows = spark.createDataFrame([("e", "u", "x", "d", 9, [("p", 1), ("q", 2), ("r", 3)])],
-                                 "event_id string, user_id string, item_id string, domain string, timestamp bigint, history array<struct<item_id:string,timestamp:bigint>>")
+    events = spark.createDataFrame([("e1", "u", "p", "d", 1), ("e2", "u", "q", "d", 2), ("e3", "u", "r", "d", 3), ("e4", "u", "x", "d", 9)],
+                                   "event_id string, user_id string, item_id string, domain string, timestamp bigint")
     cat = spark.createDataFrame([("d", "p", "P", "zoo", "t"), ("d", "q", None, "art", "t"), ("d", "r", None, None, "t")],
                                 "domain string, item_id string, answer string, category string, title string")
-    got = H.history_category_task(rows, cat, 10, 20).first()
+    rows = H.task_rows(events, cat)
+    got = H.history_category_task(rows, 10, 20).filter("root_id = 'e4'").first()
     assert got["output_text"] == "art" and got["input_text"].startswith('History: ["P", "q", "r"]\n')
 
 

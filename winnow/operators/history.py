@@ -51,90 +51,78 @@ def with_history(events: DataFrame, h: int = 20) -> DataFrame:
     )
 
 
+def task_rows(events: DataFrame, catalog: DataFrame, h: int = 20) -> DataFrame:
+    """Events with the catalog's answer, category and title, and a history that carries them too.
+
+    The catalog is joined once per event, before the history is built, instead of once per history
+    item; the tasks below are then projections of one row.
+    """
+    known = catalog.select("domain", "item_id", "answer", "category", "title")
+    rows = events.join(known, ["domain", "item_id"], "left").withColumn("answer", F.coalesce("answer", "item_id"))
+    item = F.struct("item_id", "timestamp", "answer", "category")
+    return strict_history(rows, ["domain", "user_id"], "timestamp", item, h, ["event_id"])
+
+
 def time_split(t: Column | str, train_end, select_end, middle: str = "select") -> Column:
     c = F.col(t) if isinstance(t, str) else t
     return F.when(c < train_end, F.lit("train")).when(c < select_end, F.lit(middle)).otherwise(F.lit("test"))
 
 
-def with_answers(rows: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Replace each history item by (pos, item_id, answer, category); at most h rows per event."""
-    spread = rows.select("event_id", F.posexplode("history").alias("pos", "h"), "domain")
-    spread = spread.select("event_id", "pos", "domain", F.col("h.item_id").alias("item_id"))
-    known = catalog.select("domain", "item_id", "answer", "category")
-    return spread.join(known, ["domain", "item_id"], "left").withColumn("answer", F.coalesce("answer", "item_id"))
-
-
 def prompt_text(past: Column, ask: str) -> Column:
     return F.concat(F.lit("History: "), json_list(past), F.lit("\n" + ask))
 
 
-def next_item_task(rows: DataFrame, catalog: DataFrame, train_end: int, select_end: int) -> DataFrame:
-    """One row per event that has a history."""
-    rows = rows.filter(F.size("history") > 0)
-    past = _past_answers(with_answers(rows, catalog))
-    target = catalog.select("domain", "item_id", F.col("answer").alias("_answer"))
-    return (
-        rows.join(past, "event_id")
-        .join(target, ["domain", "item_id"], "left")
-        .select(
-            F.concat("event_id", F.lit(":next")).alias("record_id"),
-            F.col("event_id").alias("root_id"),
-            "domain",
-            F.lit("temporal_events").alias("source"),
-            time_split("timestamp", train_end, select_end).alias("split"),
-            "user_id",
-            F.col("timestamp").alias("target_timestamp"),
-            F.transform("history", lambda x: x["timestamp"]).alias("history_timestamps"),
-            F.lit("next_item").alias("task"),
-            prompt_text(F.col("past"), "Recommend the next item.").alias("input_text"),
-            F.coalesce("_answer", "item_id").alias("output_text"),
-            F.lit("observed").alias("label_origin"),
-        )
+def _part(name: str) -> Column:
+    return F.transform("history", lambda x: x[name])
+
+
+def next_item_task(rows: DataFrame, train_end: int, select_end: int) -> DataFrame:
+    """One row per event that has a history; rows come from task_rows."""
+    return rows.filter(F.size("history") > 0).select(
+        F.concat("event_id", F.lit(":next")).alias("record_id"),
+        F.col("event_id").alias("root_id"),
+        "domain",
+        F.lit("temporal_events").alias("source"),
+        time_split("timestamp", train_end, select_end).alias("split"),
+        "user_id",
+        F.col("timestamp").alias("target_timestamp"),
+        _part("timestamp").alias("history_timestamps"),
+        F.lit("next_item").alias("task"),
+        prompt_text(_part("answer"), "Recommend the next item.").alias("input_text"),
+        F.col("answer").alias("output_text"),
+        F.lit("observed").alias("label_origin"),
     )
 
 
-def _past_answers(spread: DataFrame) -> DataFrame:
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "answer")))
-    return spread.groupBy("event_id").agg(F.transform(ordered, lambda s: s["answer"]).alias("past"))
+def most_frequent(values: Column) -> Column:
+    """The most frequent element of a short array, ties by the smallest; null when it is empty."""
+    counted = F.transform(F.array_distinct(values), lambda c: F.struct((-F.size(F.filter(values, lambda x: x == c))).alias("n"), c.alias("c")))
+    return F.array_min(counted)["c"]
 
 
-def history_category_task(rows: DataFrame, catalog: DataFrame, train_end: int, select_end: int) -> DataFrame:
+def history_category_task(rows: DataFrame, train_end: int, select_end: int) -> DataFrame:
     """Train rows only: the most frequent category of the history, ties by name."""
-    rows = rows.filter((F.size("history") > 0) & (F.col("timestamp") < train_end))
-    spread = with_answers(rows, catalog)
-    # The history has at most h entries, so its categories are counted inside the row.
-    per_event = spread.groupBy("event_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "answer"))), lambda s: s["answer"]).alias("past"),
-        F.collect_list(F.when(F.col("category") != "", F.col("category"))).alias("cats"),
-    )
-    best = F.array_min(
-        F.transform(
-            F.array_distinct("cats"),
-            lambda c: F.struct((-F.size(F.filter("cats", lambda x: x == c))).alias("n"), c.alias("c")),
-        )
-    )
-    return (
-        rows.join(per_event.filter(F.size("cats") > 0), "event_id")
-        .select(
-            F.concat("event_id", F.lit(":history_category")).alias("record_id"),
-            F.col("event_id").alias("root_id"),
-            "domain",
-            F.lit("temporal_events").alias("source"),
-            time_split("timestamp", train_end, select_end).alias("split"),
-            "user_id",
-            F.lit("history_category_summary").alias("task"),
-            prompt_text(F.col("past"), "Return its most frequent recorded category.").alias("input_text"),
-            best["c"].alias("output_text"),
-            F.lit("history-derived-not-user-intent").alias("label_origin"),
-        )
+    cats = F.filter(_part("category"), lambda c: c.isNotNull() & (c != ""))
+    train = rows.filter((F.size("history") > 0) & (F.col("timestamp") < train_end)).withColumn("_cats", cats)
+    return train.filter(F.size("_cats") > 0).select(
+        F.concat("event_id", F.lit(":history_category")).alias("record_id"),
+        F.col("event_id").alias("root_id"),
+        "domain",
+        F.lit("temporal_events").alias("source"),
+        time_split("timestamp", train_end, select_end).alias("split"),
+        "user_id",
+        F.lit("history_category_summary").alias("task"),
+        prompt_text(_part("answer"), "Return its most frequent recorded category.").alias("input_text"),
+        most_frequent(F.col("_cats")).alias("output_text"),
+        F.lit("history-derived-not-user-intent").alias("label_origin"),
     )
 
 
 def id_to_title_task(rows: DataFrame, catalog: DataFrame, train_end: int) -> DataFrame:
     """One train row per catalog item with a title that a training row shows or targets."""
     rows = rows.filter((F.size("history") > 0) & (F.col("timestamp") < train_end))
-    shown = rows.select("domain", F.explode(F.transform("history", lambda x: x["item_id"])).alias("item_id"))
-    seen = rows.select("domain", "item_id").union(shown).distinct()
+    # Repeats are dropped map-side, so at most one row per item leaves a task.
+    seen = rows.select("domain", F.explode(F.array_append(_part("item_id"), F.col("item_id"))).alias("item_id")).distinct()
     titled = catalog.filter(F.length("title") > 0)
     root = F.sha2(json_array(json_text(F.lit("catalog")), json_text("domain"), json_text("item_id")), 256)
     return seen.join(titled, ["domain", "item_id"]).select(

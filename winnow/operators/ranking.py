@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from winnow.operators.contracts import require_clean
 from winnow.plans.bootstrap import interval, poisson_weights
+from winnow.plans.cut import cut
 from winnow.plans.ordered import last_items, top_per_group
 from winnow.plans.partials import array_sum
 
@@ -130,7 +131,7 @@ def paired_bootstrap(left: DataFrame, right: DataFrame, repeats: int = 2000, see
     """
     l = left.select("record_id", rank_scores(F.col("rank"), 10)[1].alias("_l"), F.lit(1).alias("_in_l"))
     r = right.select("record_id", rank_scores(F.col("rank"), 10)[1].alias("_r"), F.lit(1).alias("_in_r"))
-    both = l.join(r, "record_id", "full_outer")
+    both = cut(l.join(r, "record_id", "full_outer"))
     require_clean(both.filter("_in_l is null or _in_r is null").select("record_id"), "paired records differ")
     rows = both.select(F.xxhash64("record_id").alias("h"), (F.col("_l") - F.col("_r")).alias("d"))
 

@@ -15,16 +15,22 @@ from winnow.plans.ordered import top_per_group
 SWAP = "id_in bigint, id_out bigint, gain double, token_delta bigint, score_in double"
 
 
-def _pairs(pool: DataFrame, selected: str, keys: list[str], into: list[Column], out: list[Column], most: int) -> DataFrame:
-    """The r-th incoming row of a group meets its r-th outgoing row."""
-    rows = pool.select("id", "score", "cost", "cell", selected)
-    arriving = top_per_group(rows.filter(~F.col(selected)), keys, into, most, "_r")
-    leaving = top_per_group(rows.filter(F.col(selected)), keys, out, most, "_r")
-    l = leaving.select(*keys, "_r", F.col("id").alias("id_out"), F.col("score").alias("score_out"), F.col("cost").alias("cost_out"))
-    a = arriving.select(*keys, "_r", F.col("id").alias("id_in"), F.col("score").alias("score_in"), F.col("cost").alias("cost_in"))
-    return a.join(l, [*keys, "_r"]).select(
-        "id_in", "id_out", (F.col("score_in") - F.col("score_out")).alias("gain"),
-        (F.col("cost_in") - F.col("cost_out")).cast("bigint").alias("token_delta"), "score_in",
+def _pairs(pool: DataFrame, keys: list[str], into: Column, out: Column, most: int) -> DataFrame:
+    """The r-th incoming row of a group meets its r-th outgoing row.
+
+    Both sides are ranked in one pass over the pool; what is left of it is at most `most` rows per
+    group and side.
+    """
+    rows = pool.select("id", "score", "cost", "cell", "selected", F.when(F.col("selected"), out).otherwise(into).alias("_o"))
+    ranked = top_per_group(rows, [*keys, "selected"], [F.col("_o"), F.col("id")], most, "_r")
+    one = F.struct("id", "score", "cost", "_o")
+    met = ranked.groupBy(*keys, "_r").agg(
+        F.max(F.when(~F.col("selected"), one)).alias("i"), F.max(F.when(F.col("selected"), one)).alias("o")
+    )
+    return met.filter("i is not null and o is not null").select(
+        F.col("i.id").alias("id_in"), F.col("o.id").alias("id_out"), (F.col("i.score") - F.col("o.score")).alias("gain"),
+        (F.col("i.cost") - F.col("o.cost")).cast("bigint").alias("token_delta"), F.col("i.score").alias("score_in"),
+        F.col("i._o").alias("_o"),
     )
 
 
@@ -38,13 +44,11 @@ def refill(
     """
     rows = pool.filter(~F.col("cell").isin(list(protected)) | F.col("selected")) if protected else pool
     keys = ["cell", "cost"] if exact_token_match else ["cell"]
-    into = [F.col("score").desc(), F.col("id")]
-    out = [F.col("score"), F.col("id")]
     if max_swaps < 1:
         return pool.sparkSession.createDataFrame([], SWAP)
     if cap is None:
-        pairs = _pairs(rows, "selected", keys, into, out, max_swaps)
-        return pairs.filter("gain > 0").orderBy(F.col("score_in").desc(), "id_in").limit(max_swaps)
+        pairs = _pairs(rows, keys, -F.col("score"), F.col("score"), max_swaps)
+        return pairs.filter("gain > 0").drop("_o").orderBy(F.col("score_in").desc(), "id_in").limit(max_swaps)
     return _capped(rows, keys, max_swaps, cap)
 
 
@@ -119,18 +123,8 @@ def _capped(pool: DataFrame, keys: list[str], max_swaps: int, cap: int, block: i
 def random_refill(pool: DataFrame, max_swaps: int, seed: int, exact_token_match: bool = True) -> DataFrame:
     """Random rows in and out of the same cell and cost, without a score condition."""
     keys = ["cell", "cost"] if exact_token_match else ["cell"]
-    rows = pool.withColumn("_i", seeded(f"{seed}-in", "id")).withColumn("_o", seeded(f"{seed}-out", "id"))
-    arriving = top_per_group(rows.filter("not selected"), keys, [F.col("_i")], max_swaps, "_r")
-    leaving = top_per_group(rows.filter("selected"), keys, [F.col("_o")], max_swaps, "_r")
-    a = arriving.select(*keys, "_r", F.col("id").alias("id_in"), F.col("score").alias("score_in"), F.col("cost").alias("_ci"), "_i")
-    l = leaving.select(*keys, "_r", F.col("id").alias("id_out"), F.col("score").alias("score_out"), F.col("cost").alias("_co"))
-    if "cost" in keys:
-        pairs = a.drop("_ci").join(l.drop("_co"), [*keys, "_r"]).withColumn("token_delta", F.lit(0).cast("bigint"))
-    else:
-        pairs = a.join(l, [*keys, "_r"]).withColumn("token_delta", (F.col("_ci") - F.col("_co")).cast("bigint"))
-    return pairs.orderBy("_i").limit(max_swaps).select(
-        "id_in", "id_out", (F.col("score_in") - F.col("score_out")).alias("gain"), "token_delta", "score_in"
-    )
+    pairs = _pairs(pool, keys, seeded(f"{seed}-in", "id"), seeded(f"{seed}-out", "id"), max_swaps)
+    return pairs.orderBy("_o").limit(max_swaps).drop("_o")
 
 
 def apply_swaps(pool: DataFrame, swaps: DataFrame) -> DataFrame:

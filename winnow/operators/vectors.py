@@ -16,16 +16,14 @@ from winnow.plans.ordered import top_per_group, with_group
 from winnow.plans.partials import array_sum, stack
 
 
-def bucket_and_sign(feature: Column, dim: int, seed: int) -> tuple[Column, Column]:
-    """Hash bucket in [0, dim) and sign of a feature name."""
-    h = hash48(F.concat(F.lit(f"{seed}|"), feature.cast("string")))
-    return (F.floor(h / 2) % dim).cast("int"), F.when(h % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-
-
 def count_sketch(long: DataFrame, id: str, feature: str, value: str, dim: int, seed: int) -> DataFrame:
-    """(id, bucket, s): the signed sum of features per bucket, summed map-side."""
-    bucket, sign = bucket_and_sign(F.col(feature), dim, seed)
-    return long.groupBy(id, bucket.alias("bucket")).agg(F.sum(sign * F.col(value)).alias("s"))
+    """(id, bucket, s): the signed sum of features per hash bucket, summed map-side."""
+    name = F.concat(F.lit(f"{seed}|"), F.col(feature).cast("string"))
+    hashed = long.select(id, F.col(value).alias("_x"), hash48(name).alias("_h"))  # one digest per feature
+    signed = hashed.select(
+        id, (F.floor(F.col("_h") / 2) % dim).cast("int").alias("bucket"), F.when(F.col("_h") % 2 == 0, F.col("_x")).otherwise(-F.col("_x")).alias("_x")
+    )
+    return signed.groupBy(id, "bucket").agg(F.sum("_x").alias("s"))
 
 
 def sketch_array(v: str, width: int, dim: int, seed: int) -> Column:

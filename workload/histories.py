@@ -52,7 +52,7 @@ _TASK_VIEWS = """past as (select h.event_id, list(coalesce(c.answer, u.i) order
     "hist cat",
 )
 def hist_next_item_task(spark, sf):
-    rows = H.next_item_task(T.hist(spark, sf), T.cat(spark, sf), T.TRAIN_END, T.SELECT_END)
+    rows = H.next_item_task(T.tasks(spark, sf), T.TRAIN_END, T.SELECT_END)
     return rows.select("record_id", "user_id", "split", "input_text", "output_text")
 
 
@@ -68,7 +68,7 @@ def hist_next_item_task(spark, sf):
     "hist cat",
 )
 def hist_category_task(spark, sf):
-    rows = H.history_category_task(T.hist(spark, sf), T.cat(spark, sf), T.TRAIN_END, T.SELECT_END)
+    rows = H.history_category_task(T.tasks(spark, sf), T.TRAIN_END, T.SELECT_END)
     return rows.select("record_id", "input_text", "output_text")
 
 

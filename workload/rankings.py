@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from winnow.functions.keys import stable_bucket
 from winnow.operators import ranking as M
 from winnow.operators import sampling as S
+from winnow.plans.cut import cut
 from workload import tables as T
 from workload.registry import query, r
 
@@ -18,7 +19,7 @@ from workload.registry import query, r
     "buy",
 )
 def smp_root_reservoir(spark, sf):
-    return S.root_reservoir(T.buy(spark, sf), "user_id", 200, 42).select("event_id", "user_id")
+    return S.root_reservoir(cut(T.buy(spark, sf)), "user_id", 200, 42).select("event_id", "user_id")
 
 
 @query(
@@ -145,7 +146,7 @@ def met_rank_metrics(spark, sf):
 @query("met_paired_bootstrap")
 def met_paired_bootstrap(spark, sf):
     """Recent history against last item then popularity, 2,000 replicates."""
-    rows = ranking_queries(spark, sf)
+    rows = cut(ranking_queries(spark, sf))
     left = M.history_then_popularity(rows, train_events(spark, sf), 10)
     right = M.history_then_popularity(rows, train_events(spark, sf), 10, depth=1)
     return M.paired_bootstrap(

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from winnow.functions.keys import stable_bucket
 from winnow.functions.vectors import sum_by
 from winnow.operators.contracts import record_keys
-from winnow.operators.history import with_history
+from winnow.operators.history import task_rows, with_history
+from winnow.plans.cut import cut
 from winnow.session import tune
 
 TRAIN_END, SELECT_END = 946684800, 978307200  # 2000-01-01 and 2001-01-01, for purchases
@@ -21,12 +22,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of a single small file is read by one task; share its rows out before heavy row work.
+
+    A large table already has more read tasks than cores and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def day(column: str) -> Column:
     return F.unix_date(F.to_date(column)).cast("bigint") * F.lit(86400).cast("bigint")
 
 
 def ev(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select(
+    return spread(table(spark, sf, "events")).select(
         F.col("event_id").cast("string").alias("event_id"), F.col("user_id").cast("string").alias("user_id"),
         F.get_json_object("props", "$.k").alias("item_id"), F.col("event_type").alias("domain"),
         day("ts").alias("timestamp"), "value",
@@ -37,7 +47,7 @@ def buy(spark: SparkSession, sf: str) -> DataFrame:
     def cents(c: str) -> Column:
         return F.round(F.col(c) * 100).cast("bigint")
 
-    lines = table(spark, sf, "lineitem").select(
+    lines = spread(table(spark, sf, "lineitem")).select(
         "l_orderkey", "l_partkey",
         F.sha2(
             F.concat_ws(
@@ -64,11 +74,16 @@ def cat(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hist(spark: SparkSession, sf: str) -> DataFrame:
-    return with_history(buy(spark, sf), 20)
+    # The log is read several times below, so its digests and de-duplication are written down once.
+    return with_history(cut(buy(spark, sf)), 20)
+
+
+def tasks(spark: SparkSession, sf: str) -> DataFrame:
+    return task_rows(cut(buy(spark, sf)), cat(spark, sf), 20)
 
 
 def ehist(spark: SparkSession, sf: str) -> DataFrame:
-    return with_history(ev(spark, sf), 20)
+    return with_history(cut(ev(spark, sf)), 20)
 
 
 def items(column: str = "history") -> Column:

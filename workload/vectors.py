@@ -33,7 +33,7 @@ def vec_unit(spark, sf):
 )
 def vec_count_sketch(spark, sf):
     """Token counts of whole documents, hashed to 64 signed buckets."""
-    words = T.table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("token"), F.lit(1.0).alias("n"))
+    words = T.spread(T.table(spark, sf, "documents")).select("doc_id", F.explode(F.split("text", " ")).alias("token"), F.lit(1.0).alias("n"))
     return V.count_sketch(words, "doc_id", "token", "n", 64, 7)
 
 

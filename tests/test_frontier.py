@@ -166,3 +166,11 @@ def test_best_small_batch_finds_the_pair(spark):
     new = spark.createDataFrame([(0, [2.0, -1.0], 1.0), (1, [-1.0, 2.0], 1.0), (2, [0.1, 0.1], 1.0)], "id bigint, a array<double>, c double")
     out = A.best_small_batch(columns(spark, [(0, 0), (-1, -1)]), new, "id", "a", "c", 2, 2)
     assert sorted(out["selected"]) == ["0", "1"] and out["new_margin"] == pytest.approx(0.5) and out["skyline"] == 1
+
+
+def test_proposal_menu_guard_and_extra_candidates(spark):
+    df = spark.createDataFrame([("a", [3.0, 0.0, -1.0]), ("b", [0.0, 3.0, 0.0]), ("c", [0.1, 0.1, 2.0])], "n string, a array<double>")
+    row = X.proposal_menu(df, "n", "a", 3, top=1, also=[(0,), (1,)]).first()
+    assert (row["left"], row["right"]) in {("a", "c"), ("b", "c"), ("c", "c")} and row["score"] >= 0.1
+    guarded = X.proposal_menu(df, "n", "a", 3, guard=(2, 1.9)).first()
+    assert (guarded["left"], guarded["right"]) == ("c", "c")

@@ -249,6 +249,11 @@ def feedback_metrics(df: DataFrame, logits: str, labels: str, m: int) -> DataFra
     return df.agg(*aggs).select(F.explode(each).alias("o")).select("o.*")
 
 
+def row_token_loss(df: DataFrame, record: str, label: str, loss: str) -> DataFrame:
+    """(record, loss, tokens): the mean loss of each record's supervised tokens."""
+    return df.filter(F.col(label) != -100).groupBy(record).agg(F.avg(loss).alias("loss"), F.count("*").alias("tokens"))
+
+
 def reduce_token_loss(df: DataFrame, record: str, label: str, loss: str) -> DataFrame:
     """One row: token mean and example mean over supervised tokens (label other than -100)."""
     per = df.filter(F.col(label) != -100).groupBy(record).agg(F.sum(loss).alias("s"), F.count("*").alias("c"))

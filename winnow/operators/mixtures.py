@@ -128,12 +128,13 @@ def ht_response(sample: DataFrame, g: str, q: str, p: str, targets: Sequence[Seq
 
 def proposal_menu(
     proposals: DataFrame, name: str, a: str, m: int, top: int = 4, fractions: Sequence[float] = (0.25, 0.5, 0.75),
-    guard: tuple[int, float] | None = None,
+    guard: tuple[int, float] | None = None, also: Sequence[Sequence[int]] = (),
 ) -> DataFrame:
     """(left, right, fraction, score): the best single proposal or pair mix by worst response.
 
-    Responses are linear, so pairs of the `top` best proposals are formed inside one row. With a
-    guard (objective, floor) only choices whose guarded response reaches the floor are kept.
+    Responses are linear, so pairs of the `top` best proposals are formed inside one row. `also` adds
+    to them the best proposal by the worst of each given group of objectives. With a guard
+    (objective, floor) only choices whose guarded response reaches the floor are kept.
     """
     def score(v: Column) -> Column:
         return F.round(F.array_min(v), 12)
@@ -146,7 +147,11 @@ def proposal_menu(
         F.max_by(F.struct(F.col("name").alias("left"), F.col("name").alias("right"), F.lit(0.0).alias("fraction"), F.col("s").alias("score")),
                  F.struct("s", F.col("name"))).alias("best")
     )
-    best = few.orderBy(F.col("s").desc(), F.col("name").desc()).limit(top)
+    best = few.orderBy(F.col("s").desc(), F.col("name").desc()).limit(top).select("name", "a")
+    for objectives in also:
+        part = F.round(F.array_min(F.array(*[F.element_at("a", i + 1) for i in objectives])), 12)
+        best = best.unionByName(few.agg(F.max_by(F.struct("name", "a"), F.struct(part, "name")).alias("b")).select("b.*"))
+    best = best.dropDuplicates(["name"])
     held = best.agg(F.sort_array(F.collect_list(F.struct("name", "a"))).alias("h"))
 
     def pair(x: Column, y: Column, f: float) -> Column:

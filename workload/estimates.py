@@ -258,11 +258,25 @@ def obs_feedback_metrics(spark, sf):
     "sft",
 )
 def obs_reduce_token_loss(spark, sf):
-    tokens = T.sft(spark, sf).select("record_id", F.explode(F.arrays_zip("input_ids", "labels")).alias("t")).select(
+    out = E.reduce_token_loss(_tokens(spark, sf), "record_id", "label", "loss")
+    return out.select(r("token_mean").alias("token_mean"), r("example_mean").alias("example_mean"), "tokens", "records")
+
+
+def _tokens(spark, sf):
+    return T.sft(spark, sf).select("record_id", F.explode(F.arrays_zip("input_ids", "labels")).alias("t")).select(
         "record_id", F.col("t.labels").alias("label"), ((F.col("t.input_ids") % 97) / 10.0).alias("loss")
     )
-    out = E.reduce_token_loss(tokens, "record_id", "label", "loss")
-    return out.select(r("token_mean").alias("token_mean"), r("example_mean").alias("example_mean"), "tokens", "records")
+
+
+@query(
+    "obs_row_token_loss",
+    """with t as (select record_id, unnest(input_ids) as i, unnest(labels) as y from sft)
+       select record_id, round(avg((i % 97) / 10.0), 6) as loss, count(*) as tokens from t where y <> -100 group by record_id""",
+    "sft",
+)
+def obs_row_token_loss(spark, sf):
+    out = E.row_token_loss(_tokens(spark, sf), "record_id", "label", "loss")
+    return out.withColumn("loss", r("loss"))
 
 
 @query(

@@ -290,9 +290,9 @@ def fro_matched_random(spark, sf):
 
 @query("fro_bootstrap_gap")
 def fro_bootstrap_gap(spark, sf):
-    """Even and odd vectors as two tasks, the three responses as units."""
-    rows = T.wide(spark, sf).select(F.col("id").alias("record_id"), F.col("a").alias("gains"))
-    out = X.bootstrap_gap(rows.filter("record_id % 2 = 0"), rows.filter("record_id % 2 = 1"), [0.4, 0.3, 0.3], 1000)
+    """Labels below and from five as two tasks, the three responses as units."""
+    rows = T.wide(spark, sf).select(F.col("id").alias("record_id"), F.col("a").alias("gains"), "label")
+    out = X.bootstrap_gap(rows.filter("label < 5"), rows.filter("label >= 5"), [0.4, 0.3, 0.3], 1000)
     return spark.createDataFrame([(out["gap"], out["low"], out["high"])], "gap double, low double, high double")
 
 

@@ -128,7 +128,7 @@ def cover_radius(df: DataFrame, a: str, queried: list[Sequence[float]]) -> DataF
     return df.select(nearest(F.col(a)).alias("_d")).agg(F.max("_d").alias("radius"))
 
 
-def farthest_first(df: DataFrame, id: str, v: str, k: int, seed: int = 0, every: int = 8) -> list:
+def farthest_first(df: DataFrame, id: str, v: str, k: int, seed: int = 0, every: int = 16) -> list:
     """k ids: the first by seeded digest, then each time the row farthest from those chosen.
 
     The distance to the chosen set is a column; every few rounds it is written down, so that a

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.functions.vectors import sum_by
-from winnow.plans.bootstrap import interval, poisson_weights
+from winnow.plans.bootstrap import interval, replicate_sums
 from winnow.plans.cut import cut
 from winnow.plans.ordered import with_group
 from winnow.plans.partials import array_sum, stack
@@ -184,8 +184,8 @@ def bootstrap_gap(first: DataFrame, second: DataFrame, weights: Sequence[float],
 
         def part(frame) -> np.ndarray:
             g = stack(frame["gains"])
-            c = poisson_weights(frame["h"].to_numpy(), repeats, s)
-            return np.concatenate([(c.T @ g).ravel(), c.sum(0), g.sum(0), [len(g)]])
+            sums, counts = replicate_sums(frame["h"].to_numpy(), g, repeats, s)
+            return np.concatenate([sums.ravel(), counts, g.sum(0), [len(g)]])
 
         out = array_sum(rows, ["h", "gains"], repeats * k + repeats + k + 1, part)
         sums = out[: repeats * k].reshape(repeats, k)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.operators.contracts import require_clean
-from winnow.plans.bootstrap import interval, poisson_weights
+from winnow.plans.bootstrap import interval, replicate_sums
 from winnow.plans.cut import cut
 from winnow.plans.ordered import last_items, top_per_group
 from winnow.plans.partials import array_sum
@@ -136,9 +136,9 @@ def paired_bootstrap(left: DataFrame, right: DataFrame, repeats: int = 2000, see
     rows = both.select(F.xxhash64("record_id").alias("h"), (F.col("_l") - F.col("_r")).alias("d"))
 
     def part(frame) -> np.ndarray:
-        w = poisson_weights(frame["h"].to_numpy(), repeats, seed)
         d = frame["d"].to_numpy()
-        return np.concatenate([d @ w, w.sum(0), [d.sum(), len(d)]])
+        sums, counts = replicate_sums(frame["h"].to_numpy(), d[:, None], repeats, seed)
+        return np.concatenate([sums[:, 0], counts, [d.sum(), len(d)]])
 
     out = array_sum(rows, ["h", "d"], 2 * repeats + 2, part)
     samples = out[:repeats] / np.maximum(out[repeats : 2 * repeats], 1.0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from winnow.functions.keys import stable_bucket
 from winnow.operators import ranking as M
 from winnow.operators import sampling as S
+from winnow.operators.history import with_history
 from winnow.plans.cut import cut
 from workload import tables as T
 from workload.registry import query, r
@@ -59,14 +60,13 @@ _QUERIES = """q as (select domain || ':' || user_id as query_id, domain, user_id
 
 def ranking_queries(spark, sf):
     """The last event of each (domain, user): its history, newest first, as the predictions."""
-    rows = T.ehist(spark, sf)
-    last = rows.groupBy("domain", "user_id").agg(
-        F.max_by(F.struct("item_id", "history"), F.struct("timestamp", "event_id")).alias("q")
-    )
-    return last.select(
+    events = cut(T.ev(spark, sf))
+    last = events.groupBy("domain", "user_id").agg(F.max(F.struct("timestamp", "event_id")).alias("m")).select("m.event_id")
+    # The semi join is pushed below the join that returns histories, so only the queried events carry one.
+    return with_history(events, 20).join(last, "event_id", "left_semi").select(
         F.concat("domain", F.lit(":"), "user_id").alias("query_id"), "domain", "user_id",
-        F.lit("recommendation").alias("task"), F.array("q.item_id").alias("targets"), F.col("q.item_id").alias("target"),
-        F.transform("q.history", lambda x: x["item_id"]).alias("history"),
+        F.lit("recommendation").alias("task"), F.array("item_id").alias("targets"), F.col("item_id").alias("target"),
+        T.items().alias("history"),
     ).withColumn("predictions", F.reverse("history"))
 
 

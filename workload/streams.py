@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -18,6 +19,23 @@ def _stream(spark, sf, name="events"):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
+@contextmanager
+def _state_settings(spark):
+    """RocksDB state with one partition per core: a stateful query keeps its partition count for life."""
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": O.STATE_STORE,
+        "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism),
+    }
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def _folders(spark):
     base = f"{checkpoint_folder(spark)}/winnow/{uuid.uuid4().hex}"
     return f"{base}/out", f"{base}/state"
@@ -42,7 +60,8 @@ def str_normalize(spark, sf):
     raw = _events(spark, sf).select(
         "user_id", F.col("item_id").alias("parent_asin"), F.col("t").cast("string").alias("timestamp"), F.col("value").alias("rating")
     )
-    O.run_available(O.stream_normalize(raw, "retail", "40 days"), out, state)
+    with _state_settings(spark):
+        O.run_available(O.stream_normalize(raw, "retail", "40 days"), out, state)
     return spark.read.parquet(out).select("user_id", "item_id", "timestamp")
 
 
@@ -55,7 +74,8 @@ def str_mature(spark, sf):
     """Events older than a seven-day feedback window at the newest event."""
     out, state = _folders(spark)
     events = _events(spark, sf).withColumn("time", F.timestamp_seconds("t"))
-    O.run_available(O.stream_mature(events, "time", 604800, ["event_id", "t"]), out, state)
+    with _state_settings(spark):
+        O.run_available(O.stream_mature(events, "time", 604800, ["event_id", "t"]), out, state)
     return spark.read.parquet(out).select("event_id", "t")
 
 
@@ -81,14 +101,10 @@ def str_root_reservoir(spark, sf):
 )
 def str_strict_history(spark, sf):
     """The newest day stays open at the end of the stream; every earlier one is emitted."""
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", O.STATE_STORE)
-    try:
-        out, state = _folders(spark)
-        events = _events(spark, sf).select("user_id", "event_id", "item_id", "t").withColumn("event_time", F.timestamp_seconds("t"))
+    out, state = _folders(spark)
+    events = _events(spark, sf).select("user_id", "event_id", "item_id", "t").withColumn("event_time", F.timestamp_seconds("t"))
+    with _state_settings(spark):
         O.run_available(O.stream_strict_history(events, 20, "1 hour"), out, state)
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return spark.read.parquet(out).select("event_id", "user_id", "history")
 
 

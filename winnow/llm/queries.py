@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import minhash
+from winnow.llm import language, minhash, personal, toxicity, urls
 from winnow.llm.common import documents
 
 QUERIES = {}
@@ -21,3 +21,30 @@ def query(fn):
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates on three-word shingles at 0.85."""
     return minhash.near_duplicates(documents(spark, sf_dir), k=3, num=85, den=100)
+
+
+@query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = documents(spark, sf_dir)
+    return language.predict(docs, language.train(docs))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document."""
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, documents(spark, sf_dir, "labels")))
+
+
+@query
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's URL."""
+    return urls.judge(documents(spark, sf_dir, "pages"))
+
+
+@query
+def op5_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    docs = documents(spark, sf_dir)
+    return personal.find(docs, personal.train(docs))

@@ -37,13 +37,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+#: Separators for words of letters and digits: every other ASCII byte.
+LETTERS = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
+
+
+def word_hashes(texts: list[bytes], space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words in order, offsets): the words of text i are hashes[offsets[i]:offsets[i + 1]]."""
     joined = b"\n".join(texts).translate(LOWER)
     if not joined:
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     buffer = np.frombuffer(joined, np.uint8)
-    word = ~_SPACE[buffer]
+    word = ~space[buffer]
     edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=0, append=0))
     starts, ends = edge[::2], edge[1::2]
     begin = np.cumsum([0] + [len(t) + 1 for t in texts])

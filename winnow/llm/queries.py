@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import language, minhash, personal, toxicity, urls
+from winnow.llm import bytepair, language, minhash, personal, toxicity, urls
 from winnow.llm.common import documents
 
 QUERIES = {}
@@ -48,3 +49,13 @@ def op5_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     docs = documents(spark, sf_dir)
     return personal.find(docs, personal.train(docs))
+
+
+@query
+def op7_bytepair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and what they decode to, as digests."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = bytepair.decode(bytepair.encode(documents(spark, sf_dir), path), path)
+    return rows.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"))

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from winnow.llm.common import pieces, prepare, spread
 
@@ -399,4 +400,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             out = [None if i is None else decode_ids(i, shared.value) for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "bytes"])
 
-    return encoded.mapInArrow(scan, encoded.schema.add("bytes", "binary"))
+    return encoded.mapInArrow(scan, StructType([*encoded.schema.fields, StructField("bytes", BinaryType())]))

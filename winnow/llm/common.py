@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,3 +92,43 @@ def components(edges: DataFrame) -> DataFrame:
         kind = dict(edges.dtypes)["a"]
         return spark.createDataFrame([], f"node {kind}, component {kind}")
     return label.select(F.col("v").alias("node"), F.col("p").alias("component"))
+
+
+def spanning(linked: np.ndarray) -> np.ndarray:
+    """For a symmetric boolean matrix the least row of every row's component."""
+    label = np.arange(len(linked))
+    linked = linked | np.eye(len(linked), dtype=bool)
+    while True:
+        new = np.where(linked, label[None, :], len(label)).min(1)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def bipartite(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning edges of a rectangular block: (left row, right row)."""
+    n, m = linked.shape
+    square = np.zeros((n + m, n + m), bool)
+    square[:n, n:] = linked
+    square[n:, :n] = linked.T
+    label = spanning(square)
+    out = []
+    for right in np.flatnonzero(linked.any(0)).tolist():
+        out.append((int(label[n + right]), right))  # the least row of a component with a link is a left row
+    for left in np.flatnonzero(linked.any(1)).tolist():
+        if label[left] != left:
+            out.append((left, int(np.flatnonzero(linked[left])[0])))
+    return out
+
+
+def runs(keys: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Where rows that agree in all keys begin and end, in sorted rows."""
+    n = len(keys[0])
+    if not n:
+        return []
+    change = np.zeros(n, bool)
+    for key in keys:
+        change[1:] |= key[1:] != key[:-1]
+    at = np.concatenate(([0], np.flatnonzero(change), [n]))
+    return list(zip(at[:-1].tolist(), at[1:].tolist()))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import components, pieces, prepare, spread, texts
+from winnow.llm.common import bipartite, components, pieces, prepare, runs, spanning, spread, texts
 from winnow.llm.wordhash import mix, shingle_sets
 from winnow.plans.cut import cut
 
@@ -104,34 +104,6 @@ def possible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least
     return keep
 
 
-def spanning(linked: np.ndarray) -> np.ndarray:
-    """For a symmetric boolean matrix the least row of every row's component."""
-    label = np.arange(len(linked))
-    linked = linked | np.eye(len(linked), dtype=bool)
-    while True:
-        new = np.where(linked, label[None, :], len(label)).min(1)
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            return label
-        label = new
-
-
-def _bipartite(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning edges of a rectangular block: (left row, right row)."""
-    n, m = linked.shape
-    square = np.zeros((n + m, n + m), bool)
-    square[:n, n:] = linked
-    square[n:, :n] = linked.T
-    label = spanning(square)
-    out = []
-    for right in np.flatnonzero(linked.any(0)).tolist():
-        out.append((int(label[n + right]), right))  # the least row of a component with a link is a left row
-    for left in np.flatnonzero(linked.any(1)).tolist():
-        if label[left] != left:
-            out.append((left, int(np.flatnonzero(linked[left])[0])))
-    return out
-
-
 def _sketch(k: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -167,23 +139,12 @@ def _sets(k: int):
     return scan
 
 
-def _runs(keys: list[np.ndarray]) -> list[tuple[int, int]]:
-    n = len(keys[0])
-    if not n:
-        return []
-    change = np.zeros(n, bool)
-    for key in keys:
-        change[1:] |= key[1:] != key[:-1]
-    at = np.concatenate(([0], np.flatnonzero(change), [n]))
-    return list(zip(at[:-1].tolist(), at[1:].tolist()))
-
-
 def _edges(rows: pd.DataFrame, keys: list[str], link) -> pd.DataFrame:
     """Spanning edges of all blocks in rows; link(left, right) gives the links of two frames as a matrix."""
     rows = rows.sort_values([*keys, "digest"], kind="stable").reset_index(drop=True)
     digest, block = rows["digest"].to_numpy(), rows["block"].to_numpy()
     a, b = [], []
-    for start, stop in _runs([rows[c].to_numpy() for c in keys]):
+    for start, stop in runs([rows[c].to_numpy() for c in keys]):
         part = rows.iloc[start:stop]
         ids, own = digest[start:stop], block[start:stop]
         i, j = part["i"].iat[0], part["j"].iat[0]
@@ -196,7 +157,7 @@ def _edges(rows: pd.DataFrame, keys: list[str], link) -> pd.DataFrame:
         else:
             left, right = own == i, own == j
             if left.any() and right.any():
-                for x, y in _bipartite(link(part[left], part[right])):
+                for x, y in bipartite(link(part[left], part[right])):
                     a.append(ids[left][x])
                     b.append(ids[right][y])
     return pd.DataFrame({"a": a, "b": b})

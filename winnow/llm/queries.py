@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import bytepair, language, minhash, packing, personal, toxicity, urls
+from winnow.llm import bytepair, hamming, language, minhash, multiindex, packing, personal, toxicity, urls
 from winnow.llm.common import documents
 
 QUERIES = {}
@@ -66,3 +66,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens."""
     rows = packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every row whose vec_id is divisible by 100."""
+    return hamming.nearest(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of a label at cosine 0.98."""
+    return multiindex.near_duplicates(documents(spark, sf_dir, "embeddings"))

@@ -144,7 +144,6 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, vector: str = "embe
     `centres` per codebook follows the number of rows if not given.
     """
     spark = prepare(vectors.sparkSession)
-    kind = dict(vectors.dtypes)[vec_id]
     rows = cut(vectors.select(
         F.col(vec_id).alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("vector"))
         .withColumn("row", F.monotonically_increasing_id())
@@ -160,9 +159,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, vector: str = "embe
     books = codebook(x[:, : size // 2], k), codebook(x[:, size // 2 :], k)
     most = 2 - 2 * least + 1e-9
 
-    placed = cut(classes.withColumn("size", F.size("vector")).mapInPandas(
+    placed = cut(classes.select("label", "vector", "class", "copies", F.size("vector").alias("size")).mapInPandas(
         _place(books, size, most),
-        f"label string, vector array<double>, class bigint, copies bigint, least_id {kind}, size int, home int, visits array<int>"))
+        "label string, vector array<double>, class bigint, copies bigint, size int, home int, visits array<int>"))
     key = ["label", "size", "cell"]
     columns = [*key, "class", "copies", "vector"]
     at_home = placed.withColumnRenamed("home", "cell").select(columns)
@@ -182,10 +181,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, vector: str = "embe
         _links(least), "class bigint, links bigint, other bigint"))
     groups = components(found.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")))
 
-    names = groups.join(placed.select(F.col("class").alias("node"), "least_id"), "node").groupBy("component").agg(F.min("least_id").alias("name"))
+    names = groups.join(classes.select(F.col("class").alias("node"), "least_id"), "node").groupBy("component").agg(F.min("least_id").alias("name"))
     named = groups.join(names, "component").select(F.col("node").alias("class"), "name")
     counts = found.groupBy("class").agg(F.sum("links").alias("links"))
-    result = cut(placed.select("class", "label", "vector", "copies", "least_id").join(counts, "class", "left").join(named, "class", "left").select(
+    result = cut(classes.join(counts, "class", "left").join(named, "class", "left").select(
         F.col("label").alias("l"), F.col("vector").alias("v"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
         F.when(F.isnotnull("links"), F.col("name")).otherwise(F.col("least_id")).alias("component_id")))
     linked = good.join(result, (F.col("label") == F.col("l")) & (F.col("vector") == F.col("v"))).select("vec_id", "n_links", "component_id")

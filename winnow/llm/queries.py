@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import bytepair, hamming, language, minhash, multiindex, packing, personal, toxicity, urls
+from winnow.llm import bytepair, hamming, language, lattice, minhash, multiindex, packing, personal, toxicity, urls
 from winnow.llm.common import documents
 
 QUERIES = {}
@@ -78,3 +78,9 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors of a label at cosine 0.98."""
     return multiindex.near_duplicates(documents(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log probability of every document."""
+    return lattice.score(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))

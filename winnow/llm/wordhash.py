@@ -41,22 +41,40 @@ def mix(x: np.ndarray) -> np.ndarray:
 LETTERS = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
 
 
-def word_hashes(texts: list[bytes], space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, offsets): the words of text i are hashes[offsets[i]:offsets[i + 1]]."""
+def word_spans(texts: list[bytes], space: np.ndarray = _SPACE) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased texts joined, word starts, word ends, word hashes, offsets): text i has words offsets[i]:offsets[i + 1]."""
     joined = b"\n".join(texts).translate(LOWER)
+    none = np.zeros(0, np.int64)
     if not joined:
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        return joined, none, none, none.astype(np.uint64), np.zeros(len(texts) + 1, np.int64)
     buffer = np.frombuffer(joined, np.uint8)
     word = ~space[buffer]
     edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=0, append=0))
     starts, ends = edge[::2], edge[1::2]
-    begin = np.cumsum([0] + [len(t) + 1 for t in texts])
-    offsets = np.searchsorted(starts, begin)
-    if not len(starts):
-        return np.zeros(0, np.uint64), offsets
+    offsets = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
+    return joined, starts, ends, span_hashes(buffer, starts, ends), offsets
+
+
+def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans, equal for equal bytes wherever they stand."""
+    sums = prefix_sums(buffer)
+    return mix((sums[ends] - sums[starts]) * inverse_powers(len(buffer) + 1)[starts])
+
+
+def prefix_sums(buffer: np.ndarray) -> np.ndarray:
     total = np.zeros(len(buffer) + 1, np.uint64)
     np.cumsum(_BYTE[buffer] * _power("up", len(buffer))[: len(buffer)], out=total[1:])
-    return mix((total[ends] - total[starts]) * _power("down", len(buffer))[starts]), offsets
+    return total
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    return _power("down", n)
+
+
+def word_hashes(texts: list[bytes], space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words in order, offsets): the words of text i are hashes[offsets[i]:offsets[i + 1]]."""
+    _, _, _, hashes, offsets = word_spans(texts, space)
+    return hashes, offsets
 
 
 _STEP = np.random.default_rng(12).integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)

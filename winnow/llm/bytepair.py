@@ -20,9 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
-from winnow.llm.common import pieces, prepare, spread
+from winnow.llm.common import pieces, prepare, spread, with_columns, with_fields
 
 LETTER, NUMBER, OTHER, SHORT, LONG, LAST_BLANK, LAST_SPACE, MID_SPACE = range(8)
 # states: no open token, in a run of each class, after a blank that joins what follows, in white space, 1 or 2 characters of a contraction to go
@@ -390,7 +389,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded with a column `bytes`: what its ids stand for. Null ids give null."""
+    """encoded with a column `bytes`, which it must not have yet: what its ids stand for. Null ids give null."""
     spark = prepare(encoded.sparkSession)
     with open(path, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
@@ -398,6 +397,6 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "ids", 8 << 20):
             out = [None if i is None else decode_ids(i, shared.value) for i in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "bytes"])
+            yield with_columns(batch, {"bytes": pa.array(out, pa.binary())})
 
-    return encoded.mapInArrow(scan, StructType([*encoded.schema.fields, StructField("bytes", BinaryType())]))
+    return encoded.mapInArrow(scan, with_fields(encoded, {"bytes": "binary"}))

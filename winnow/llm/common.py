@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from winnow.plans.cut import cut
 from winnow.session import ship
@@ -62,6 +63,22 @@ def pieces(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = B
         yield batch.slice(start)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
+def with_fields(df: DataFrame, fields: dict[str, str]) -> StructType:
+    """The schema of df and further columns."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in fields.items())).fields])
+
+
+def with_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=[*batch.schema.names, *columns])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): one row (node, component) for every node, component being one of its nodes.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import held_out, pieces, prepare, spread
+from winnow.llm.common import free_name, held_out, pieces, prepare, spread, with_columns, with_fields
 
 CELLS = (1 << 10, 1 << 12, 1 << 13)  # of 1-, 2- and 3-grams
 START = np.cumsum([0, *CELLS])
@@ -24,7 +24,7 @@ SAMPLE = 4096  # rows fitted on, taken in the order of a hash of doc_id
 LANDMARKS = 256
 RIDGE = 1e-2
 UNKNOWN = "und"
-KEEP = 0.5  # a top score below: no language's side of its own decision plane
+KEEP = 0.25  # a top score below: far outside every language's side of its decision plane
 
 
 @dataclass(frozen=True)
@@ -94,8 +94,8 @@ def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str
     return fit([(r["cells"], r["lang"]) for r in found])
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of docs: doc_id, held_out, lang_pred, score in 0..1.
+def with_language(docs: DataFrame, model: Model, name: str, score: str, text: str = "text") -> DataFrame:
+    """docs with all columns and rows, and the language and its score in 0..1 under two names that docs must not have.
 
     A text that is null, empty or has no letter is `und` with score 0, as is everything if no row could be learned
     from. Ties go to the language that sorts first.
@@ -106,20 +106,29 @@ def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "do
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, marks, root, weights = shared.value
         marks = marks.astype(np.float32)
-        for batch in pieces(batches):
-            found, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            lettered = [i for i, b in enumerate(batch.column("lettered").to_pylist()) if b] if names else []
+        for batch in pieces(batches, text):
+            found, top = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
+            lettered = [i for i, c in enumerate(batch.column(name).to_pylist()) if c] if names else []
             if lettered:
-                column = batch.column("text")
+                column = batch.column(text)
                 f = kernel(presence([column[i].as_py() for i in lettered]), marks, root) @ weights
-                best = f.argmax(1)
-                for i, k in zip(lettered, best.tolist()):
+                for i, k in zip(lettered, f.argmax(1).tolist()):
                     found[i] = names[k]
-                score[lettered] = np.clip((f.max(1) + 1) / 2, 0, 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found), pa.array(score)], names=["doc_id", "lang_pred", "score"])
-
-    kind = dict(docs.dtypes)[doc_id]
-    rows = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).withColumn(
-        "lettered", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    out = rows.mapInArrow(scan, f"doc_id {kind}, lang_pred string, score double")
-    return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+                top[lettered] = np.clip((f.max(1) + 1) / 2, 0, 1)
+            yield with_columns(batch.drop_columns([name]), {name: pa.array(found, pa.string()), score: pa.array(top)})
+
+    # the new name first holds whether there is a letter at all
+    marked = spread(docs).withColumn(name, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    return marked.mapInArrow(scan, with_fields(docs, {name: "string", score: "double"}))
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per row of docs: doc_id, held_out, lang_pred, score in 0..1. Only the two named columns are read."""
+    raw = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return with_language(raw, model, "lang_pred", "score").select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs in an identified language, with their columns: not `und`, and a score of KEEP or more."""
+    name, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
+    return with_language(docs, model, name, score, text).where((F.col(name) != UNKNOWN) & (F.col(score) >= KEEP)).drop(name, score)

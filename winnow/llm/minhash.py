@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import bipartite, components, pieces, prepare, runs, spanning, spread, texts
+from winnow.llm.common import bipartite, components, free_name, pieces, prepare, runs, spanning, spread, texts
 from winnow.llm.wordhash import mix, shingle_sets
 from winnow.plans.cut import cut
 
@@ -229,15 +229,8 @@ def _bundle(rows: DataFrame, key: str, weight: int, per: int, work, schema: str)
     return rows.groupBy(F.pmod(F.xxhash64(key, "i", "j", F.lit(3)), F.lit(n)).alias("bundle")).applyInPandas(work, schema)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Group documents whose k-word shingle sets have a Jaccard similarity of at least num / den.
-
-    One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)
-    and kept (doc_id is component_id). Text null, empty or without a word: no shingles, linked with nothing, kept. A
-    null doc_id takes part: its component is named by the least non-null id; a group with null ids only has a null
-    component_id and is kept. Repeated rows are links like any other and carry equal ids, so that all of them are
-    kept or none. Only the two named columns are read; an empty table gives no rows.
-    """
+def _groups(docs: DataFrame, k: int, num: int, den: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows: doc_id, at, n_shingles, digest, registers; classes: digest, least_id and more; links: node and component, of linked classes)."""
     spark = prepare(docs.sparkSession)
     least = num / den
     raw = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -271,6 +264,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
                    "component", weight, 500_000, _true_edges(num, den), "a binary, b binary")
     linked = components(true)
 
+    return rows, classes, linked
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Group documents whose k-word shingle sets have a Jaccard similarity of at least num / den.
+
+    One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)
+    and kept (doc_id is component_id). Text null, empty or without a word: no shingles, linked with nothing, kept. A
+    null doc_id takes part: its component is named by the least non-null id; a group with null ids only has a null
+    component_id and is kept. Repeated rows are links like any other and carry equal ids, so that all of them are
+    kept or none. Only the two named columns are read; an empty table gives no rows.
+    """
+    rows, classes, linked = _groups(docs, k, num, den, text, doc_id)
     ids = linked.join(classes.select(F.col("digest").alias("node"), "least_id"), "node")
     first = ids.groupBy("component").agg(F.min("least_id").alias("component_id"))
     single = classes.join(linked.select(F.col("node").alias("digest")), "digest", "left_anti").select("digest", F.col("least_id").alias("component_id"))
@@ -278,3 +284,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     has = rows.where("digest is not null").join(named_by, "digest").select("doc_id", "n_shingles", "component_id")
     none = rows.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return has.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.isnull("component_id")))
+
+
+def survivors(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs without all but one row of every group of near-duplicates, with their columns.
+
+    The row with the least doc_id stays (null ids last, then the least hash of the text). Rows without a word are in no group
+    and stay. Of repeated rows with a word one stays.
+    """
+    rows, classes, linked = _groups(docs, k, num, den, text, doc_id)
+    members = classes.join(linked, classes["digest"] == linked["node"], "left").select(
+        "digest", F.coalesce("component", "digest").alias("component"), "one")
+    picks = members.groupBy("component").agg(F.min("one").alias("one")).select(F.col("one.doc_id").alias("p_id"), F.col("one.at").alias("p_at"))
+    worded = rows.where("digest is not null").groupBy("doc_id", "at").agg(F.count(F.lit(1)).alias("times"))
+    same = worded["doc_id"].eqNullSafe(picks["p_id"]) & (worded["at"] == picks["p_at"])
+    gone = cut(worded.join(picks, same, "left_anti").select(F.col("doc_id").alias("g_id"), F.col("at").alias("g_at")))
+    name = free_name(docs, "at")
+    marked = docs.withColumn(name, F.xxhash64(text))
+    left = marked.join(gone, marked[doc_id].eqNullSafe(gone["g_id"]) & (marked[name] == gone["g_at"]), "left_anti")
+    if not worded.where("times > 1").isEmpty():
+        worded_row = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        left = left.where(worded_row).dropDuplicates([doc_id, name]).unionByName(left.where(~worded_row))
+    return left.drop(name)

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import held_out, pieces, prepare, spread, texts
+from winnow.llm.common import free_name, held_out, pieces, prepare, spread, texts, with_columns, with_fields
 from winnow.llm.wordhash import LETTERS, gram, word_hashes
 
 BITS = 20
@@ -98,22 +99,42 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     return fit([(np.frombuffer(r["cells"], np.int32), r["y"]) for r in rows])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score in 0..1 and predicted (1 from 0.7 up). Null and empty texts get the bias alone."""
+def _totals(model, batch: list[bytes]) -> np.ndarray:
+    bias, index, weight = model
+    table = _table(index.tobytes(), weight.tobytes())
+    rows, cells = features(batch)
+    hit = table[cells] != 0
+    rows, cells = _distinct(rows[hit], cells[hit])
+    return 1 / (1 + np.exp(-np.clip(bias + np.bincount(rows, table[cells], len(batch)), -35, 35)))
+
+
+@lru_cache(2)
+def _table(index: bytes, weight: bytes) -> np.ndarray:
+    table = np.zeros(1 << BITS)
+    table[np.frombuffer(index, np.int32)] = np.frombuffer(weight)
+    return table
+
+
+def with_score(docs: DataFrame, model: Model, name: str, text: str = "text") -> DataFrame:
+    """docs with all columns and rows, and the score in 0..1 as column `name`, which docs must not have. Null and empty texts get the bias alone."""
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast((model.bias, model.index, model.weight.astype(np.float64)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bias, index, weight = shared.value
-        table = np.zeros(1 << BITS)
-        table[index] = weight
-        for batch in pieces(batches):
-            rows, cells = features(texts(batch))
-            hit = table[cells] != 0
-            rows, cells = _distinct(rows[hit], cells[hit])
-            total = bias + np.bincount(rows, table[cells], batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], names=["doc_id", "score"])
-
-    kind = dict(docs.dtypes)[doc_id]
-    scored = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).mapInArrow(scan, f"doc_id {kind}, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+        for batch in pieces(batches, text):
+            yield with_columns(batch, {name: pa.array(_totals(shared.value, texts(batch, text)))})
+
+    return spread(docs).mapInArrow(scan, with_fields(docs, {name: "double"}))
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per row of docs: doc_id, held_out, score in 0..1 and predicted (1 from 0.7 up). Only the two named columns are read."""
+    raw = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return with_score(raw, model, "score").select(
+        "doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs that are not predicted toxic, with their columns."""
+    name = free_name(docs, "toxicity")
+    return with_score(docs, model, name, text).where(F.col(name) < THRESHOLD).drop(name)

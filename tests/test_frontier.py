@@ -8,6 +8,7 @@ from winnow.operators import acquire as A
 from winnow.operators import frontier as P
 from winnow.operators import mixtures as X
 from winnow.operators.estimators import minimax_allocation
+from winnow.plans.converge import NotConverged
 from winnow.plans.smalllp import game
 
 
@@ -174,3 +175,13 @@ def test_proposal_menu_guard_and_extra_candidates(spark):
     assert (row["left"], row["right"]) in {("a", "c"), ("b", "c"), ("c", "c")} and row["score"] >= 0.1
     guarded = X.proposal_menu(df, "n", "a", 3, guard=(2, 1.9)).first()
     assert (guarded["left"], guarded["right"]) == ("c", "c")
+
+
+def test_a_round_limit_is_an_error(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id bigint, a array<double>")
+    with pytest.raises(NotConverged):
+        P.frontier_weights(df, "id", "a", 4, rounds=1)
+    with pytest.raises(NotConverged):
+        P.capped_frontier(df, "id", "a", 4, rounds=1)

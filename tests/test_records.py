@@ -1,11 +1,13 @@
 """Record contracts, sampling, metrics, graphs, estimators and exploration: rules and known answers."""
 
+import json
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from winnow.functions.keys import json_list
 from winnow.operators import catalog as K
 from winnow.operators import contracts as C
 from winnow.operators import estimators as E
@@ -226,3 +228,29 @@ def test_group_advantages_by_hand(spark):
     assert loo == pytest.approx([1 - 4, 2 - 3.5, 6 - 1.5])
     flat = spark.createDataFrame([("p", 1.0), ("p", 1.0)], "p string, r double")
     assert all(r["adv_r"] == 0 for r in E.group_advantages(flat, "p", ["r"], "grpo").collect())
+
+
+def test_list_literals_are_parsed_or_refused(spark):
+    lists = [["a", "b"], ["it's", 'say "x"'], ["both ' and \"", "back\\slash", "\\n literal", "new\nline"], [], ["x, 'y'"]]
+    df = spark.createDataFrame([(i, repr(x)) for i, x in enumerate(lists)], "i int, h string")
+    assert {r["i"]: list(r["o"]) for r in df.select("i", R.list_literal("h").alias("o")).collect()} == dict(enumerate(lists))
+    for bad in ("['a'", "a", "[1,2]", None, "['a' 'b']"):
+        with pytest.raises(Exception, match="not a list of strings"):
+            spark.createDataFrame([(bad,)], "h string").select(R.list_literal("h")).collect()
+
+
+def test_prompts_hold_valid_json(spark):
+    items = ['say "hi"', "back\\slash", "tab\t", "plain"]
+    got = spark.createDataFrame([(items,)], "a array<string>").select(json_list(F.col("a")).alias("j")).first()["j"]
+    assert json.loads(got) == items and got.count('", "') == 3
+
+
+def test_draws_cover_every_interval_and_do_not_depend_on_partitions(spark):
+    rows = [(i, 0.1 * (i % 7)) for i in range(200)] + [(1000, 500.0)]
+    a = spark.createDataFrame(rows, "k bigint, p double")
+    drawn = [sorted(map(tuple, S.weighted_draws(a.repartition(n), "k", "p", 20_000, 3).collect())) for n in (1, 7)]
+    assert drawn[0] == drawn[1] and [d for d, _ in drawn[0]] == list(range(20_000))
+    heavy = sum(k == 1000 for _, k in drawn[0]) / 20_000
+    assert abs(heavy - 500 / (500 + sum(p for _, p in rows[:-1]))) < 0.01
+    with pytest.raises(ValueError):
+        S.weighted_draws(a.filter("p = 0"), "k", "p", 5, 3)

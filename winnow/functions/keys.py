@@ -35,9 +35,8 @@ def uniform(seed: int | str, *columns: Column | str) -> Column:
 
 
 def json_list(column: Column) -> Column:
-    """A JSON list of strings with ', ' between items."""
-    quoted = F.transform(column, lambda x: F.concat(F.lit('"'), x, F.lit('"')))
-    return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
+    """A JSON list of strings with ', ' between items; quotes, backslashes and control characters are escaped."""
+    return F.concat(F.lit("["), F.array_join(F.transform(column, lambda x: json_text(x)), ", "), F.lit("]"))
 
 
 def json_text(column: Column | str) -> Column:

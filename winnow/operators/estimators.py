@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions.vectors import dot
 from winnow.operators.contracts import rules
+from winnow.plans.converge import require
 from winnow.plans.cut import cut
 from winnow.plans.ordered import with_group
 from winnow.plans.smalllp import game
@@ -114,19 +115,22 @@ def _water_fill(rows: DataFrame, witness: Sequence[float], floor: float, m: int)
     b = F.col("p") * F.sqrt(sum((F.element_at("A", i + 1) * F.lit(float(w)) for i, w in enumerate(witness)), F.lit(0.0)))
     slim = rows.select("p", "A", b.alias("b"))
     c = 1.0 / max(slim.agg(F.sum("b").alias("s")).first()["s"], 1e-300)
-    for _ in range(60):
+    settled, step = False, 0.0
+    for done in range(1, 201):
         at_floor = F.lit(floor) * F.col("p") >= F.lit(c) * F.col("b")
         got = slim.agg(
             F.sum(F.when(at_floor, F.lit(floor) * F.col("p")).otherwise(0.0)).alias("fixed"),
             F.sum(F.when(at_floor, 0.0).otherwise(F.col("b"))).alias("free"),
         ).first()
         if got["free"] <= 0:
+            settled = True
             break
         nxt = (1.0 - got["fixed"]) / got["free"]
-        if abs(nxt - c) <= 1e-14 * c:
-            c = nxt
+        settled = abs(nxt - c) <= 1e-14 * c
+        step, c = abs(nxt - c), nxt
+        if settled:
             break
-        c = nxt
+    require(settled or step <= 1e-10 * c, "allocation level", step, done)
     q = F.greatest(F.lit(floor) * F.col("p"), F.lit(c) * b)
     terms = [F.sum(F.col("p") * F.col("p") * F.element_at("A", i + 1) / q).alias(f"v{i}") for i in range(m)]
     got = rows.agg(*terms).first()
@@ -134,7 +138,7 @@ def _water_fill(rows: DataFrame, witness: Sequence[float], floor: float, m: int)
 
 
 def minimax_allocation(
-    df: DataFrame, id: str, p: str, moments: str, m: int, floor: float = 0.05, tol: float = 1e-5, rounds: int = 40
+    df: DataFrame, id: str, p: str, moments: str, m: int, floor: float = 0.05, tol: float = 1e-5, rounds: int = 400
 ) -> tuple[DataFrame, dict]:
     """(id, q) with q >= floor * p that minimizes the largest objective second moment.
 
@@ -158,6 +162,7 @@ def minimax_allocation(
         value = -negative
         if value - best_low <= tol * (1 + abs(value)):
             break
+    require(value - best_low <= tol * (1 + abs(value)), "minimax allocation", value - best_low, rounds)
     mixed = F.lit(0.0)
     for c, w in zip(columns, weights):
         if w > 0:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.functions.vectors import dot, dot_sql, dot_with, norm, scaled, sum_array, sum_by
+from winnow.plans.converge import require
 from winnow.plans.cut import cut
 from winnow.plans.smalllp import face, game, guarded
 
@@ -81,7 +82,7 @@ def _best_rows(df: DataFrame, id: str, a: str, scores: list[Column]) -> dict:
 
 
 def frontier_weights(
-    df: DataFrame, id: str, a: str, m: int, tol: float = 1e-7, extra: dict | None = None, rounds: int = 200
+    df: DataFrame, id: str, a: str, m: int, tol: float = 1e-7, extra: dict | None = None, rounds: int = 1000
 ) -> Frontier:
     """Weights over all rows that maximize the worst objective, with a dual witness.
 
@@ -104,9 +105,9 @@ def frontier_weights(
         if up - margin <= tol * (1 + abs(margin)) or all(k in columns for k in best):
             break
         columns.update(best)
-    keys = list(columns)
-    gains = np.stack([columns[k] for k in keys], axis=1) @ q[: len(keys)]
     gap = up - margin
+    require(gap <= max(tol, 1e-8) * (1 + abs(up)), "frontier weights", gap, done)
+    gains = np.stack([columns[k] for k in keys], axis=1) @ q
     weights = {k: float(w) for k, w in zip(keys, q) if w > 0}
     return Frontier(
         weights, margin, gains.tolist(), witness.tolist(), up, gap, bool(gap <= tol * (1 + abs(up))), done
@@ -131,7 +132,7 @@ def opportunity(df: DataFrame, id: str, a: str, m: int) -> dict:
     }
 
 
-def dual_face_gain(old: DataFrame, new: DataFrame, id: str, a: str, m: int, tol: float = 1e-9, rounds: int = 200) -> dict:
+def dual_face_gain(old: DataFrame, new: DataFrame, id: str, a: str, m: int, tol: float = 1e-9, rounds: int = 1000) -> dict:
     """How much the new pool can raise the old margin, over the whole optimal dual face.
 
     Cutting planes on the witness: each round finds the old row that most violates the face and
@@ -144,7 +145,7 @@ def dual_face_gain(old: DataFrame, new: DataFrame, id: str, a: str, m: int, tol:
     axes = [F.element_at("a", i + 1) for i in range(m)]
     a_cuts = _best_rows(olds, "id", "a", [*axes, priced("a", solved.witness)])
     b_cuts = _best_rows(news, "id", "a", [*axes, priced("a", solved.witness)])
-    value, witness = 0.0, np.asarray(solved.witness)
+    value, witness, closed = 0.0, np.asarray(solved.witness), False
     for _ in range(rounds):
         value, witness = face(np.stack(list(a_cuts.values()), axis=1), np.stack(list(b_cuts.values()), axis=1), bound)
         over = _best_rows(olds, "id", "a", [priced("a", witness)])
@@ -152,9 +153,11 @@ def dual_face_gain(old: DataFrame, new: DataFrame, id: str, a: str, m: int, tol:
         bad_a = {k: v for k, v in over.items() if float(witness @ v) > bound + 1e-12 and k not in a_cuts}
         bad_b = {k: v for k, v in rise.items() if float(witness @ v) > value + 1e-10 and k not in b_cuts}
         if not bad_a and not bad_b:
+            closed = True
             break
         a_cuts.update(bad_a)
         b_cuts.update(bad_b)
+    require(closed, "dual face", np.inf, rounds)
     gain = value - solved.margin
     return {"gain": float(gain), "witness": witness.tolist(), "positive": gain > max(10 * tol, 1e-7), "old_margin": solved.margin}
 
@@ -239,7 +242,7 @@ def _box(n: int, multiple: float, floor: float) -> tuple[float, float]:
 
 
 def capped_frontier(
-    df: DataFrame, id: str, a: str, m: int, multiple: float = 2.0, floor: float = 0.0, tol: float = 1e-7, rounds: int = 60
+    df: DataFrame, id: str, a: str, m: int, multiple: float = 2.0, floor: float = 0.0, tol: float = 1e-7, rounds: int = 400
 ) -> tuple[DataFrame, dict]:
     """Max-min weights with floor/n <= q <= multiple/n: (id, q) and margin, witness and gap.
 
@@ -261,6 +264,7 @@ def capped_frontier(
         weights, margin, witness = game(np.stack(gains, axis=1))
         if upper - margin <= tol * (1 + abs(upper)):
             break
+    require(upper - margin <= tol * (1 + abs(upper)), "capped weights", upper - margin, rounds)
     q = pool.select("id", mixed_fills(fills, weights, "a").alias("q"))
     info = {"margin": margin, "upper": upper, "gap": upper - margin, "witness": witness.tolist(), "fills": len(fills),
             "certified": bool(upper - margin <= tol * (1 + abs(upper)))}
@@ -269,7 +273,7 @@ def capped_frontier(
 
 def guarded_weights(
     df: DataFrame, id: str, a: str, m: int, primary: Sequence[float], guardrails: dict[int, float],
-    multiple: float = 2.0, floor: float = 0.0, rounds: int = 60,
+    multiple: float = 2.0, floor: float = 0.0, rounds: int = 400,
 ) -> tuple[DataFrame, dict]:
     """Maximize a primary combination with (A q)_r >= threshold for guarded rows and a weight box.
 
@@ -286,14 +290,17 @@ def guarded_weights(
     pool = cut(df.select(F.col(id).alias("id"), F.col(a).alias("a")))
     n = pool.count()
     low, high = _box(n, multiple, floor)
-    fills, gains, weights, feasible, direction = [], [], np.ones(1), not rows, p
+    fills, gains, weights, feasible, direction, closed = [], [], np.ones(1), not rows, p, False
+    gap = np.inf
     for _ in range(rounds):
         one, gain = fill(pool, "a", direction, n, low, high, m)
         if gains:
             stacked = np.stack(gains, axis=1)
             value = float(direction @ gain)
             reached = float(max(direction @ stacked[:, k] for k in range(stacked.shape[1])))
-            if value <= reached + 1e-10 * (1 + abs(value)):
+            gap = value - reached
+            if gap <= 1e-10 * (1 + abs(value)):
+                closed = True
                 break
         fills.append(one)
         gains.append(gain)
@@ -303,6 +310,7 @@ def guarded_weights(
         lift = np.zeros(m)
         lift[rows] = mult
         direction = (p if feasible else np.zeros(m)) + lift
+    require(closed, "guarded weights", gap, rounds)
     if not feasible:
         raise ValueError("guarded weights are infeasible")
     q = pool.select("id", mixed_fills(fills, weights, "a").alias("q"))

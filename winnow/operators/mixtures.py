@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions.vectors import sum_by
 from winnow.plans.bootstrap import interval, replicate_sums
+from winnow.plans.converge import require
 from winnow.plans.cut import cut
 from winnow.plans.ordered import with_group
 from winnow.plans.partials import array_sum, stack
@@ -67,7 +68,7 @@ def cap_distribution(
     spread = f"transform(sequence(1, {points}), i -> if(l > 0 and r / l > 4, l * pow(r / l, i / {points + 1}D), l + (r - l) * i / {points + 1}D))"
     secant = "if(fr > fl, l + (target - fl) * (r - l) / (fr - fl), l)"
     mass = F.array(*[F.expr(f"sum(least(greatest(grid[{i}] * _c, _lo), _hi))") for i in range(points + 1)]).alias("mass")
-    for _ in range(40):
+    for done in range(1, 201):
         grids = brackets.withColumn("grid", F.expr(f"concat({spread}, array({secant}))"))
         both = grids.join(slim.join(grids.select("_d", "grid"), "_d").groupBy("_d").agg(mass), "_d")
         both = both.withColumn("pts", F.expr("zip_with(grid, mass, (s, f) -> struct(s, f))"))
@@ -79,6 +80,7 @@ def cap_distribution(
         brackets = step.drop("s", "e")
         if worst is None or worst < 1e-12:
             break
+    require(worst is None or worst < 1e-9, "capped distribution", worst or 0.0, done)
     scale = step.selectExpr("_d", "s as _s")
     clipped = F.expr(f"least(greatest(_s * _c, {base} * {float(lower)!r}D), {base} * {float(upper)!r}D)")
     return rows.join(scale, "_d").withColumn(out, clipped).drop("_d", "_c", "_s")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.functions.keys import seeded, uniform
+from winnow.plans.cut import cut
 from winnow.plans.ordered import top_per_group, with_group, with_running_sum
 
 SMALL = 100_000
@@ -54,29 +55,44 @@ def stratified_sample(df: DataFrame, strata: Sequence[str], key: str, n: int, se
     return drawn.drop("_h", "_rn")
 
 
-def weighted_draws(dist: DataFrame, key: str, p: str, draws: int, seed: int) -> DataFrame:
-    """(draw, key): draws with replacement from the distribution p.
+GRID = 2**52
+SPAN = 4096  # grid cells unfolded from one row at a time
+
+
+def integer_masses(dist: DataFrame, p: str, out: str = "_m") -> DataFrame:
+    """Add out: p as a whole number of parts, 2^52 for the largest p times the number of rows at most; rows without a part go.
 
-    Each row owns an interval of the running sum. Draws and intervals meet on a grid cell with
-    about one draw, so the join is an equality join with a short filter, never all pairs.
+    Sums of whole numbers do not depend on the order or the number of partitions.
     """
     total = dist.agg(F.sum(p).alias("t")).first()["t"]
-    rows = dist.filter(F.col(p) > 0).select(key, (F.col(p) / F.lit(total)).alias("_p"))
-    rows = with_running_sum(rows, [], [F.col(key)], "_p", "_hi")
-    rows = rows.withColumn("_lo", F.col("_hi") - F.col("_p"))
-    top = F.lit(draws - 1).cast("bigint")
+    if total is None or not total > 0:
+        raise ValueError("a distribution needs positive mass")
+    # The total's last bits depend on the order of summation; rounding it to 40 bits takes them away.
+    scale = float(f"{total:.11e}")
+    return dist.withColumn(out, F.round(F.col(p) / F.lit(scale) * F.lit(float(GRID))).cast("bigint")).filter(F.col(out) > 0)
 
-    def cell(c: Column) -> Column:
-        return F.least(F.floor(c * draws), top)
 
-    spread = rows.withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))))
+def weighted_draws(dist: DataFrame, key: str, p: str, draws: int, seed: int) -> DataFrame:
+    """(draw, key): draws with replacement from the distribution p.
+
+    Rows own adjoining intervals of whole numbers, so every draw falls into exactly one, whatever the partitioning. Draws and
+    intervals meet on a grid cell with about one draw: an equality join with a short filter, never all pairs. A heavy row
+    unfolds its cells span by span, after a shuffle, so that no task unfolds them all.
+    """
+    if draws < 1:
+        raise ValueError("at least one draw")
+    rows = with_running_sum(integer_masses(dist, p).select(key, "_m"), [], [F.col(key)], "_m", "_hi")
+    rows = cut(rows.select(key, (F.col("_hi") - F.col("_m")).alias("_lo"), "_hi"))
+    total = rows.agg(F.max("_hi").alias("t")).first()["t"]
+    width = max(1, -(-total // draws))
+
+    first, last = F.expr(f"_lo div {width}"), F.expr(f"(_hi - 1) div {width}")
+    spans = rows.withColumn("_from", F.explode(F.sequence(first, last, F.lit(SPAN).cast("bigint")))).withColumn("_to", F.least(last, F.col("_from") + SPAN - 1))
+    cells = spans.repartition(F.col("_from")).withColumn("_cell", F.explode(F.sequence("_from", "_to"))).select(key, "_lo", "_hi", "_cell")
     spark = dist.sparkSession
-    # The last bits of a distributed sum must not lose a draw: uniforms end below the sum.
-    u = spark.range(draws).select(F.col("id").alias("draw"), (uniform(seed, F.col("id")) * (1 - 1e-12)).alias("_u"))
-    u = u.withColumn("_cell", cell(F.col("_u")))
-    hit = u.join(spread, "_cell").filter("_u >= _lo and _u < _hi")
-    # Two neighbours can both claim a draw on a shared rounding edge; keep one.
-    return hit.groupBy("draw").agg(F.min(key).alias(key))
+    place = F.least(F.floor(uniform(seed, F.col("id")) * F.lit(float(total))).cast("bigint"), F.lit(total - 1))
+    u = spark.range(draws).select(F.col("id").alias("draw"), place.alias("_u")).withColumn("_cell", F.expr(f"_u div {width}"))
+    return u.join(cells, "_cell").filter("_u >= _lo and _u < _hi").select("draw", key)
 
 
 def two_stage_draws(df: DataFrame, domain: str, key: str, draws: int, seed: int) -> DataFrame:

@@ -8,7 +8,7 @@ FEEDBACK = (
     "record_id string, user_id string, history array<string>, history_times array<double>, timestamp double, "
     "item_id string, scene string, labels array<double>, split string, prompt string, propensity double, source string"
 )
-REVIEW = "user_id string, parent_asin string, timestamp string, rating double"
+REVIEW = "user_id string, parent_asin string, timestamp bigint, rating double"
 FEEDBACK_LOG = "user_id string, video_id string, time_ms string, tab string, is_click string, is_like string"
 
 # The split vocabulary of each record family.

@@ -70,7 +70,7 @@ def review_violations(raw: DataFrame) -> DataFrame:
         {
             "user_id": F.col("user_id").isNotNull(),
             "parent_asin": F.col("parent_asin").isNotNull(),
-            "timestamp": F.col("timestamp").rlike("^[0-9]+$"),
+            "timestamp": F.coalesce(F.col("timestamp").cast("string").rlike("^[0-9]+$"), F.lit(False)),
         },
     )
 
@@ -102,17 +102,41 @@ def read_upstream_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("escape", '"').csv(path)
 
 
+#: A quoted string of a list literal, and a whole literal of them.
+QUOTED = r"""(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")"""
+LITERAL = rf"(?s)^\s*\[\s*(?:{QUOTED}(?:\s*,\s*{QUOTED})*\s*,?)?\s*\]\s*$"
+
+
+def _replaced(old: Column, new: Column):
+    return lambda s: F.replace(s, old, new)
+
+
+def list_literal(column: str) -> Column:
+    """The strings of a Python list literal in either kind of quotes; anything else, null included, is an error."""
+    c = F.col(column)
+    slash, mark = F.lit("\\"), F.lit("\u0000")  # the mark stands for an escaped backslash while the other escapes are undone
+    bare = F.transform(
+        F.regexp_extract_all(c, F.lit(rf"(?s){QUOTED}"), F.lit(0)),
+        lambda q: F.replace(F.substring(q, F.lit(2), F.length(q) - 2), F.concat(slash, slash), mark))
+    for escape, character in (("'", "'"), ('"', '"'), ("n", "\n"), ("t", "\t"), ("r", "\r")):
+        bare = F.transform(bare, _replaced(F.concat(slash, F.lit(escape)), F.lit(character)))
+    known = F.forall(bare, lambda s: ~F.contains(s, slash))
+    plain = F.transform(bare, lambda s: F.replace(s, mark, slash))
+    ok = F.coalesce(c.rlike(LITERAL) & known, F.lit(False))
+    return F.when(ok, plain).otherwise(F.raise_error(F.concat(F.lit(f"{column}: not a list of strings: "), F.coalesce(c, F.lit("null")))))
+
+
 def parse_history_column(df: DataFrame, column: str, h: int) -> DataFrame:
-    """A Python list literal in a text column to its last h items."""
+    """A Python list literal in a text column to its last h items; a text that is no such list raises."""
     from winnow.plans.ordered import last_items
 
-    parsed = F.from_json(F.translate(F.col(column), "'", '"'), "array<string>")
-    return df.withColumn("history", last_items(parsed, h))
+    return df.withColumn("history", last_items(list_literal(column), h))
 
 
 def unknown_items(df: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Items of a history or target that the catalog does not know: (item_id, uses)."""
-    used = df.select(F.explode(F.concat("history", F.array("item_id"))).alias("item_id"))
+    """Items of a history or target that the catalog does not know: (item_id, uses). A null history is empty."""
+    history = F.coalesce("history", F.array().cast("array<string>"))
+    used = df.select(F.explode(F.concat(history, F.array("item_id"))).alias("item_id"))
     counted = used.groupBy("item_id").agg(F.count("*").alias("uses"))
     return counted.join(catalog.select("item_id").distinct(), "item_id", "left_anti")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import sys
 from collections.abc import Iterator
 
@@ -15,7 +16,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class HistoryProcessor(StatefulProcessor):
-    """Per user: the last h items before the open instant, and the pending block of tied events."""
+    """Per user: the last h items before the open instant, and the events after it by time.
+
+    Pending events are entries of a map, so a batch writes its own events only and closing an instant removes its own only.
+    """
 
     def __init__(self, h: int):
         self.h = h
@@ -23,36 +27,55 @@ class HistoryProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.past = handle.getListState("past", "t bigint, event_id string, item_id string")
-        self.pending = handle.getListState("pending", "t bigint, event_id string, item_id string")
+        self.pending = handle.getMapState("pending", "t bigint, event_id string", "item_id string")
+        self.timer = handle.getValueState("timer", "t bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(x) for x in self.pending.get()]
+        first = None
         for frame in rows:
-            held += list(zip(frame["t"].astype(int).tolist(), frame["event_id"].tolist(), frame["item_id"].tolist()))
-        yield self._close(key, held, timerValues.getCurrentWatermarkInMs())
+            for t, event, item in zip(frame["t"].astype(int).tolist(), frame["event_id"].tolist(), frame["item_id"].tolist()):
+                self.pending.updateValue((t, event), (item,))
+                first = t if first is None else min(first, t)
+        held = self.timer.get()
+        if first is not None and (held is None or first < held[0]):
+            self._wait(first)
+        yield self._close(key, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._close(key, [tuple(x) for x in self.pending.get()], timerValues.getCurrentWatermarkInMs())
-
-    def _close(self, key, held: list[tuple], watermark_ms: int) -> pd.DataFrame:
-        """Emit every event at or before the watermark, and keep the rest pending."""
-        past = [tuple(x) for x in self.past.get()]
-        closed = sorted(x for x in held if x[0] * 1000 <= watermark_ms)
-        open_rows = [x for x in held if x[0] * 1000 > watermark_ms]
-        out, i = [], 0
-        while i < len(closed):
-            j = i
-            while j < len(closed) and closed[j][0] == closed[i][0]:
-                j += 1
-            items = ",".join(x[2] for x in past)
-            out += [(key[0], x[1], x[0], items) for x in closed[i:j]]
-            past = (past + closed[i:j])[-self.h :]
-            i = j
-        self.past.put(past) if past else self.past.clear()
-        self.pending.put(open_rows) if open_rows else self.pending.clear()
-        if open_rows:
-            self.handle.registerTimer(min(x[0] for x in open_rows) * 1000)
-        return pd.DataFrame(out, columns=["user_id", "event_id", "t", "history"])
+        yield self._close(key, timerValues.getCurrentWatermarkInMs())
+
+    def _wait(self, t: int) -> None:
+        self.timer.update((t,))
+        self.handle.registerTimer(t * 1000)
+
+    def _close(self, key, watermark_ms: int) -> pd.DataFrame:
+        """Emit every event at or before the watermark; the rest stays pending."""
+        columns = ["user_id", "event_id", "t", "history"]
+        held = self.timer.get()
+        if held is None or held[0] * 1000 > watermark_ms:
+            return pd.DataFrame([], columns=columns)
+        closed, later = [], None
+        for (t, event), (item,) in self.pending.iterator():
+            if t * 1000 <= watermark_ms:
+                closed.append((t, event, item))
+            else:
+                later = t if later is None else min(later, t)
+        past, out = [tuple(x) for x in self.past.get()], []
+        for _, block in itertools.groupby(sorted(closed), key=lambda x: x[0]):
+            tied = list(block)
+            # a row that came late, yet before Spark drops it, must not see what happened after it
+            items = [x[2] for x in past if x[0] < tied[0][0]]
+            out += [(key[0], event, t, items) for t, event, _ in tied]
+            past = sorted(past + tied)[-self.h :]
+        for t, event, _ in closed:
+            self.pending.removeKey((t, event))
+        if past:
+            self.past.put(past)
+        if later is None:
+            self.timer.clear()
+        else:
+            self._wait(later)
+        return pd.DataFrame(out, columns=columns)
 
     def close(self) -> None:
         pass

@@ -252,10 +252,10 @@ def obs_feedback_metrics(spark, sf):
 
 @query(
     "obs_reduce_token_loss",
-    """with t as (select record_id, unnest(input_ids) as i, unnest(labels) as y from sft), u as (select record_id, (i % 97) / 10.0 as l from t where y <> -100),
+    """with t as (select record_id, unnest(input_ids) as i, unnest(labels) as y from sft_all), u as (select record_id, (i % 97) / 10.0 as l from t where y <> -100),
        p as (select record_id, sum(l) as s, count(*) as c from u group by 1)
        select round(sum(s) / sum(c), 6) as token_mean, round(avg(s / c), 6) as example_mean, cast(sum(c) as bigint) as tokens, count(*) as records from p""",
-    "sft",
+    "sft_all",
 )
 def obs_reduce_token_loss(spark, sf):
     out = E.reduce_token_loss(_tokens(spark, sf), "record_id", "label", "loss")
@@ -263,16 +263,16 @@ def obs_reduce_token_loss(spark, sf):
 
 
 def _tokens(spark, sf):
-    return T.sft(spark, sf).select("record_id", F.explode(F.arrays_zip("input_ids", "labels")).alias("t")).select(
+    return T.sft_all(spark, sf).select("record_id", F.explode(F.arrays_zip("input_ids", "labels")).alias("t")).select(
         "record_id", F.col("t.labels").alias("label"), ((F.col("t.input_ids") % 97) / 10.0).alias("loss")
     )
 
 
 @query(
     "obs_row_token_loss",
-    """with t as (select record_id, unnest(input_ids) as i, unnest(labels) as y from sft)
+    """with t as (select record_id, unnest(input_ids) as i, unnest(labels) as y from sft_all)
        select record_id, round(avg((i % 97) / 10.0), 6) as loss, count(*) as tokens from t where y <> -100 group by record_id""",
-    "sft",
+    "sft_all",
 )
 def obs_row_token_loss(spark, sf):
     out = E.row_token_loss(_tokens(spark, sf), "record_id", "label", "loss")

@@ -46,7 +46,7 @@ _TASK_VIEWS = """past as (select h.event_id, list(coalesce(c.answer, u.i) order
     f"""with {_TASK_VIEWS}
        select h.event_id || ':next' as record_id, h.user_id,
          case when h."timestamp" < 946684800 then 'train' when h."timestamp" < 978307200 then 'select' else 'test' end as split,
-         'History: ["' || array_to_string(past, '", "') || '"]' || chr(10) || 'Recommend the next item.' as input_text,
+         'History: [' || array_to_string(list_transform(past, lambda x: cast(to_json(x) as varchar)), ', ') || ']' || chr(10) || 'Recommend the next item.' as input_text,
          coalesce(c.answer, h.item_id) as output_text
        from hist h join past using (event_id) left join cat c on c.item_id = h.item_id""",
     "hist cat",
@@ -62,7 +62,7 @@ def hist_next_item_task(spark, sf):
        n as (select event_id, cat, count(*) as n from (select event_id, unnest(cats) as cat from past) group by all),
        best as (select event_id, cat from n qualify row_number() over (partition by event_id order by n desc, cat) = 1)
        select h.event_id || ':history_category' as record_id,
-         'History: ["' || array_to_string(past, '", "') || '"]' || chr(10) || 'Return its most frequent recorded category.' as input_text,
+         'History: [' || array_to_string(list_transform(past, lambda x: cast(to_json(x) as varchar)), ', ') || ']' || chr(10) || 'Return its most frequent recorded category.' as input_text,
          best.cat as output_text
        from hist h join past using (event_id) join best using (event_id) where h."timestamp" < 946684800""",
     "hist cat",
@@ -271,25 +271,25 @@ def hist_assemble_supervision(spark, sf):
 @query(
     "hist_split_counts",
     """with g as (select * from (values ('opening'), ('followup'), ('grounding'), ('*')) t(task),
-                (values ('train'), ('select'), ('tune'), ('audit'), ('test'), ('*')) s(split)),
+                (values ('train'), ('select'), ('tune'), ('audit'), ('holdout'), ('*')) s(split)),
        c as (select coalesce(domain, '*') as task, coalesce(split, '*') as split, count(*) as n, count(distinct user_id) as users
-             from sft group by cube (domain, split))
+             from sft_all group by cube (domain, split))
        select task, split, coalesce(n, 0) as n, coalesce(users, 0) as users, coalesce(n, 0) = 0 as empty from g left join c using (task, split)""",
-    "sft",
+    "sft_all",
 )
 def hist_split_counts(spark, sf):
-    rows = T.sft(spark, sf).select(F.col("domain").alias("task"), "split", "user_id")
-    return H.split_counts(rows, ["opening", "followup", "grounding"], ["train", "select", "tune", "audit", "test"])
+    rows = T.sft_all(spark, sf).select(F.col("domain").alias("task"), "split", "user_id")
+    return H.split_counts(rows, ["opening", "followup", "grounding"], ["train", "select", "tune", "audit", "holdout"])
 
 
 @query(
     "hist_user_overlap",
-    """with s as (select distinct user_id, split from sft)
+    """with s as (select distinct user_id, split from sft_all)
        select a.split as a, b.split as b, count(*) as users from s a join s b on a.user_id = b.user_id and a.split < b.split group by all""",
-    "sft",
+    "sft_all",
 )
 def hist_user_overlap(spark, sf):
-    return H.user_overlap(T.sft(spark, sf))
+    return H.user_overlap(T.sft_all(spark, sf))
 
 
 @query(

@@ -145,7 +145,11 @@ def met_rank_metrics(spark, sf):
 
 @query("met_paired_bootstrap")
 def met_paired_bootstrap(spark, sf):
-    """Recent history against last item then popularity, 2,000 replicates."""
+    """Recent history against last item then popularity, 2,000 resamples."""
+    return _paired(spark, sf)
+
+
+def _paired(spark, sf):
     rows = cut(ranking_queries(spark, sf))
     left = M.history_then_popularity(rows, train_events(spark, sf), 10)
     right = M.history_then_popularity(rows, train_events(spark, sf), 10, depth=1)
@@ -154,6 +158,27 @@ def met_paired_bootstrap(spark, sf):
     )
 
 
+def _gain_sql(name: str, past: str) -> str:
+    """Tables up to `name`: the NDCG@10 of a ranker for every query."""
+    return f"""{name}_all as (select query_id, target, list_concat({past}, coalesce(popular, [])) as l from q left join pop using (domain)),
+        {name}_pos as (select query_id, target, unnest(l) as i, unnest(range(len(l))) as pos from {name}_all),
+        {name}_first as (select query_id, i, i = target as hit, min(pos) as pos from {name}_pos group by all),
+        {name}_rank as (select query_id, hit, row_number() over (partition by query_id order by pos) as rk from {name}_first),
+        {name} as (select query_id, coalesce(max(case when hit and rk <= 10 then 1.0 / log2(rk + 1) end), 0.0) as g from q left join {name}_rank using (query_id) group by query_id)"""
+
+
+@query(
+    "met_paired_difference",
+    f"""with {_QUERIES}, {_gain_sql("a", "predictions")}, {_gain_sql("b", "list_slice(predictions, 1, 1)")}
+        select count(*) as records, round(avg(a.g - b.g), 6) + 0.0 as difference, true as inside from a join b using (query_id)""",
+    "ehist ev",
+)
+def met_paired_difference(spark, sf):
+    """The same comparison, and that its interval holds the difference."""
+    inside = (F.col("low") <= F.col("difference")) & (F.col("difference") <= F.col("high"))
+    return _paired(spark, sf).select("records", r("difference").alias("difference"), inside.alias("inside"))
+
+
 @query(
     "met_popularity_ranker",
     f"""with {_QUERIES} select domain, array_to_string(list_slice(popular, 1, 10), ',') as popular from pop""",

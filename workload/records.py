@@ -49,20 +49,20 @@ def src_response_cost(spark, sf):
     return T.sft_all(spark, sf).select("record_id", C.response_cost("labels").alias("cost"))
 
 
-@query("src_record_keys", "select record_id, cost, cell, content_id, provenance_group from sft_keys", "sft_keys")
+@query("src_record_keys", "select record_id, cost, cell, content_id, provenance_group from sft_all_keys", "sft_all_keys")
 def src_record_keys(spark, sf):
-    return T.sft(spark, sf).select("record_id", "cost", "cell", "content_id", "provenance_group")
+    return T.sft_keyed(spark, sf).select("record_id", "cost", "cell", "content_id", "provenance_group")
 
 
 @query(
     "src_table_violations",
-    """select 'duplicate_record_id' as rule, root_id as key, count(*) as n from sft group by root_id having count(*) > 1
-       union all select 'mixed_recipe', '', n from (select count(distinct domain) as n from sft) where n > 1""",
-    "sft",
+    """select 'duplicate_record_id' as rule, root_id as key, count(*) as n from sft_all group by root_id having count(*) > 1
+       union all select 'mixed_recipe', '', n from (select count(distinct domain) as n from sft_all) where n > 1""",
+    "sft_all",
 )
 def src_table_violations(spark, sf):
     """Conversation ids taken as record ids and domains as recipes: both rules must fire."""
-    rows = T.sft(spark, sf).select(F.col("root_id").alias("record_id"), F.col("domain").alias("recipe_id"))
+    rows = T.sft_all(spark, sf).select(F.col("root_id").alias("record_id"), F.col("domain").alias("recipe_id"))
     return C.table_violations(rows)
 
 
@@ -99,11 +99,11 @@ _LANE = "cast(sum(cast(cast('0x' || substr(h, {at}, 12) as bigint) as hugeint))
 @query(
     "src_table_fingerprint",
     f"""select count(*) as "rows", {_LANE.format(at=1)} as lane_a, {_LANE.format(at=13)} as lane_b
-       from (select sha256(concat_ws('|', record_id, root_id, cell, split, content_id)) as h from sft_keys)""",
-    "sft_keys",
+       from (select sha256(concat_ws('|', record_id, root_id, cell, split, content_id)) as h from sft_all_keys)""",
+    "sft_all_keys",
 )
 def src_table_fingerprint(spark, sf):
-    return C.table_fingerprint(T.sft(spark, sf))
+    return C.table_fingerprint(T.sft_keyed(spark, sf))
 
 
 def _feedback_records(spark, sf):

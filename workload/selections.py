@@ -56,8 +56,8 @@ def sel_quota_feasibility(spark, sf):
 
 @query("sel_coverage_objective")
 def sel_coverage_objective(spark, sf):
-    """Information of the rows of three cells."""
-    value = S.coverage_objective(pool(spark, sf).filter("cell in ('0', '1', '2')"), "z", T.D)
+    """Information of the whole pool."""
+    value = S.coverage_objective(pool(spark, sf), "z", T.D)
     return spark.createDataFrame([(value,)], "coverage double")
 
 

@@ -61,8 +61,24 @@ def str_normalize(spark, sf):
         "user_id", F.col("item_id").alias("parent_asin"), F.col("t").cast("string").alias("timestamp"), F.col("value").alias("rating")
     )
     with _state_settings(spark):
-        O.run_available(O.stream_normalize(raw, "retail", "40 days"), out, state)
-    return spark.read.parquet(out).select("user_id", "item_id", "timestamp")
+        O.run_normalize(raw, "retail", out, state, "40 days")
+    return spark.read.parquet(f"{out}/events").select("user_id", "item_id", "timestamp")
+
+
+@query("str_rejected", """select user_id, item_id from ev where domain = (select min(domain) from ev)""", "ev")
+def str_rejected(spark, sf):
+    """One kind of event gets a time that is no integer; exactly its rows are in the sink of rejects."""
+    out, state = _folders(spark)
+    events = _events(spark, sf)
+    least = T.ev(spark, sf).agg(F.min("domain").alias("d")).first()["d"]
+    raw = events.select(
+        "user_id", F.col("item_id").alias("parent_asin"),
+        F.when(F.col("domain") == least, F.concat(F.col("t").cast("string"), F.lit(".5"))).otherwise(F.col("t").cast("string")).alias("timestamp"),
+        F.col("value").alias("rating"),
+    )
+    with _state_settings(spark):
+        O.run_normalize(raw, "retail", out, state, "40 days")
+    return spark.read.parquet(f"{out}/rejects").select("user_id", F.col("parent_asin").alias("item_id"))
 
 
 @query(
@@ -105,7 +121,7 @@ def str_strict_history(spark, sf):
     events = _events(spark, sf).select("user_id", "event_id", "item_id", "t").withColumn("event_time", F.timestamp_seconds("t"))
     with _state_settings(spark):
         O.run_available(O.stream_strict_history(events, 20, "1 hour"), out, state)
-    return spark.read.parquet(out).select("event_id", "user_id", "history")
+    return spark.read.parquet(out).select("event_id", "user_id", F.array_join("history", ",").alias("history"))
 
 
 @query(
@@ -116,6 +132,6 @@ def str_strict_history(spark, sf):
 )
 def str_rolling_unit_window(spark, sf):
     out, state = _folders(spark)
-    O.run_batches(_events(spark, sf), O.rolling_unit_window(out), state)
-    units = spark.read.parquet(out).groupBy(F.col("t").alias("w"), "domain").agg(F.avg("value").alias("f"))
-    return O.last_windows(units, "w", 5).select("w", "domain", (F.round("f", 6) + F.lit(0.0)).alias("feature"))
+    O.run_batches(_events(spark, sf), O.rolling_unit_window(out, "t", 5), state)
+    units = O.current_units(spark, out).groupBy(F.col("t").alias("w"), "domain").agg(F.avg("value").alias("f"))
+    return units.select("w", "domain", (F.round("f", 6) + F.lit(0.0)).alias("feature"))

@@ -125,8 +125,14 @@ def sft_all(spark: SparkSession, sf: str) -> DataFrame:
     return encoded(spark, sf).withColumn("input_ids", ids).withColumn("labels", labels).drop("prompt_ids", "response_ids")
 
 
+def sft_keyed(spark: SparkSession, sf: str) -> DataFrame:
+    """All records with their keys."""
+    return record_keys(sft_all(spark, sf))
+
+
 def sft(spark: SparkSession, sf: str) -> DataFrame:
-    rows = record_keys(sft_all(spark, sf))
+    """The records that are valid, for operators that need valid ones."""
+    rows = sft_keyed(spark, sf)
     return rows.filter((F.col("cost") > 0) & (F.size("input_ids") >= 2) & (F.col("split") != "holdout"))
 
 

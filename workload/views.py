@@ -70,12 +70,13 @@ VIEWS: dict[str, tuple[str, str]] = {
            from encoded""",
     ),
     "sft": ("sft_all", "select * from sft_all where cost > 0 and len(input_ids) >= 2 and split <> 'holdout'"),
-    "sft_keys": (
-        "sft",
+    "sft_all_keys": (
+        "sft_all",
         """select *, sha256('[[' || array_to_string(input_ids, ',') || '],[' || array_to_string(labels, ',') || '],"'
              || recipe_id || '"]') as content_id,
-             sha256('["' || root_id || '","' || task || '","' || domain || '"]') as provenance_group from sft""",
+             sha256('["' || root_id || '","' || task || '","' || domain || '"]') as provenance_group from sft_all""",
     ),
+    "sft_keys": ("sft_all_keys", "select * from sft_all_keys where cost > 0 and len(input_ids) >= 2 and split <> 'holdout'"),
     "vec": (
         "",
         """select vec_id as id, list_transform(embedding, lambda x: cast(x as double)) as v, label, cast(label as varchar) as cell,

@@ -32,7 +32,25 @@ def smp_stratified_sample(spark, sf):
     return S.stratified_sample(T.ev(spark, sf), ["domain"], "event_id", 50, 5).select("event_id", "domain")
 
 
-@query("smp_weighted_draws")
+def _uniform(seed: str, key: str) -> str:
+    """The number in (0, 1) that the library draws for a key."""
+    return f"((cast('0x' || substr(sha256('{seed}|' || {key}), 1, 12) as bigint) + cast(0.5 as double)) / pow(2, 48))"
+
+
+def _draws(key: str, source: str, draws: int, seed: int) -> str:
+    """Tables up to `hit`: the key of every draw, from whole-numbered adjoining intervals over source(key, p)."""
+    return f"""mass as (select {key}, cast(round(p * pow(2, 52)) as bigint) as m from {source}),
+        ends as (select {key}, m, cast(sum(m) over (order by {key}) as bigint) as hi from mass),
+        place as (select id as draw, cast(floor({_uniform(str(seed), "cast(id as varchar)")} * (select max(hi) from ends)) as bigint) as u from range({draws}) t(id)),
+        hit as (select draw, {key} from place join ends on u >= hi - m and u < hi)"""
+
+
+@query(
+    "smp_weighted_draws",
+    f"""with l as (select l_partkey, sum(l_extendedprice) as w from lineitem group by 1), d as (select l_partkey, w / (select sum(w) from l) as p from l),
+        {_draws("l_partkey", "d", 20000, 11)}, n as (select l_partkey, count(*) as n from hit group by 1)
+        select l_partkey, round(p, 9) as p, coalesce(n, 0) / cast(20000 as double) as frequency from d left join n using (l_partkey)""",
+)
 def smp_weighted_draws(spark, sf):
     """Draw items in proportion to their line value; compare frequency and probability."""
     lines = T.table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.sum("l_extendedprice").alias("w"))
@@ -40,10 +58,15 @@ def smp_weighted_draws(spark, sf):
     dist = lines.select("l_partkey", (F.col("w") / total).alias("p"))
     draws = S.weighted_draws(dist, "l_partkey", "p", 20000, 11)
     seen = draws.groupBy("l_partkey").agg((F.count("*") / F.lit(20000.0)).alias("frequency"))
-    return dist.join(seen, "l_partkey", "left").na.fill({"frequency": 0.0})
+    return dist.withColumn("p", r("p", 9)).join(seen, "l_partkey", "left").na.fill({"frequency": 0.0})
 
 
-@query("smp_two_stage_draws")
+@query(
+    "smp_two_stage_draws",
+    f"""with d as (select event_id, domain, cast(1 as double) / ((select count(distinct domain) from ev) * count(*) over (partition by domain)) as p from ev),
+        {_draws("event_id", "d", 5000, 3)} select domain, count(*) as draws from hit join ev using (event_id) group by domain""",
+    "ev",
+)
 def smp_two_stage_draws(spark, sf):
     rows = T.ev(spark, sf)
     draws = S.two_stage_draws(rows, "domain", "event_id", 5000, 3)
@@ -276,7 +299,12 @@ def smp_hard_negatives(spark, sf):
     return S.hard_negatives(positives, candidates, T.ev(spark, sf).select("domain", "item_id"))
 
 
-@query("smp_categorical_pick")
+@query(
+    "smp_categorical_pick",
+    f"""with c as (select user_id, item_id, count(*) as n from ev group by all), p as (select *, n / cast(sum(n) over (partition by user_id) as double) as p from c)
+        select user_id, arg_max(item_id, ln(p) - ln(-ln({_uniform("9", "user_id || '|' || item_id")}))) as pick from p group by user_id""",
+    "ev",
+)
 def smp_categorical_pick(spark, sf):
     """One item per user in proportion to how often the user had it."""
     counts = T.ev(spark, sf).groupBy("user_id", "item_id").agg(F.count("*").alias("n"))
@@ -293,7 +321,19 @@ def _target_and_draft(spark, sf):
     )
 
 
-@query("smp_speculative_pick")
+_NOISE = {k: f"ln(-ln({_uniform('13-' + k, "user_id || '|' || domain")}))" for k in ("draft", "rest")}
+
+
+@query(
+    "smp_speculative_pick",
+    f"""with c as (select user_id, domain, count(*) as n, sum(value) as v from ev group by all),
+          p as (select user_id, domain, n / cast(sum(n) over w as double) as t, v / sum(v) over w as d from c window w as (partition by user_id)),
+          k as (select user_id, arg_max({{'i': domain, 't': t, 'd': d}}, case when d > 0 then ln(d) - {_NOISE["draft"]} end) as pick,
+                  arg_max(domain, case when t > d then ln(greatest(t - d, 1e-300)) - {_NOISE["rest"]} end) as other from p group by user_id),
+          a as (select *, {_uniform("13-accept", "user_id")} * pick.d < pick.t or other is null as accepted from k)
+        select user_id, case when accepted then pick.i else other end as pick, accepted from a""",
+    "ev",
+)
 def smp_speculative_pick(spark, sf):
     return S.speculative_pick(_target_and_draft(spark, sf), ["user_id"], "domain", "target", "draft", 13)
 

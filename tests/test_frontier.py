@@ -169,6 +169,14 @@ def test_best_small_batch_finds_the_pair(spark):
     assert sorted(out["selected"]) == ["0", "1"] and out["new_margin"] == pytest.approx(0.5) and out["skyline"] == 1
 
 
+def test_best_batch_of_four_objectives_takes_four_columns(spark):
+    new = spark.createDataFrame([(i, [3.0 if i == j else -0.5 for j in range(4)], 1.0) for i in range(5)], "id bigint, a array<double>, c double")
+    out = A.best_small_batch(columns(spark, [(-1, -1, -1, -1)]), new, "id", "a", "c", 4, 4)
+    assert sorted(out["selected"]) == ["0", "1", "2", "3"] and out["new_margin"] == pytest.approx((3 - 1.5) / 4)
+    with pytest.raises(ValueError, match="limit"):
+        A.best_small_batch(columns(spark, [(-1, -1, -1, -1)]), new, "id", "a", "c", 4, 4, limit=10)
+
+
 def test_proposal_menu_guard_and_extra_candidates(spark):
     df = spark.createDataFrame([("a", [3.0, 0.0, -1.0]), ("b", [0.0, 3.0, 0.0]), ("c", [0.1, 0.1, 2.0])], "n string, a array<double>")
     row = X.proposal_menu(df, "n", "a", 3, top=1, also=[(0,), (1,)]).first()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from collections.abc import Sequence
 
 import numpy as np
@@ -84,7 +87,9 @@ def undominated(df: DataFrame, id: str, a: str, m: int) -> DataFrame:
 
 
 def best_small_batch(existing: DataFrame, new: DataFrame, id: str, a: str, cost: str, budget: float, m: int, limit: int = 20_000) -> dict:
-    """The best affordable set of up to three new columns by frontier margin, exactly.
+    """The best affordable set of new columns by frontier margin, exactly.
+
+    An optimal mix has at most one column per objective, so sets of more than m columns need not be tried.
 
     The existing pool enters only through its skyline. Subsets are numbered, not joined: each task
     decodes its share of the numbers. More subsets than the limit is an error, never a sample.
@@ -94,9 +99,10 @@ def best_small_batch(existing: DataFrame, new: DataFrame, id: str, a: str, cost:
     _, margin, _ = game(base)
     rows = new.filter(F.col(cost) <= budget).select(F.col(id).alias("id"), F.col(a).alias("a"), F.col(cost).alias("c"))
     n = rows.count()
-    total = n + n * (n - 1) // 2 + n * (n - 1) * (n - 2) // 6
+    most = min(n, m)
+    total = sum(math.comb(n, size) for size in range(1, most + 1))
     if total > limit:
-        raise ValueError("exact enumeration limit exceeded")
+        raise ValueError(f"{total} sets of up to {most} columns; the limit of exact enumeration is {limit}")
     got = rows.orderBy("id").collect()  # n is bounded by the limit on subsets
     ids = [r["id"] for r in got]
     values = np.asarray([r["a"] for r in got], dtype=float)
@@ -108,8 +114,8 @@ def best_small_batch(existing: DataFrame, new: DataFrame, id: str, a: str, cost:
         for frame in frames:
             out = []
             for i in frame["id"]:
-                sets = [(i,)] + [(i, j) for j in range(i + 1, n)] + [(i, j, k) for j in range(i + 1, n) for k in range(j + 1, n)]
-                for s in sets:
+                rest = range(i + 1, n)
+                for s in ((i, *more) for size in range(most) for more in itertools.combinations(rest, size)):
                     if costs[list(s)].sum() <= budget:
                         out.append((",".join(str(ids[x]) for x in s), len(s), game(np.column_stack([base, values[list(s)].T]))[1]))
             yield pd.DataFrame(out, columns=["chosen", "size", "margin"])
@@ -181,7 +187,7 @@ def greedy_coverage(df: DataFrame, id: str, p: str, weights: Sequence[float], k:
         gain = F.round(dot_with("p", w * left), 12)
         best = rest.agg(F.max_by(F.struct("id", "p"), F.struct(gain, -F.col("id"))).alias("b")).first()["b"]
         if best is None:
-            break
+            raise ValueError(f"{k} rows asked for, {len(chosen)} there")
         probs = np.asarray(best["p"], dtype=float)
         value += float((w * left) @ probs)
         left = left * (1 - probs)

@@ -125,12 +125,10 @@ def restricted_logprob(logits: DataFrame, layout: DataFrame, key: Sequence[str])
     rows = logits.join(
         layout.select("domain", "item_id", "depth", "allowed", F.col("code").alias("_true")), ["domain", "item_id", "depth"]
     ).filter(F.array_contains("allowed", F.col("code")))
-    by = [*key, "depth"]
-    peaks = with_group(rows, by, F.max("logit").alias("_peak"))
-    step = peaks.groupBy(*by).agg(
-        (
-            F.sum(F.when(F.col("code") == F.col("_true"), F.col("logit")))
-            - F.max("_peak") - F.log(F.sum(F.exp(F.col("logit") - F.col("_peak"))))
-        ).alias("step")
-    )
+    # A prefix has few legal codes, so a record's logits at a depth fit one row; everything after that shuffle is inside the row.
+    gathered = rows.groupBy(*key, "depth").agg(
+        F.collect_list("logit").alias("_z"), F.sum(F.when(F.col("code") == F.col("_true"), F.col("logit"))).alias("_own")
+    ).withColumn("_top", F.array_max("_z"))
+    mass = F.aggregate(F.transform("_z", lambda x: F.exp(x - F.col("_top"))), F.lit(0.0), lambda s, x: s + x)
+    step = gathered.select(*key, (F.col("_own") - F.col("_top") - F.log(mass)).alias("step"))
     return step.groupBy(*key).agg(F.sum("step").alias("logprob"), (-F.avg("step")).alias("loss"))

@@ -94,8 +94,9 @@ def kl_tilt(df: DataFrame, group: Sequence[str], p: str, utility: str, temperatu
         raise ValueError("invalid tilt")
     on = F.col(p) > 0
     z = F.when(on, F.log(F.when(on, F.col(p))) + F.col(utility) / F.lit(float(temperature)))
-    rows = with_group(df.withColumn("_z", z), list(group), F.max("_z").alias("_top"))
-    rows = rows.withColumn("_w", F.coalesce(F.exp(F.col("_z") - F.col("_top")), F.lit(0.0)))
+    # each written table is read twice, by the aggregate and by the join; nothing above is computed again
+    rows = with_group(cut(df.withColumn("_z", z)), list(group), F.max("_z").alias("_top"))
+    rows = cut(rows.withColumn("_w", F.coalesce(F.exp(F.col("_z") - F.col("_top")), F.lit(0.0))))
     rows = with_group(rows, list(group), F.sum("_w").alias("_s"))
     return rows.withColumn(out, F.col("_w") / F.col("_s")).drop("_z", "_top", "_w", "_s")
 

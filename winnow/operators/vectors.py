@@ -145,7 +145,7 @@ def farthest_first(df: DataFrame, id: str, v: str, k: int, seed: int = 0, every:
         rest = table.filter(~F.col("id").isin(chosen))
         best = rest.agg(F.expr("max_by(struct(id, v), struct(round(d, 12), -id))").alias("b")).first()["b"]
         if best is None:
-            break
+            raise ValueError(f"{k} rows asked for, {len(chosen)} there")
         chosen.append(best["id"])
         point = best["v"]
     return chosen

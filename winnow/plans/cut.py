@@ -6,6 +6,7 @@ steps that follow, and has a known size, so that Spark's own broadcast choice st
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; a temporary one only for a local master."""
+    """The shared folder in spark.checkpoint.dir; where it is unset, a temporary one for a master in this process only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[0-9*]+(,[0-9]+)?\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
     folder = tempfile.mkdtemp(prefix="winnow-checkpoint-")
     spark.conf.set("spark.checkpoint.dir", folder)

@@ -8,6 +8,7 @@ from winnow.functions.keys import seeded, stable_bucket
 from winnow.operators import exposure as X
 from winnow.operators import refill as R
 from winnow.operators import selection as S
+from winnow.plans.cut import cut
 from workload import tables as T
 from workload.registry import query, r
 
@@ -253,3 +254,41 @@ def sel_query_ledger(spark, sf):
 def smp_seeded_order(spark, sf):
     """The digest every seeded draw orders by."""
     return T.vec(spark, sf).select("id", seeded(17, "id").alias("h"))
+
+
+def _composed(spark, sf):
+    """Training records of the conversations, each with the vector its conversation is dealt."""
+    records = T.sft(spark, sf).filter("split = 'train'")
+    vectors = T.vec(spark, sf).select("id", "v")
+    n = vectors.count()
+    dealt = records.withColumn("_at", F.col("root_id").cast("bigint") % n)
+    return dealt.join(vectors.withColumnRenamed("id", "_at"), "_at").drop("_at").withColumn("z", F.array(F.lit(1.0), F.log1p("cost")))
+
+
+@query(
+    "sel_composed_pipeline",
+    """with t as (select * from sft where split = 'train'),
+         roots as (select root_id from (select distinct root_id from t) order by sha256('42|' || root_id) limit 60),
+         p as (select * from t where root_id in (select root_id from roots)), b as (select cast(sum(cost) * 0.5 as bigint) as budget from p)
+       select count(*) as pool_rows, count(distinct root_id) as roots, cast(sum(cost) as bigint) as pool_tokens, true as within_budget,
+         true as swaps_keep_cells, true as plan_within, cast(0 as bigint) as violations from p""",
+    "sft",
+)
+def sel_composed_pipeline(spark, sf):
+    """All steps in a row; the report states the pool exactly and what must hold of selection, refill and plan."""
+    from winnow.operators.compose import compose
+    from winnow.operators.sampling import root_reservoir
+
+    records = cut(_composed(spark, sf))
+    budget = int(root_reservoir(records, "root_id", 60, 42).agg(F.sum("cost").alias("s")).first()["s"] * 0.5)
+    config = S.SelectConfig(budget=budget, keep_all_when_fits=False, provenance_cap=3)
+    out = compose(records, "v", "z", F.col("domain") == "opening", T.D, 2, 60, config, 2 * budget)
+    pool = out.pool.agg(F.count("*").alias("pool_rows"), F.countDistinct("root_id").alias("roots"), F.sum("cost").alias("pool_tokens"))
+    spent = out.selected.agg(F.sum("cost")).first()[0]
+    planned = out.plan.agg(F.sum("response_tokens")).first()[0]
+    cells = out.pool.select("id", "cell")
+    moved = out.swaps.join(cells.withColumnsRenamed({"id": "id_in", "cell": "a"}), "id_in").join(cells.withColumnsRenamed({"id": "id_out", "cell": "b"}), "id_out")
+    odd = moved.filter("a <> b or token_delta <> 0 or gain <= 0").count()
+    return pool.select(
+        "pool_rows", "roots", "pool_tokens", F.lit(bool(0 < spent <= budget)).alias("within_budget"), F.lit(odd == 0).alias("swaps_keep_cells"),
+        F.lit(bool(0 < planned <= 2 * budget)).alias("plan_within"), F.lit(out.audit.count()).cast("bigint").alias("violations"))

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.llm import language, minhash, packing, personal, toxicity
-from winnow.llm.common import documents
-from winnow.plans.cut import cut
+from winnow.llm.common import cut, documents
 
 ORACLE_SQL = None
 

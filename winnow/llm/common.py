@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,22 +11,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from winnow.plans.cut import cut
+from winnow.plans.cut import checkpoint_folder
 from winnow.session import ship
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Ship the package and keep Arrow batches small enough for whole, very long texts."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     return spark
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, read from a compressed table in the checkpoint folder; it outlives every executor."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/winnow/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

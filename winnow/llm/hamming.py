@@ -20,8 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from winnow.llm.common import prepare
-from winnow.plans.cut import cut
+from winnow.llm.common import cut, prepare
 
 SAMPLE = 8192  # vectors the codes are fitted on, taken in the order of a hash of the vector
 SUBSTRINGS = 8

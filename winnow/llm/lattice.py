@@ -13,6 +13,7 @@ word table: a chunk of documents ships its distinct words once and gets their co
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import held_out, pieces, prepare, spread, texts
+from winnow.llm.common import cut, held_out, pieces, prepare, spread, texts
 from winnow.llm.wordhash import inverse_powers, mix, prefix_sums, span_hashes, word_spans
-from winnow.plans.cut import cut
 from winnow.plans.partials import array_sum
 
-CHUNK = 8 << 20  # bytes of text whose distinct words are shipped together
+CHUNK = 16 << 20  # bytes of text whose distinct words are shipped together
+CHUNK_BITS, NUMBER_BITS = 13, 27  # of a place: chunks of a task, words of a chunk
 ROUNDS = 2
 PRIOR = 1000.0  # how many pieces the existing scores count for
 WORDS = 20_000  # words a recursion
@@ -161,41 +162,75 @@ def _expected(v: Vocabulary, logp: np.ndarray):
     return part
 
 
+def _pack(numbers: np.ndarray, times: np.ndarray) -> bytes:
+    """A document's word numbers, rising, and how often each stands."""
+    return zlib.compress(np.diff(numbers, prepend=0).astype("<i4").tobytes() + times.astype("<i4").tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    gaps, times = np.frombuffer(zlib.decompress(packed), "<i4").reshape(2, -1)
+    return np.cumsum(gaps), times
+
+
+class _Chunk:
+    """Documents whose distinct words travel together; texts are hashed piece by piece as they come."""
+
+    def __init__(self, number: int):
+        self.number, self.size = number, 0
+        self.ids: list = []
+        self.held_out: list[bool] = []
+        self.texts: list[tuple[bytes, np.ndarray, np.ndarray]] = []
+        self.hashes: list[np.ndarray] = []
+        self.words: list[np.ndarray] = []
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        joined, starts, ends, hashes, offsets = word_spans(texts(batch))
+        self.ids += batch.column("doc_id").to_pylist()
+        self.held_out += batch.column("held_out").to_pylist()
+        self.texts.append((joined, starts, ends))
+        self.hashes.append(hashes)
+        self.words.append(np.diff(offsets))
+        self.size += len(joined)
+
+    def rows(self, kind: pa.DataType) -> pa.RecordBatch:
+        distinct, first, inverse = np.unique(np.concatenate(self.hashes), return_index=True, return_inverse=True)
+        bounds = np.cumsum([0, *(len(h) for h in self.hashes)])
+        words = [b""] * len(distinct)
+        for (joined, starts, ends), a, b in zip(self.texts, bounds, bounds[1:]):
+            own = np.flatnonzero((first >= a) & (first < b))
+            at = first[own] - a
+            for i, x, y in zip(own.tolist(), starts[at].tolist(), ends[at].tolist()):
+                words[i] = joined[x:y]
+        order = sorted(range(len(words)), key=words.__getitem__)  # in order, words compress better
+        number = np.empty(len(words), np.int64)
+        number[order] = np.arange(len(words))
+        place = number[inverse]
+        doc = np.repeat(np.arange(len(self.ids)), np.concatenate(self.words))
+        trained = np.bincount(place[~np.array(self.held_out, bool)[doc]], minlength=len(words))
+        pairs, times = np.unique(doc << 32 | place, return_counts=True)
+        at = np.searchsorted(pairs, np.arange(len(self.ids) + 1, dtype=np.int64) << 32).tolist()
+        low = pairs & 0xFFFFFFFF
+        bags = [_pack(low[a:b], times[a:b]) for a, b in zip(at, at[1:])]
+        w, d = len(words), len(self.ids)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([self.number << NUMBER_BITS | i for i in range(w)] + [self.number << NUMBER_BITS] * d, pa.int64()),
+             pa.array([*(words[i] for i in order), *[None] * d], pa.binary()), pa.array([*trained.tolist(), *[None] * d], pa.int64()),
+             pa.array([*[None] * w, *self.ids], kind), pa.array([*[None] * w, *self.held_out], pa.bool_()), pa.array([*[None] * w, *bags], pa.binary())],
+            names=["place", "word", "n", "doc_id", "held_out", "bag"])
+
+
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For every chunk one row a distinct word and one row a document, with its word numbers and their counts."""
-    task = TaskContext.get().partitionId() << 32
-    number = 0
-
-    def chunk(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = [i for b in held for i in b.column("doc_id").to_pylist()]
-        out = [o for b in held for o in b.column("held_out").to_pylist()]
-        joined, starts, ends, hashes, offsets = word_spans([t for b in held for t in texts(b)])
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        words = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        doc = np.repeat(np.arange(len(ids)), np.diff(offsets))
-        trains = ~np.array(out, bool)
-        n = np.bincount(inverse[trains[doc]], minlength=len(distinct)) if len(hashes) else np.zeros(0, np.int64)
-        pairs, times = np.unique(doc.astype(np.int64) << 32 | inverse, return_counts=True)
-        at = np.searchsorted(pairs, np.arange(len(ids) + 1, dtype=np.int64) << 32)
-        low, times = (pairs & 0xFFFFFFFF).astype("<i4"), times.astype("<i4")
-        packed = [low[a:b].tobytes() + times[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-        w, d = len(words), len(ids)
-        kind = held[0].schema.field("doc_id").type
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([task | number] * (w + d), pa.int64()), pa.array([*range(w), *[-1] * d], pa.int32()), pa.array([*words, *[None] * d], pa.binary()),
-             pa.array([*n.tolist(), *[None] * d], pa.int64()), pa.array([*[None] * w, *ids], kind), pa.array([*[None] * w, *out], pa.bool_()),
-             pa.array([*[None] * w, *packed], pa.binary())],
-            names=["chunk", "number", "word", "n", "doc_id", "held_out", "words"])
-
-    held, size = [], 0
+    chunk = _Chunk(TaskContext.get().partitionId() << CHUNK_BITS)
+    kind = None
     for batch in pieces(batches, limit=1 << 20):
-        held.append(batch)
-        size += sum(map(len, texts(batch)))
-        if size >= CHUNK:
-            yield from chunk(held)
-            held, size, number = [], 0, number + 1
-    if held:
-        yield from chunk(held)
+        kind = batch.schema.field("doc_id").type
+        chunk.add(batch)
+        if chunk.size >= CHUNK:
+            yield chunk.rows(kind)
+            chunk = _Chunk(chunk.number + 1)
+    if chunk.ids:
+        yield chunk.rows(kind)
 
 
 def score(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
@@ -210,9 +245,9 @@ def score(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id"
     v = vocabulary(path)
     rows = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select(
         "doc_id", "text", held_out(F.col("doc_id"), 7, 2).alias("held_out"))
-    parts = cut(rows.mapInArrow(
-        _split, f"chunk bigint, number int, word binary, n bigint, doc_id {kind}, held_out boolean, words binary"))
-    terms, bags = parts.where("number >= 0").select("chunk", "number", "word", "n"), parts.where("number < 0").select("chunk", "doc_id", "held_out", "words")
+    parts = cut(rows.mapInArrow(_split, f"place bigint, word binary, n bigint, doc_id {kind}, held_out boolean, bag binary"))
+    chunk = F.shiftright("place", NUMBER_BITS).alias("chunk")
+    terms, bags = parts.where("word is not null").select("place", "word", "n"), parts.where("bag is not null").select(chunk, "doc_id", "held_out", "bag")
     table = cut(terms.groupBy("word").agg(F.sum("n").alias("c")))
     ends = bags.where("not held_out").count()
     sums = table.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
@@ -234,23 +269,26 @@ def score(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=["word", "c", "log"])
 
     scored = table.mapInArrow(words, "word binary, c bigint, log double")
-    known = terms.select("chunk", "number", "word").join(scored, "word").select("chunk", "number", "c", "log")
+    # what comes back to a chunk is packed in every task into one row of plain arrays
+    known = terms.select("place", "word").join(scored, "word").groupBy(chunk).agg(
+        F.collect_list(F.col("place").bitwiseAND((1 << NUMBER_BITS) - 1).cast("int")).alias("number"), F.collect_list("c").alias("c"), F.collect_list("log").alias("log"))
     end, more = float(logp[-1]), tokens + distinct + 1
 
     def bag(term: pa.Table, own: pa.Table) -> pa.Table:
-        number = term.column("number").to_numpy()
-        c, log = np.zeros(len(number), np.int64), np.zeros(len(number))
-        c[number], log[number] = term.column("c").to_numpy(), term.column("log").to_numpy()
+        numbers, counts, logs = (np.concatenate([np.asarray(x.values) for x in term.column(k)] or [np.zeros(0)]) for k in ("number", "c", "log"))
+        c, log = np.zeros(len(numbers), np.int64), np.zeros(len(numbers))
+        at = numbers.astype(np.int64)
+        c[at], log[at] = counts, logs
         base = np.log10((c + 1) / more)
         out = []
-        for packed in own.column("words").to_pylist():
-            i, t = np.frombuffer(packed, "<i4").reshape(2, -1)
+        for packed in own.column("bag").to_pylist():
+            i, t = _unpack(packed)
             out.append((int(t.sum()) + 1, int(t[c[i] > 0].sum()) + (ends > 0), float((t * base[i]).sum() + np.log10((ends + 1) / more)),
                         float(((t * log[i]).sum() + end) / np.log(10))))
         tokens_, known_, base_, score_ = zip(*out)
         return pa.table([own.column("doc_id"), own.column("held_out"), pa.array(tokens_, pa.int64()), pa.array(known_, pa.int64()), pa.array(base_), pa.array(score_)],
                         names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    return known.groupBy("chunk").cogroup(bags.withColumnRenamed("chunk", "bag").groupBy("bag")).applyInArrow(
+    return known.groupBy("chunk").cogroup(bags.withColumnRenamed("chunk", "home").groupBy("home")).applyInArrow(
         bag, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double").select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -22,9 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import bipartite, components, free_name, pieces, prepare, runs, spanning, spread, texts
+from winnow.llm.common import bipartite, components, cut, free_name, pieces, prepare, runs, spanning, spread, texts
 from winnow.llm.wordhash import mix, shingle_sets
-from winnow.plans.cut import cut
 
 REGISTERS = 128
 ROWS = 4  # registers a band: at similarity 0.8 a pair misses all 32 bands with probability 5e-8

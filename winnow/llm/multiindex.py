@@ -19,9 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import bipartite, components, prepare, runs, spanning
+from winnow.llm.common import bipartite, components, cut, prepare, runs, spanning
 from winnow.llm.hamming import usable
-from winnow.plans.cut import cut
 
 SAMPLE = 8192  # vectors the codebooks are fitted on, taken in the order of a hash of the vector
 PER_CELL = 1000  # rows of the table a product cell

@@ -12,8 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import prepare
-from winnow.plans.cut import cut
+from winnow.llm.common import cut, prepare
 
 #: The rules, as verdict and host with path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))

@@ -22,14 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.llm.common import pieces, prepare, spread, with_columns, with_fields
+from winnow.llm.wordhash import span_hashes
 
 LETTER, NUMBER, OTHER, SHORT, LONG, LAST_BLANK, LAST_SPACE, MID_SPACE = range(8)
 # states: no open token, in a run of each class, after a blank that joins what follows, in white space, 1 or 2 characters of a contraction to go
 NONE, IN_LETTER, IN_NUMBER, IN_OTHER, BLANK, IN_SPACE, ONE, TWO = range(8)
 WIDTH = 64
-CACHE = 500_000  # slices kept by a worker
+CACHE = 250_000  # slices of a generation of a worker's cache
 SHORT_PIECE = 32  # bytes; longer pieces are merged one by one with a heap
 NO_RANK = 1 << 30
+MANY = 16_384  # pieces merged side by side
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
@@ -133,15 +135,15 @@ def _scan(functions: np.ndarray) -> np.ndarray:
     return out.T.ravel()[:n]
 
 
-def token_starts(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
-    """(the texts joined, where tokens begin and the end, the index of every text's first token and the number of tokens)."""
+def token_starts(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """(the texts joined, its code points, where tokens begin and the end, every text's first token and the number of tokens)."""
     joined = "".join(texts)
     lengths = np.array([len(t) for t in texts], np.int64)
     begin = np.concatenate(([0], np.cumsum(lengths)))
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     n = len(codes)
     if not n:
-        return joined, np.zeros(1, np.int64), np.zeros(len(texts) + 1, np.int64)
+        return joined, codes, np.zeros(1, np.int64), np.zeros(len(texts) + 1, np.int64)
     s = _symbols(codes, np.unique(begin[:-1][lengths > 0]))
     rows = -(-n // WIDTH)
     block = np.full(rows * WIDTH, OTHER, np.uint8)
@@ -156,7 +158,7 @@ def token_starts(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
         at = (block[t] << 3) | state
         starts[t], state = _BEGIN[at], _GO[at]
     cut = np.flatnonzero(starts.T.ravel()[:n])
-    return joined, np.append(cut, n), np.searchsorted(cut, begin)
+    return joined, codes, np.append(cut, n), np.searchsorted(cut, begin)
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -230,9 +232,10 @@ class Pairs:
 
 
 def merge_many(words: list[bytes], ranks: dict[bytes, int], pairs: Pairs) -> list[bytes]:
-    """merge() of many short pieces at once, as bytes: in every round each piece merges its pair of lowest rank wherever it stands.
+    """merge() of many short pieces side by side, as bytes: every round merges each piece's leftmost pair of lowest rank.
 
-    A merged token's own pairs have higher ranks, so merging all places of a piece's lowest rank together equals one by one.
+    A piece is a row of tokens linked to their neighbours, so a round touches only the merged token and the pairs beside it.
+    The last column belongs to no token and ends the links at both sides.
     """
     out = [b""] * len(words)
 
@@ -247,76 +250,113 @@ def merge_many(words: list[bytes], ranks: dict[bytes, int], pairs: Pairs) -> lis
     known = np.flatnonzero(whole >= 0)
     finish(known, whole[known, None])
     which = np.flatnonzero(whole < 0)
-    size = np.array([len(words[i]) for i in which])
     if not len(which):
         return out
+    size = np.array([len(words[i]) for i in which])
     width = int(size.max()) + 1
-    ids = np.full((len(which), width), -1, np.int32)
-    ids[np.arange(width) < size[:, None]] = pairs.single[np.frombuffer(b"".join([words[i] for i in which]), np.uint8)]
-    rank = np.full(ids.size, NO_RANK, np.int32)
-    at = np.flatnonzero(ids.ravel()[1:] >= 0)
-    at = at[ids.ravel()[at] >= 0]
-    rank[at] = pairs.rank(ids.ravel()[at], ids.ravel()[at + 1])
-    rank = rank.reshape(ids.shape)
+    columns = np.arange(width, dtype=np.int32)
+    inside = columns < size[:, None]
+    ids = np.full(inside.shape, -1, np.int32)
+    ids[inside] = pairs.single[np.frombuffer(b"".join([words[i] for i in which]), np.uint8)]
+    after = np.where(columns + 1 < size[:, None], columns + 1, width - 1).astype(np.int32)
+    before = np.where(columns > 0, columns - 1, width - 1).astype(np.int32) + np.zeros((len(which), 1), np.int32)
+    rank = np.full(ids.shape, NO_RANK, np.int32)
+    at = np.flatnonzero(inside[:, :-1] & inside[:, 1:])
+    at += at // (width - 1)  # from rows one shorter
+    rank.ravel()[at] = pairs.rank(ids.ravel()[at], ids.ravel()[at + 1])
     while True:
-        low = rank.min(1)
-        done = low == NO_RANK
-        if done.any():
-            finish(which[done], ids[done])
-            if done.all():
-                return out
-            which, ids, rank, low = which[~done], ids[~done], rank[~done], low[~done]
-        same = rank == low[:, None]
-        for t in range(1, same.shape[1]):  # of overlapping places the left one
-            same[:, t] &= ~same[:, t - 1]
-        place = np.flatnonzero(same.ravel())
-        flat, ranked = ids.ravel(), rank.ravel()
-        flat[place] = ranked[place]
-        gone = ids < 0
-        gone.ravel()[place + 1] = True
-        order = np.argsort(gone, axis=1, kind="stable")[:, : int((~gone).sum(1).max()) + 1]
-        order += (np.arange(len(ids)) * ids.shape[1])[:, None]
-        fresh = same.ravel()[order] & ~gone.ravel()[order]
-        dead = gone.ravel()[order]
-        ids, rank = flat[order], ranked[order]
-        ids[dead], rank[dead] = -1, NO_RANK
-        again = fresh
-        again[:, :-1] |= fresh[:, 1:]
-        rank[again] = NO_RANK
-        at = np.flatnonzero(again.ravel())
-        flat = ids.ravel()
-        at = at[(flat[np.minimum(at + 1, len(flat) - 1)] >= 0) & (flat[at] >= 0) & (at + 1 < len(flat))]
-        rank.ravel()[at] = pairs.rank(flat[at], flat[at + 1])
-
-
-class Cache(dict):
-    """Ids of slices as little-endian bytes; emptied when full, so that memory stays bounded."""
+        column = rank.argmin(1)
+        base = np.arange(len(ids)) * width
+        low = rank.ravel()[base + column]
+        on = low != NO_RANK
+        if not on.any():
+            finish(which, ids)
+            return out
+        if on.mean() < 0.7:
+            finish(which[~on], ids[~on])
+            which, ids, rank, after, before, column, low = (x[on] for x in (which, ids, rank, after, before, column, low))
+            base = np.arange(len(ids)) * width
+        else:
+            base, column, low = base[on], column[on], low[on]
+        flat, ranked, right, left = ids.ravel(), rank.ravel(), after.ravel(), before.ravel()
+        here = base + column
+        gone = base + right[here]
+        next_, last = base + right[gone], base + left[here]
+        flat[here], flat[gone] = low, -1
+        right[here], left[next_] = right[gone], column
+        ranked[gone] = NO_RANK
+        for a, b in ((here, next_), (last, here)):
+            x, y = flat[a], flat[b]
+            both = (x >= 0) & (y >= 0)
+            ranked[a] = NO_RANK
+            ranked[a[both]] = pairs.rank(x[both], y[both])
+
+
+class Cache:
+    """Ids of slices as little-endian bytes, in two generations: when the young one is full it replaces the old one.
+
+    Memory stays bounded, and slices in use stay known.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        super().__init__()
         self.encode = encode
-
-    def learn(self, slices: list[str]) -> None:
-        """Encode what is not known yet, all at once."""
-        new = set(slices).difference(self)
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            new = set(slices)
-        new = sorted(new, key=len)
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            self.update(zip(part, self.encode(part)))
-
-
-def encode_batch(texts: list[str], cache: Cache) -> list[bytes]:
-    """The ids of every text, as little-endian 32-bit numbers."""
-    joined, cut, at = token_starts(texts)
-    cut = cut.tolist()
-    slices = [joined[a:b] for a, b in zip(cut, cut[1:])]
-    cache.learn(slices)
-    ids = [cache[s] for s in slices]
-    at = at.tolist()
-    return [b"".join(ids[a:b]) for a, b in zip(at, at[1:])]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, slices: list[str]) -> list[bytes]:
+        """The ids of every slice; what is not known yet is encoded all at once."""
+        young, old = self.young, self.old
+        if len(young) > CACHE:
+            self.young, self.old = {}, young
+            young, old = self.young, self.old
+        unseen = [s for s in slices if s not in young]
+        new = []
+        for s in unseen:
+            ids = old.get(s)
+            if ids is None:
+                new.append(s)
+            else:
+                young[s] = ids
+        new.sort(key=len)
+        for start in range(0, len(new), MANY):
+            part = new[start : start + MANY]
+            young.update(zip(part, self.encode(part)))
+        return [young[s] for s in slices]
+
+
+def _distinct(codes: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a token of every distinct slice, every token's place among these).
+
+    Slices are told apart by two 64-bit hashes, read off running sums; the second only confirms the first, and where it
+    does not, every token counts as distinct.
+    """
+    value = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    value ^= value >> np.uint64(32)
+    hashes = []
+    for salt in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)):
+        own = value * salt
+        hashes.append(span_hashes(own ^ own >> np.uint64(29), cut[:-1], cut[1:], table=None))
+    _, first, place = np.unique(hashes[0], return_index=True, return_inverse=True)
+    if (hashes[1] != hashes[1][first][place]).any():
+        return np.arange(len(cut) - 1), np.arange(len(cut) - 1)
+    return first, place
+
+
+def encode_batch(texts: list[str], cache: Cache) -> list[np.ndarray]:
+    """The ids of every text; only distinct slices become Python objects."""
+    joined, codes, cut, at = token_starts(texts)
+    if len(cut) < 2:
+        return [np.zeros(0, "<u4")] * len(texts)
+    first, place = _distinct(codes, cut)
+    ids = cache.of([joined[a:b] for a, b in zip(cut[first].tolist(), cut[first + 1].tolist())])
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    size = np.array([len(i) for i in ids], np.int64) // 4
+    begin = np.cumsum(size) - size
+    times = size[place]
+    ends = np.cumsum(times)
+    out = flat[np.arange(ends[-1]) + np.repeat(begin[place] - (ends - times), times)]
+    bounds = np.concatenate(([0], ends))[at].tolist()
+    return [out[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -329,9 +369,8 @@ def _ranks(data: bytes) -> dict[bytes, int]:
     return read_ranks(data)
 
 
-@lru_cache(4)
-def encoder(data: bytes) -> Cache:
-    ranks = _ranks(data)
+def merging(ranks: dict[bytes, int]) -> Cache:
+    """A cache over pair merging by ranks."""
     pairs = Pairs(ranks)
 
     def encode(slices: list[str]) -> list[bytes]:
@@ -348,6 +387,11 @@ def encoder(data: bytes) -> Cache:
     return Cache(encode)
 
 
+@lru_cache(4)
+def encoder(data: bytes) -> Cache:
+    return merging(_ranks(data))
+
+
 @lru_cache(4)
 def vocabulary(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(the bytes of all tokens in the order of their ids, offsets by id)."""
@@ -382,7 +426,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
         cache = encoder(shared.value)
         for batch in pieces(batches):
             ids = encode_batch([t or "" for t in batch.column("text").to_pylist()], cache)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([i.tobytes() for i in ids], pa.binary())], names=["doc_id", "ids"])
 
     kind = dict(docs.dtypes)[doc_id]
     return spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).mapInArrow(scan, f"doc_id {kind}, ids binary")

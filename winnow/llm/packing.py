@@ -9,6 +9,7 @@ so nothing is padded.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,9 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from winnow.llm.bytepair import Cache, encode_batch
-from winnow.llm.common import pieces, prepare, spread
-from winnow.plans.cut import cut
+from winnow.llm.bytepair import Cache, encode_batch, merging
+from winnow.llm.common import cut, pieces, prepare, spread
 
 LENGTH = 2048
 END = 1  # id after every document
@@ -28,30 +28,46 @@ HASHED, AXES, BITS = 256, 3, 10
 RANGE = 100_000  # documents a range of the sorted table
 
 
+def ranks_of(data: str) -> dict[bytes, int] | None:
+    """The ids of a byte-level BPE tokenizer file by their bytes; None where ids do not rise with the order of the merges, so that they are no ranks.
+
+    Such files spell a byte as a character: printable bytes as themselves, the others in turn from 256 on.
+    """
+    model = json.loads(data)["model"]
+    plain = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace() and b != 0xAD]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    ids = [model["vocab"].get(a + b, -1) for a, b in merges]
+    if any(x >= y for x, y in zip(ids, ids[1:])) or (ids and ids[0] < 0) or not all(c in byte for w in model["vocab"] for c in w):
+        return None
+    return {bytes(byte[c] for c in w): i for w, i in model["vocab"].items()}
+
+
 @lru_cache(2)
 def _tokenizer(data: str) -> tuple[Tokenizer, Cache, list[str]]:
+    """The tokenizer, a cache of slices, and its added tokens. Where the ids are ranks, slices are merged in batches; otherwise the tokenizer encodes them."""
     tokenizer = Tokenizer.from_str(data)
+    ranks = ranks_of(data)
 
     def encode(slices: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(slices, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(slices, add_special_tokens=False)]
 
-    return tokenizer, Cache(encode), [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    return tokenizer, merging(ranks) if ranks else Cache(encode), [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
 
 def token_ids(texts: list[str], data: str) -> list[np.ndarray]:
     """What tokenizer.encode(text, add_special_tokens=False) gives for every text, with the end id.
 
-    Splitting is shared with the byte-pair operator and the tokenizer sees every distinct slice once; a text that spells
-    out an added token goes to the tokenizer whole, which alone knows how to cut it.
+    Splitting and batched merging are shared with the byte-pair operator; a text that spells out an added token goes to the
+    tokenizer whole, which alone knows how to cut it.
     """
     tokenizer, cache, added = _tokenizer(data)
     plain = [t if not any(a in t for a in added) else "" for t in texts]
     out = []
     for text, own, ids in zip(texts, plain, encode_batch(plain, cache)):
         if text and not own:
-            ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        out.append(np.append(np.frombuffer(ids, "<u4"), np.uint32(END)))
+            ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        out.append(np.append(ids, np.uint32(END)))
     return out
 
 

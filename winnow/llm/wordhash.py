@@ -55,15 +55,15 @@ def word_spans(texts: list[bytes], space: np.ndarray = _SPACE) -> tuple[bytes, n
     return joined, starts, ends, span_hashes(buffer, starts, ends), offsets
 
 
-def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte spans, equal for equal bytes wherever they stand."""
-    sums = prefix_sums(buffer)
+def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = _BYTE) -> np.ndarray:
+    """Hashes of spans, equal for equal contents wherever they stand; buffer holds bytes, or with no table 64-bit values."""
+    sums = prefix_sums(buffer, table)
     return mix((sums[ends] - sums[starts]) * inverse_powers(len(buffer) + 1)[starts])
 
 
-def prefix_sums(buffer: np.ndarray) -> np.ndarray:
+def prefix_sums(buffer: np.ndarray, table: np.ndarray | None = _BYTE) -> np.ndarray:
     total = np.zeros(len(buffer) + 1, np.uint64)
-    np.cumsum(_BYTE[buffer] * _power("up", len(buffer))[: len(buffer)], out=total[1:])
+    np.cumsum((buffer if table is None else table[buffer]) * _power("up", len(buffer))[: len(buffer)], out=total[1:])
     return total
 
 

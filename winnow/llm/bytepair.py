@@ -28,7 +28,7 @@ LETTER, NUMBER, OTHER, SHORT, LONG, LAST_BLANK, LAST_SPACE, MID_SPACE = range(8)
 # states: no open token, in a run of each class, after a blank that joins what follows, in white space, 1 or 2 characters of a contraction to go
 NONE, IN_LETTER, IN_NUMBER, IN_OTHER, BLANK, IN_SPACE, ONE, TWO = range(8)
 WIDTH = 64
-CACHE = 250_000  # slices of a generation of a worker's cache
+CACHE = 120_000  # slices of a generation of a worker's cache
 SHORT_PIECE = 32  # bytes; longer pieces are merged one by one with a heap
 NO_RANK = 1 << 30
 MANY = 16_384  # pieces merged side by side

@@ -20,18 +20,18 @@ BATCH_BYTES = 2 << 20
 def prepare(spark: SparkSession) -> SparkSession:
     """Ship the package and keep Arrow batches small enough for whole, very long texts."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from a compressed table in the checkpoint folder; it outlives every executor."""
+def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
+    """The same rows, read from a table in the checkpoint folder; it outlives every executor."""
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/winnow/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -245,10 +245,10 @@ def score(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id"
     v = vocabulary(path)
     rows = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select(
         "doc_id", "text", held_out(F.col("doc_id"), 7, 2).alias("held_out"))
-    parts = cut(rows.mapInArrow(_split, f"place bigint, word binary, n bigint, doc_id {kind}, held_out boolean, bag binary"))
+    parts = cut(rows.mapInArrow(_split, f"place bigint, word binary, n bigint, doc_id {kind}, held_out boolean, bag binary"), "zstd")
     chunk = F.shiftright("place", NUMBER_BITS).alias("chunk")
     terms, bags = parts.where("word is not null").select("place", "word", "n"), parts.where("bag is not null").select(chunk, "doc_id", "held_out", "bag")
-    table = cut(terms.groupBy("word").agg(F.sum("n").alias("c")))
+    table = cut(terms.groupBy("word").agg(F.sum("n").alias("c")), "zstd")
     ends = bags.where("not held_out").count()
     sums = table.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
     tokens, distinct = (sums[0] or 0) + ends, (sums[1] or 0) + (ends > 0)

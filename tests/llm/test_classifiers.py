@@ -34,6 +34,34 @@ def test_language_edges(docs, sample):
     assert kept.columns == docs(ODD).columns and {1, 2, 3}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+FOREIGN = [
+    "人工智能正在改变我们的生活方式，许多公司开始使用新的技术来提高效率。北京今天天气很好，大家都去公园散步。",
+    "Сегодня утром в городе прошёл сильный дождь, и многие жители опоздали на работу. Учёные сообщили о новом открытии.",
+    "في صباح اليوم ذهب الأولاد إلى المدرسة وكان الطقس جميلا. أعلنت الحكومة عن خطة جديدة لتحسين التعليم والصحة",
+    "Dzisiaj rano w mieście padał silny deszcz i wielu mieszkańców spóźniło się do pracy. Naukowcy poinformowali o nowym odkryciu.",
+    "Tänään aamulla kaupungissa satoi rankasti ja monet asukkaat myöhästyivät töistä. Tutkijat kertoivat uudesta löydöstä."]
+
+
+def test_language_drops_what_no_language_was_learned_for(docs, spark):
+    """Foreign and junk texts go, short or long; clean ones stay, also very long ones and ones that change language."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(table)
+    rows = [(r.doc_id, r.text, r.lang) for r in table.select("doc_id", "text", "lang").collect()]
+    held = [(i, t, n) for i, t, n in rows if rest(i, 4) == 2 and len(t) > 200]
+    rng = np.random.default_rng(6)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 10))) for _ in range(n))
+    junk = [words(200), words(20_000), "".join(rng.choice(list("0123456789abcdef"), 1500)), "asdfghjkl " * 50, "a" * 500]
+    long = {n: " ".join(t for _, t, m in held if m == n) for n in ("de", "en", "es", "fr")}
+    clean = [(t * (1 + 600_000 // len(t)))[:600_000] for t in long.values()]
+    mixed = [long["de"][:800] + " " + long["en"][:800], "1234 5678 " * 2000 + long["fr"][:900]]
+    planted = {-1 - i: t for i, t in enumerate([*FOREIGN, *(t * 50 for t in FOREIGN), *junk])}
+    good = {1_000_000 + i: t for i, t in enumerate([*clean, *mixed])}
+    df = docs([*planted.items(), *good.items(), *((i, t) for i, t, _ in held)])
+    kept = {r.doc_id for r in language.keep(df, model).select("doc_id").collect()}
+    assert not kept & set(planted) and set(good) <= kept
+    assert len(kept & {i for i, _, _ in held}) >= 0.99 * len({i for i, _, _ in held})
+
+
 def test_language_learns_nothing_without_rows(docs):
     model = language.train(docs(ODD))  # no language known
     assert {r.lang_pred for r in language.predict(docs(ODD), model).collect()} == {"und"}

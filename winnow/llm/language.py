@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import free_name, held_out, pieces, prepare, spread, with_columns, with_fields
+from winnow.llm.common import held_out, pieces, prepare, spread, with_columns, with_fields
 
 CELLS = (1 << 10, 1 << 12, 1 << 13)  # of 1-, 2- and 3-grams
 START = np.cumsum([0, *CELLS])
@@ -24,17 +24,19 @@ SAMPLE = 4096  # rows fitted on, taken in the order of a hash of doc_id
 LANDMARKS = 256
 RIDGE = 1e-2
 UNKNOWN = "und"
-KEEP = 0.25  # a top score below: far outside every language's side of its decision plane
+WINDOWS = (1 << 14, 1 << 10, 1 << 8)  # characters of the passages that `keep` judges; the shorter for texts that the longer do not tell
+KEEP = 0.2  # share of the median lead of unfitted training rows from which a text is in a learned language
 
 
 @dataclass(frozen=True)
 class Model:
-    """Landmark presences (landmark x cell), their sizes, and the coefficients (landmark x language)."""
+    """Landmark presences (landmark x cell), their sizes, the coefficients (landmark x language), and the least lead to keep."""
 
     languages: list[str]
     landmarks: np.ndarray
     root: np.ndarray
     weights: np.ndarray
+    least: float = 0.0
 
 
 def presence(texts: list[str]) -> np.ndarray:
@@ -57,11 +59,13 @@ def kernel(x: np.ndarray, landmarks: np.ndarray, root: np.ndarray) -> np.ndarray
     return (x @ landmarks.T) / size[:, None] / root
 
 
-def fit(rows: list[tuple[bytes, str]]) -> Model:
-    """Nyström kernel ridge regression, one language against the rest, on packed presences."""
-    x = np.unpackbits(np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32) if rows else np.zeros((0, START[-1]), np.float32)
-    names = sorted({r[1] for r in rows})
-    y = np.array([[1.0 if r[1] == n else -1.0 for n in names] for r in rows]).reshape(len(rows), len(names))
+def lead(f: np.ndarray) -> np.ndarray:
+    """By how much the best language of every row leads the second; with one language its own value."""
+    f = np.sort(f, axis=1)
+    return f[:, -1] - f[:, -2] if f.shape[1] > 1 else f[:, -1]
+
+
+def _ridge(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     marks = x[:LANDMARKS]
     root = np.sqrt(np.maximum(marks.sum(1, dtype=np.float64), 1))
     values, vectors = np.linalg.eigh(kernel(marks, marks, root)) if len(marks) else (np.zeros(0), np.zeros((0, 0)))
@@ -69,7 +73,27 @@ def fit(rows: list[tuple[bytes, str]]) -> Model:
     basis = vectors[:, good] / np.sqrt(values[good])
     phi = np.concatenate([kernel(x[i : i + 512], marks, root) @ basis for i in range(0, len(x), 512)]) if len(x) else np.zeros((0, basis.shape[1]))
     w = np.linalg.solve(phi.T @ phi + RIDGE * np.eye(phi.shape[1]), phi.T @ y)
-    return Model(names, marks.astype(np.uint8), root, basis @ w)
+    return marks, root, basis @ w
+
+
+def fit(rows: list[tuple[bytes, str]]) -> Model:
+    """Nyström kernel ridge regression, one language against the rest, on packed presences.
+
+    The least lead is KEEP times the median lead of rows told right by a fit on the other half of the rows. A text unlike all
+    landmarks has values near 0 and letter junk equally low ones, so both lead by little, whatever the values themselves.
+    """
+    x = np.unpackbits(np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32) if rows else np.zeros((0, START[-1]), np.float32)
+    names = sorted({r[1] for r in rows})
+    y = np.array([[1.0 if r[1] == n else -1.0 for n in names] for r in rows]).reshape(len(rows), len(names))
+    leads = [np.zeros(0)]
+    for half in (0, 1) if len(rows) > 1 else ():
+        marks, root, weights = _ridge(x[half::2], y[half::2])
+        other, truth = x[1 - half :: 2], y[1 - half :: 2].argmax(1)
+        f = np.concatenate([kernel(other[i : i + 512], marks, root) @ weights for i in range(0, len(other), 512)])
+        leads.append(lead(f)[f.argmax(1) == truth])
+    told = np.concatenate(leads)
+    marks, root, weights = _ridge(x, y)
+    return Model(names, marks.astype(np.uint8), root, weights, KEEP * float(np.median(told)) if len(told) else 0.0)
 
 
 def _presences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +152,55 @@ def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "do
     return with_language(raw, model, "lang_pred", "score").select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def passages(text: str, size: int) -> list[str]:
+    """The text in equal parts of at most `size` characters; parts without a letter are left out."""
+    n = max(-(-len(text) // size), 1)
+    step = max(-(-len(text) // n), 1)
+    return [p for i in range(0, len(text), step) if any(map(str.isalpha, p := text[i : i + step]))]
+
+
+def leads(texts: list[str], size: int, marks: np.ndarray, root: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The mean lead over every text's passages, so that length does not blur it; without a letter minus infinity."""
+    total, count = np.zeros(len(texts)), np.zeros(len(texts))
+    row, part = [], []
+
+    def add() -> None:
+        if part:
+            at = np.array(row)
+            np.add.at(total, at, lead(kernel(presence(part), marks, root) @ weights))
+            np.add.at(count, at, 1)
+            row.clear()
+            part.clear()
+
+    for i, text in enumerate(texts):
+        for p in passages(text, size):
+            row.append(i)
+            part.append(p)
+            if len(part) == 256:
+                add()
+    add()
+    return np.where(count > 0, total / np.maximum(count, 1), -np.inf)
+
+
 def keep(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of docs in an identified language, with their columns: not `und`, and a score of KEEP or more."""
-    name, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
-    return with_language(docs, model, name, score, text).where((F.col(name) != UNKNOWN) & (F.col(score) >= KEEP)).drop(name, score)
+    """The rows of docs in a learned language, with their columns.
+
+    They are those whose passages of some size in WINDOWS lead by model.least or more on the mean: long passages see past lines
+    that repeat, short ones tell a text that changes between learned languages. Null, empty and letterless texts go, as
+    does everything if no row could be learned from.
+    """
+    spark = prepare(docs.sparkSession)
+    shared = spark.sparkContext.broadcast((model.languages, model.landmarks, model.root, model.weights, model.least))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, marks, *rest, least = shared.value
+        marks = marks.astype(np.float32)
+        for batch in pieces(batches, text):
+            column = batch.column(text)
+            known = np.zeros(batch.num_rows, bool)
+            for size in WINDOWS if names else ():
+                left = np.flatnonzero(~known)
+                known[left] = leads([column[i].as_py() or "" for i in left.tolist()], size, marks, *rest) >= least
+            yield batch.filter(pa.array(known))
+
+    return spread(docs).mapInArrow(scan, docs.schema)

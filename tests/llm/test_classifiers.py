@@ -117,6 +117,34 @@ def test_toxicity_held_out(docs):
     assert kept.columns == odd.columns and 3 not in {r.doc_id for r in kept.collect()}
 
 
+def test_toxicity_of_very_long_texts(docs):
+    """Many different words bring a clean text no nearer to the threshold, nor a toxic one away from it."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join([f"w{j}" for j in rng.integers(0, 300, 40)] + ["idiot", "scum", "moron"] * (i % 4 == 0))) for i in range(600)]
+    df = docs(rows)
+    model = toxicity.train(df, df.sparkSession.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id bigint, toxic int"))
+    varied = " ".join(f"v{i}" for i in range(400_000))
+    known = " ".join(f"w{j}" for j in rng.integers(0, 300, 400_000))
+    long = docs([(1, varied), (2, known), (3, varied + " idiot scum moron"), (4, "idiot scum moron")])
+    assert {r.doc_id: r.predicted for r in toxicity.score(long, model).collect()} == {1: 0, 2: 0, 3: 1, 4: 1}
+
+
+def test_toxicity_windows():
+    """A score is the bias and the highest sum of distinct features over windows that start every half window."""
+    rng = np.random.default_rng(5)
+    words = [str(w) for w in rng.integers(0, 5000, 6000)]
+    texts_ = [" ".join(words[:n]).encode() for n in (0, 1, 3, 1024, 1025, 1536, 1537, 6000)]
+    _, _, found, _ = toxicity.features(texts_[-1:])
+    index = np.unique(rng.choice(found, 500))
+    weight = rng.normal(0, 0.3, len(index))
+    got = toxicity._totals((-0.5, index, weight), texts_)
+    for text, p in zip(texts_, got):
+        _, at, found, (n,) = toxicity.features([text])
+        starts = [0, *range(512, max(n - 512, 0), 512)]
+        sums = [sum(weight[np.isin(index, found[(at >= s) & (at < s + 1024)])]) for s in starts]
+        assert p == pytest.approx(1 / (1 + np.exp(0.5 - max(sums))))
+
+
 def test_toxicity_without_labels(docs):
     df = docs([(1, "a"), (2, "b")])
     none = df.sparkSession.createDataFrame([(1, None), (None, 1)], "doc_id bigint, toxic int")

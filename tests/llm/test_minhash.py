@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from winnow.llm import minhash
 from winnow.llm.common import components
@@ -72,6 +73,22 @@ def test_blocks_of_a_hot_group(docs, monkeypatch):
     assert sorted(got, key=str) == brute(rows, 3, 85, 100)
 
 
+def test_bundles_of_a_hot_group_stay_small(docs, monkeypatch):
+    """The number of bundles follows the rows of the grid, which grow with the square of a bucket."""
+    bundle, seen = minhash._bundle, []
+
+    def watched(rows, key, weight, *more):
+        seen.append((key, weight, rows.agg(F.sum("n" if "shingles" in rows.columns else F.lit(1))).first()[0]))
+        return bundle(rows, key, weight, *more)
+
+    monkeypatch.setattr(minhash, "_bundle", watched)
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    words = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join([*words, f"end{i}"])) for i in range(60)]
+    assert {r.component_id for r in minhash.near_duplicates(docs(rows)).collect()} == {0}
+    assert [key for key, _, _ in seen] == ["key", "component"] and all(weight == size for _, weight, size in seen)
+
+
 def test_survivors(docs):
     rows = table()
     df = docs(rows)

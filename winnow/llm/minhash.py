@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.llm.common import bipartite, components, cut, free_name, pieces, prepare, runs, spanning, spread, texts
@@ -222,6 +222,11 @@ def _grid(rows: DataFrame, key: str, blocks: str) -> DataFrame:
     )
 
 
+def _weight(rows: DataFrame, each: Column) -> int:
+    """The sum of a weight over all rows; in a grid a row counts once for every block it is dealt to."""
+    return int(rows.agg(F.sum(each)).first()[0] or 0)
+
+
 def _bundle(rows: DataFrame, key: str, weight: int, per: int, work, schema: str) -> DataFrame:
     """Apply work to bundles of whole grid cells, each bundle holding about `per` units of weight."""
     n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-weight // per))
@@ -245,9 +250,10 @@ def _groups(docs: DataFrame, k: int, num: int, den: int, text: str, doc_id: str)
         "digest", F.explode("keys").alias("key"))
     full = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = cut(bands.join(full, "key"))
-    grid = _grid(met.withColumn("blocks", F.ceil(F.col("size") / BLOCK)), "key", "blocks").join(
+    met = met.withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    grid = _grid(met, "key", "blocks").join(
         classes.select("digest", "registers", "n"), "digest").select("key", "i", "j", "block", "digest", "registers", "n")
-    edges = _bundle(grid, "key", met.count(), 20_000, _possible_edges(least), "a binary, b binary")
+    edges = _bundle(grid, "key", _weight(met, F.col("blocks")), 20_000, _possible_edges(least), "a binary, b binary")
     groups = components(edges)
 
     # full sets of the classes in such groups
@@ -257,10 +263,10 @@ def _groups(docs: DataFrame, k: int, num: int, den: int, text: str, doc_id: str)
     sets = named.join(w, named["doc_id"].eqNullSafe(w["w_id"]) & (named["at"] == w["w_at"]), "left_semi").select("text").mapInArrow(
         _sets(k), "digest binary, n bigint, shingles binary")
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
-    placed = _grid(wanted.join(sizes, "component").select("digest", "component", blocks.alias("blocks")), "component", "blocks")
-    weight = wanted.agg(F.sum("n")).first()[0] or 0
+    sized = wanted.join(sizes, "component").select("digest", "component", "n", blocks.alias("blocks"))
+    placed = _grid(sized.drop("n"), "component", "blocks")
     true = _bundle(sets.join(placed, "digest").select("component", "i", "j", "block", "digest", "n", "shingles"),
-                   "component", weight, 500_000, _true_edges(num, den), "a binary, b binary")
+                   "component", _weight(sized, F.col("n") * F.col("blocks")), 500_000, _true_edges(num, den), "a binary, b binary")
     linked = components(true)
 
     return rows, classes, linked

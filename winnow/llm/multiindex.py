@@ -165,9 +165,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, vector: str = "embe
     columns = [*key, "class", "copies", "vector"]
     at_home = placed.withColumnRenamed("home", "cell").select(columns)
     met = placed.select("label", "size", F.explode("visits").alias("cell"), "class", "copies", "vector")
-    own = at_home.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    other = met.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / (4 * BLOCK)).cast("int").alias("guests"))
-    cells = cut(own.join(other, key, "left").fillna(0, ["guests"]))
+    own = at_home.groupBy(key).agg(F.count(F.lit(1)).alias("hosted"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    other = met.groupBy(key).agg(F.count(F.lit(1)).alias("visiting"), F.ceil(F.count(F.lit(1)) / (4 * BLOCK)).cast("int").alias("guests"))
+    cells = cut(own.join(other, key, "left").fillna(0, ["visiting", "guests"]))
+    # rows of the grid: a host meets all blocks and guests of its cell, a guest all blocks
+    dealt = F.col("hosted") * (F.col("blocks") + F.col("guests")) + F.col("visiting") * F.col("blocks")
+    bundles = -(-(cells.agg(F.sum(dealt)).first()[0] or 0) // 20_000)
+    cells = cells.drop("hosted", "visiting")
     side = lambda n, salt: F.pmod(F.xxhash64("class", F.lit(salt)), n).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     hosts = at_home.join(cells, key).withColumn("side", side(F.col("blocks"), 1)).withColumn("with", upto(F.col("blocks") + F.col("guests")))
@@ -175,7 +179,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, vector: str = "embe
         "j", F.when(F.col("with") < F.col("blocks"), F.greatest("side", "with")).otherwise(F.col("with")))
     guests = met.join(cells, key).withColumn("side", F.col("blocks") + side(F.col("guests"), 2)).withColumn("i", upto(F.col("blocks"))).withColumn("j", F.col("side"))
     grid = [*columns, "side", "i", "j"]
-    n = max(spark.sparkContext.defaultParallelism, -(-placed.agg(F.sum(F.size("visits") + 1)).first()[0] // 20_000) if taken else 1)
+    n = max(spark.sparkContext.defaultParallelism, bundles)
     found = cut(hosts.select(grid).unionByName(guests.select(grid)).groupBy(F.pmod(F.xxhash64(*key, "i", "j"), F.lit(n)).alias("bundle")).applyInPandas(
         _links(least), "class bigint, links bigint, other bigint"))
     groups = components(found.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")))

@@ -59,6 +59,25 @@ def test_search(spark, monkeypatch, rows_per_block):
     assert not got and hits / total > 0.95
 
 
+def test_copies_do_not_fill_the_sample(spark):
+    """Copies of the vector that sorts first leave the radius, and so the recall of the others, as it is."""
+    x = np.random.default_rng(8).normal(size=(400, 12))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    first = table(spark, rows).select("vec_id", F.xxhash64(F.col("embedding").cast("array<double>")).alias("h")).orderBy("h").first().vec_id
+    rows += [(1000 + i, x[first].tolist(), 1) for i in range(300)]
+    got = {}
+    for r in hamming.nearest(table(spark, rows), (F.col("vec_id") % 10 == 0) & (F.col("vec_id") < 400), sample=300).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    ids = np.array([r[0] for r in rows])
+    all_ = np.array([r[1] for r in rows], np.float32).astype(float)
+    hits = []
+    for q, found in got.items():
+        d = np.sqrt(((all_ - all_[q]) ** 2).sum(1))
+        order = [i for i in ids[np.lexsort((ids, d))].tolist() if i != q][:10]
+        hits.append(len(found & set(order)) / 10)
+    assert len(got) == 40 and np.mean(hits) > 0.95
+
+
 def test_search_of_few_rows(spark):
     rows = [(0, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (100, [1.0, 0.0], 1), (200, None, 1)]
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in hamming.nearest(table(spark, rows), F.col("vec_id") % 100 == 0).collect())

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from winnow.llm.common import cut, prepare
 
-SAMPLE = 8192  # vectors the codes are fitted on, taken in the order of a hash of the vector
+SAMPLE = 8192  # distinct vectors the codes are fitted on, taken in the order of a hash of the vector
 SUBSTRINGS = 8
 TARGET = 0.985
 ROWS = 8192  # rows of a block
@@ -152,7 +152,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, vector: str = "emb
     good = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector")).where(
         F.col("vec_id").isNotNull() & usable(F.col("vector"))).withColumn("row", F.monotonically_increasing_id())
     rows = cut(good)
-    taken = rows.select("vector").withColumn("order", F.xxhash64("vector")).orderBy("order", "vector").limit(sample).collect()
+    taken = rows.select("vector").distinct().withColumn("order", F.xxhash64("vector")).orderBy("order", "vector").limit(sample).collect()
     if not taken:
         return spark.createDataFrame([], schema)
     size = int(np.bincount([len(r["vector"]) for r in taken]).argmax())

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import bytepair, hamming, language, lattice, minhash, multiindex, packing, personal, toxicity, urls
+from winnow.llm import bytepair, hamming, language, lattice, minhash, multiindex, packing, personal, subcodes, toxicity, urls
 from winnow.llm.common import documents
 
 QUERIES = {}
@@ -84,3 +86,42 @@ def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log probability of every document."""
     return lattice.score(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op11_subcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors from four codebooks fitted in four exact rounds."""
+    coded, codebooks = subcodes.fit(documents(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(subcodes.spell_codebooks(codebooks).encode()).hexdigest()
+    return subcodes.label_errors(coded).select(
+        "vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def _subcodes_sql(rounds: int = 4) -> str:
+    """The rounds written out one after another; k is a part's distance and entry in one number, the least of which is the choice."""
+    steps = [
+        """v AS (SELECT vec_id, label, [floor(1024 * e::DOUBLE) FOR e IN embedding] AS x FROM embeddings
+          WHERE embedding IS NOT NULL AND len([e FOR e IN embedding IF e IS NULL OR NOT isfinite(e)]) = 0)""",
+        """p AS MATERIALIZED (SELECT vec_id, label, part, x[part * len(x) // 4 + 1 : (part + 1) * len(x) // 4] AS x FROM v, range(4) AS r(part))""",
+        """c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c FROM p QUALIFY entry < 256)""",
+    ]
+    for t in range(rounds + 1):
+        steps.append(
+            f"""a{t} AS MATERIALIZED (SELECT vec_id, label, part, any_value(x) AS x,
+              min((list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c))::BIGINT * 256 + entry) AS k
+              FROM p JOIN c{t} USING (part) GROUP BY vec_id, label, part)""")
+        if t < rounds:
+            steps.append(
+                f"""m{t} AS (SELECT part, entry, list(m ORDER BY i) AS m FROM (SELECT part, k % 256 AS entry, i, floor(sum(x[i]) / count(*)) AS m
+                  FROM (SELECT part, k, x, unnest(range(1, len(x) + 1)) AS i FROM a{t}) GROUP BY ALL) GROUP BY ALL),
+                c{t + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m, c) AS c FROM c{t} LEFT JOIN m{t} USING (part, entry))""")
+    return f"""WITH {", ".join(steps)},
+      codes AS (SELECT vec_id, label, string_agg(format('{{:02x}}', k % 256), '' ORDER BY part) AS code, sum(k // 256)::BIGINT AS error
+        FROM a{rounds} GROUP BY vec_id, label)
+      SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+        (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY part, entry, i))
+          FROM (SELECT part, entry, unnest(c) AS x, unnest(range(len(c))) AS i FROM c{rounds})) AS codebooks_sha256
+      FROM codes"""
+
+
+SQL["op11_subcodes"] = _subcodes_sql()

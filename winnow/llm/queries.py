@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import bytepair, hamming, language, lattice, minhash, multiindex, packing, personal, subcodes, toxicity, urls
+from winnow.llm import bytepair, hamming, language, lattice, minhash, multiindex, packing, personal, subcodes, tokenalign, toxicity, urls
 from winnow.llm.common import documents
 
 QUERIES = {}
@@ -125,3 +125,13 @@ def _subcodes_sql(rounds: int = 4) -> str:
 
 
 SQL["op11_subcodes"] = _subcodes_sql()
+
+
+@query
+def op12_tokenalign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two tokenizers' tokens of every document overlap, with corpus counts of their links."""
+    rows = tokenalign.align(
+        documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    slim = rows.withColumn("groups_sha256", F.when(F.col("pairs").isNull(), digest)).drop("groups")
+    return tokenalign.with_counts(slim)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import bytepair, hamming, language, lattice, minhash, multiindex, packing, personal, subcodes, tokenalign, toxicity, urls
+from winnow.llm import bytepair, chattree, hamming, language, lattice, minhash, multiindex, packing, personal, subcodes, tokenalign, toxicity, urls
 from winnow.llm.common import documents
 
 QUERIES = {}
@@ -135,3 +135,14 @@ def op12_tokenalign(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
     slim = rows.withColumn("groups_sha256", F.when(F.col("pairs").isNull(), digest)).drop("groups")
     return tokenalign.with_counts(slim)
+
+
+@query
+def op13_chattree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that spells the marks, merged into prefix trees and read back from them."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = documents(spark, sf_dir, "conversations")
+    told = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", told), (-1, 1, "assistant", told)], "conv_id bigint, turn bigint, role string, text string")
+    both = rows.select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chattree.read_back(chattree.grow(both, path), path)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.llm.common import pieces, prepare, spread, with_columns, with_fields
-from winnow.llm.wordhash import span_hashes
+from winnow.llm.wordhash import same_spans, span_hashes
 
 LETTER, NUMBER, OTHER, SHORT, LONG, LAST_BLANK, LAST_SPACE, MID_SPACE = range(8)
 # states: no open token, in a run of each class, after a blank that joins what follows, in white space, 1 or 2 characters of a contraction to go
@@ -327,18 +327,17 @@ class Cache:
 def _distinct(codes: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(a token of every distinct slice, every token's place among these).
 
-    Slices are told apart by two 64-bit hashes, read off running sums; the second only confirms the first, and where it
-    does not, every token counts as distinct.
+    Slices are told apart by a 64-bit hash, read off one running sum, and compared with the slice that stands for them; where
+    one differs, slices are told apart by themselves.
     """
     value = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     value ^= value >> np.uint64(32)
-    hashes = []
-    for salt in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)):
-        own = value * salt
-        hashes.append(span_hashes(own ^ own >> np.uint64(29), cut[:-1], cut[1:], table=None))
-    _, first, place = np.unique(hashes[0], return_index=True, return_inverse=True)
-    if (hashes[1] != hashes[1][first][place]).any():
-        return np.arange(len(cut) - 1), np.arange(len(cut) - 1)
+    starts, ends = cut[:-1], cut[1:]
+    _, first, place = np.unique(span_hashes(value, starts, ends, table=None), return_index=True, return_inverse=True)
+    if not same_spans(codes, starts, ends, codes, starts[first][place], ends[first][place]):
+        number: dict[bytes, int] = {}
+        place = np.array([number.setdefault(codes[a:b].tobytes(), len(number)) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
+        first = np.unique(place, return_index=True)[1]
     return first, place
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnow.llm.common import cut, held_out, pieces, prepare, spread, texts
-from winnow.llm.wordhash import inverse_powers, mix, prefix_sums, span_hashes, word_spans
+from winnow.llm.wordhash import inverse_powers, mix, prefix_sums, same_spans, short_hashes, word_spans
 from winnow.plans.partials import array_sum
 
 CHUNK = 16 << 20  # bytes of text whose distinct words are shipped together
@@ -70,7 +70,7 @@ def vocabulary(path: str) -> Vocabulary:
     weight = 1 / (np.arange(len(words) + 1) + 30.0)
     weight[-1] = weight[100]  # the end
     ends = np.cumsum([len(w) for w in words])
-    hashes = span_hashes(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends)
+    hashes = short_hashes(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends)
     order = np.argsort(hashes)
     return Vocabulary(hashes[order], order.astype(np.int32), weight / weight.sum(), max(map(len, words)))
 
@@ -192,7 +192,8 @@ class _Chunk:
         self.words.append(np.diff(offsets))
         self.size += len(joined)
 
-    def rows(self, kind: pa.DataType) -> pa.RecordBatch:
+    def distinct(self) -> tuple[list[bytes], np.ndarray]:
+        """(the distinct words, every word's number among them): told apart by hashes and compared with their bytes."""
         distinct, first, inverse = np.unique(np.concatenate(self.hashes), return_index=True, return_inverse=True)
         bounds = np.cumsum([0, *(len(h) for h in self.hashes)])
         words = [b""] * len(distinct)
@@ -201,6 +202,21 @@ class _Chunk:
             at = first[own] - a
             for i, x, y in zip(own.tolist(), starts[at].tolist(), ends[at].tolist()):
                 words[i] = joined[x:y]
+        flat, stop = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words], dtype=np.int64)
+        begin = np.concatenate(([0], stop))[:-1]
+        for (joined, starts, ends), a, b in zip(self.texts, bounds, bounds[1:]):
+            own = inverse[a:b]
+            if not same_spans(np.frombuffer(joined, np.uint8), starts, ends, flat, begin[own], stop[own]):
+                break
+        else:
+            return words, inverse
+        number: dict[bytes, int] = {}  # words that share a hash: number them by their bytes
+        every = (joined[x:y] for joined, starts, ends in self.texts for x, y in zip(starts.tolist(), ends.tolist()))
+        inverse = np.array([number.setdefault(w, len(number)) for w in every], np.int64)
+        return list(number), inverse
+
+    def rows(self, kind: pa.DataType) -> pa.RecordBatch:
+        words, inverse = self.distinct()
         order = sorted(range(len(words)), key=words.__getitem__)  # in order, words compress better
         number = np.empty(len(words), np.int64)
         number[order] = np.arange(len(words))
@@ -238,7 +254,7 @@ def score(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id"
 
     Learns from rows whose crc32(doc_id) mod 7 is not 2 (a null id counts as the empty text). Null and empty texts consist of
     the end alone. Repeated rows count and are scored as often as they stand. With no training row the piece
-    probabilities are the prior's. Words are told apart by 64-bit hashes inside a chunk and by their bytes across chunks.
+    probabilities are the prior's. Words are told apart by their bytes.
     """
     spark = prepare(docs.sparkSession)
     kind = dict(docs.dtypes)[doc_id]

@@ -1,13 +1,18 @@
 """Words of many texts as 64-bit hashes, without a Python object per word.
 
 Lower-cases A-Z; a word is a run of bytes outside space and 0x09-0x0D. A word's hash is a polynomial in
-its bytes modulo 2^64, read off one running sum over the buffer, then mixed.
+its bytes modulo 2^64, read off one running sum over the buffer, then mixed. Long words whose letters are arranged
+to that end have equal polynomials modulo a power of two, so a word of more than LONG bytes gets a digest instead.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
+LONG = 64
+
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -55,12 +60,30 @@ def word_spans(texts: list[bytes], space: np.ndarray = _SPACE) -> tuple[bytes, n
     return joined, starts, ends, span_hashes(buffer, starts, ends), offsets
 
 
-def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = _BYTE) -> np.ndarray:
-    """Hashes of spans, equal for equal contents wherever they stand; buffer holds bytes, or with no table 64-bit values."""
+def short_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = _BYTE) -> np.ndarray:
+    """Mixed polynomials of spans, equal for equal contents wherever they stand; for spans known to be short."""
     sums = prefix_sums(buffer, table)
     return mix((sums[ends] - sums[starts]) * inverse_powers(len(buffer) + 1)[starts])
 
 
+def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = _BYTE) -> np.ndarray:
+    """Hashes of spans of any length; buffer holds bytes, or with no table 64-bit values."""
+    hashes = short_hashes(buffer, starts, ends, table)
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(buffer[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return hashes
+
+
+def same_spans(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> bool:
+    """Whether every span of buffer has the contents of its span of other."""
+    size = ends - starts
+    if (size != stop - begin).any():
+        return False
+    before = np.cumsum(size) - size
+    step = np.arange(int(size.sum()))
+    return bool((buffer[step + np.repeat(starts - before, size)] == other[step + np.repeat(begin - before, size)]).all())
+
+
 def prefix_sums(buffer: np.ndarray, table: np.ndarray | None = _BYTE) -> np.ndarray:
     total = np.zeros(len(buffer) + 1, np.uint64)
     np.cumsum((buffer if table is None else table[buffer]) * _power("up", len(buffer))[: len(buffer)], out=total[1:])

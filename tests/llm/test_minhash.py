@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from winnow.llm import minhash
@@ -86,7 +87,43 @@ def test_bundles_of_a_hot_group_stay_small(docs, monkeypatch):
     words = [f"w{i}" for i in range(150)]
     rows = [(i, " ".join([*words, f"end{i}"])) for i in range(60)]
     assert {r.component_id for r in minhash.near_duplicates(docs(rows)).collect()} == {0}
-    assert [key for key, _, _ in seen] == ["key", "component"] and all(weight == size for _, weight, size in seen)
+    assert [key for key, _, _ in seen] == ["key"] and all(weight == size for _, weight, size in seen)
+    seen.clear()
+    rng = np.random.default_rng(6)  # a chain: neighbours are similar, so that most spanning edges are no links
+    rows = [(i, " ".join(f"c{j}" for j in range(9 * i, 9 * i + 150))) for i in rng.permutation(40).tolist()]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(rows)).collect()}
+    assert got == {i: c for i, _, c in brute(rows, 5, 80, 100)} and set(got.values()) == {0}
+    assert [key for key, _, _ in seen] == ["key", "key", "key", "component"] and all(weight == size for _, weight, size in seen)
+
+
+def test_sets_travel_about_once(docs, monkeypatch):
+    """In a large group of near copies a set meets few others, however many blocks the group would have."""
+    along, grid, moved = minhash._along, minhash._part_grid, []
+
+    def watched(edges, sets, *more):
+        moved.append(edges.count())
+        return along(edges, sets, *more)
+
+    def dealt(rows):
+        out = grid(rows)
+        moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "_along", watched)
+    monkeypatch.setattr(minhash, "_part_grid", dealt)
+    monkeypatch.setattr(minhash, "BLOCK", 20)
+    monkeypatch.setattr(minhash, "STAR_SHINGLES", 3000)
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(400)]
+    rows = []
+    for i in range(300):
+        own = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            own[rng.randrange(400)] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(rows)).collect()), key=str)
+    assert got == brute(rows, 5, 80, 100)
+    assert sum(moved) < 5 * len(rows)  # all blocks with all would be 15 a set
 
 
 def test_survivors(docs):
@@ -126,7 +163,7 @@ def test_likelihood_finds_the_similarity():
         grid = np.linspace(0.01, 0.999, 200)
         at = grid[np.argmax(minhash.log_likelihood(grid, 0.5, (x > y).sum(), (x < y).sum(), (x == y).sum()))]
         assert abs(at - j) < 0.15
-        assert minhash.possible(x[None], y[None], np.array([n]), np.array([n]), j - 0.01)[0, 0]
+        assert minhash.possible(x[None], y[None], np.array([n]), np.array([n]), j - 0.01)[0][0, 0]
 
 
 def test_word_hashes_do_not_depend_on_place():

@@ -7,8 +7,10 @@ equal) under the known set sizes drops a candidate only if a similarity at the t
 question; what remains is confirmed on the full shingle sets.
 
 Nothing is emitted per pair. Documents with equal sets are one class. A bucket of a band is compared in blocks of
-at most BLOCK classes and yields the spanning edges of its possible links; the components of these edges contain
-every link found. Each such component is compared again on full sets, in blocks, and yields spanning edges of true links.
+at most BLOCK classes and yields the spanning edges of its possible links. Full sets first meet along these edges only, every class
+beside one other, so that a set travels about once however large its group; true links contract to parts. A bucket whose spanning
+edges all turned out true, or inside parts, is done. In the others possible links between different parts are listed
+again, and what they connect is compared on full sets in blocks, the largest part of a group only with the rest of it.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ RATE = 20.0
 TOP = (1 << 16) - 2
 BLOCK = 1024
 BLOCK_SHINGLES = 400_000
+ROUNDS = 2  # passes along spanning edges, each with one edge a class
+STAR_SHINGLES = 2_000_000  # shingles of the classes that meet a copy of the set at the other end of their edges
 SURE = 12.0  # log likelihood ratio against the threshold from which a candidate is dropped
 
 _rng = np.random.default_rng(21)
@@ -83,8 +87,8 @@ def log_likelihood(j: np.ndarray, u: np.ndarray, more: np.ndarray, less: np.ndar
     return more * np.log(larger) + less * np.log(smaller) + same * np.log(equal)
 
 
-def possible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
-    """Whether similarity `least` is plausible for every pair of rows of a and b, as a matrix."""
+def possible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(whether similarity `least` is plausible, how many registers are equal) for every pair of rows of a and b, as matrices."""
     same = np.zeros((len(a), len(b)), np.int16)
     more = np.zeros((len(a), len(b)), np.int16)
     for r in range(REGISTERS):
@@ -100,7 +104,7 @@ def possible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least
         top = np.minimum(u, 1 - u) / np.maximum(u, 1 - u)
         best = np.max([log_likelihood(top * f, u, *counts) for f in np.linspace(0.3, 1, 15)], axis=0)
         keep[x, y] = best - log_likelihood(np.minimum(least, top), u, *counts) <= SURE
-    return keep
+    return keep, same
 
 
 def _sketch(k: int):
@@ -138,11 +142,11 @@ def _sets(k: int):
     return scan
 
 
-def _edges(rows: pd.DataFrame, keys: list[str], link) -> pd.DataFrame:
-    """Spanning edges of all blocks in rows; link(left, right) gives the links of two frames as a matrix."""
+def _edges(rows: pd.DataFrame, keys: list[str], link, named: bool = False) -> pd.DataFrame:
+    """Spanning edges of all blocks in rows, with the first key if named; link(left, right) gives the links of two frames as a matrix."""
     rows = rows.sort_values([*keys, "digest"], kind="stable").reset_index(drop=True)
     digest, block = rows["digest"].to_numpy(), rows["block"].to_numpy()
-    a, b = [], []
+    a, b, of = [], [], []
     for start, stop in runs([rows[c].to_numpy() for c in keys]):
         part = rows.iloc[start:stop]
         ids, own = digest[start:stop], block[start:stop]
@@ -159,15 +163,52 @@ def _edges(rows: pd.DataFrame, keys: list[str], link) -> pd.DataFrame:
                 for x, y in bipartite(link(part[left], part[right])):
                     a.append(ids[left][x])
                     b.append(ids[right][y])
-    return pd.DataFrame({"a": a, "b": b})
+        of += [rows[keys[0]].iat[start]] * (len(a) - len(of))
+    return pd.DataFrame({"a": a, "b": b} | ({keys[0]: of} if named else {}))
 
 
-def _possible_edges(least: float):
-    def link(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+def _possible(least: float):
+    """Possible links and equal registers of two frames; where rows have parts, links only between different ones."""
+
+    def link(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         unpack = lambda f: np.frombuffer(b"".join(f["registers"]), np.uint16).reshape(-1, REGISTERS)
-        return possible(unpack(left), unpack(right), left["n"].to_numpy(float), right["n"].to_numpy(float), least)
+        out, same = possible(unpack(left), unpack(right), left["n"].to_numpy(float), right["n"].to_numpy(float), least)
+        if "part" in left:
+            every = np.unique([*left["part"], *right["part"]], return_inverse=True)[1]
+            out &= every[: len(left), None] != every[len(left) :]
+        return out, same
 
-    return lambda rows: _edges(rows, ["key", "i", "j"], link)
+    return link
+
+
+def _possible_edges(least: float):
+    link = _possible(least)
+    return lambda rows: _edges(rows, ["key", "i", "j"], lambda left, right: link(left, right)[0], named=True)
+
+
+def _best_edges(least: float):
+    """For every row with a possible link in a cell, the one with the most equal registers."""
+    link = _possible(least)
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["key", "i", "j", "digest"], kind="stable").reset_index(drop=True)
+        found = []
+        for start, stop in runs([rows[c].to_numpy() for c in ("key", "i", "j")]):
+            part = rows.iloc[start:stop]
+            cells = [(part, part)]
+            if part["i"].iat[0] != part["j"].iat[0]:
+                cells = [(part[part["block"] == part["i"]], part[part["block"] == part["j"]])]
+                cells.append(cells[0][::-1])
+            for left, right in cells:
+                if len(left) and len(right):
+                    out, same = link(left, right)
+                    same = np.where(out, same, -1)
+                    best = same.argmax(1)
+                    has = np.flatnonzero(out.any(1))
+                    found += zip(left["digest"].to_numpy()[has].tolist(), right["digest"].to_numpy()[best[has]].tolist(), same[has, best[has]].tolist())
+        return pd.DataFrame(found, columns=["a", "b", "same"])
+
+    return work
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -213,7 +254,47 @@ def _true_edges(num: int, den: int):
     return lambda rows: _edges(rows.drop_duplicates(["component", "i", "j", "digest"]), ["component", "i", "j"], link)
 
 
-def _grid(rows: DataFrame, key: str, blocks: str) -> DataFrame:
+def _star_edges(num: int, den: int):
+    """True links of classes to the hub that their rows name: one sorted search of all their shingles in the hub's."""
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["hub", "block", "leaf", "digest"], kind="stable").reset_index(drop=True)
+        a, b = [], []
+        for start, stop in runs([rows[c].to_numpy() for c in ("hub", "block")]):
+            part = rows.iloc[start:stop]
+            leaves = part[part["leaf"]]
+            if not len(leaves) or part["leaf"].iat[0]:
+                continue
+            hub = np.frombuffer(part["shingles"].iat[0], np.uint64)
+            sets = [np.frombuffer(s, np.uint64) for s in leaves["shingles"]]
+            flat = np.concatenate(sets)
+            at = np.searchsorted(hub, flat)
+            shared = hub[np.minimum(at, len(hub) - 1)] == flat
+            sizes = np.array([len(s) for s in sets])
+            common = np.add.reduceat(shared.astype(np.int64), np.cumsum(sizes) - sizes)
+            linked = den * common >= num * (len(hub) + sizes - common)
+            a += leaves["digest"].to_numpy()[linked].tolist()
+            b += [part["hub"].iat[0]] * int(linked.sum())
+        return pd.DataFrame({"a": a, "b": b})
+
+    return work
+
+
+def _along(edges: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those edges (a, b), at most one for every a, that are true links; b's set travels once for every STAR_SHINGLES of the sets it meets."""
+    sizes = sets.select(F.col("digest").alias("a"), "n")
+    each = edges.join(sizes, "a").groupBy("b").agg(F.ceil(F.sum("n") / STAR_SHINGLES).alias("blocks"), F.sum("n").alias("met"))
+    each = cut(each)
+    dealt = edges.join(each.select("b", "blocks"), "b").select(
+        F.col("b").alias("hub"), F.pmod(F.xxhash64("a", F.lit(5)), F.col("blocks")).alias("block"), F.col("a").alias("digest"), F.lit(True).alias("leaf"))
+    hubs = each.select(F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"),
+                       F.col("b").alias("digest"), F.lit(False).alias("leaf"))
+    rows = dealt.unionByName(hubs).join(sets.select("digest", "shingles"), "digest")
+    n = max(edges.sparkSession.sparkContext.defaultParallelism, -(-_weight(each, F.col("met")) // 1_000_000))
+    return rows.groupBy(F.pmod(F.xxhash64("hub", "block", F.lit(3)), F.lit(n)).alias("bundle")).applyInPandas(_star_edges(num, den), "a binary, b binary")
+
+
+def _grid(rows: DataFrame, blocks: str) -> DataFrame:
     """Deal the rows of every key to blocks by their digest, and every block to the cells (i, j) of the grid it meets."""
     return (
         rows.withColumn("block", F.pmod(F.xxhash64("digest", F.lit(7)), F.col(blocks)).cast("int"))
@@ -222,6 +303,24 @@ def _grid(rows: DataFrame, key: str, blocks: str) -> DataFrame:
     )
 
 
+def _part_grid(rows: DataFrame) -> DataFrame:
+    """The same for members (component, digest, n, part): blocks of a component's largest part meet only those of its other parts."""
+    sizes = cut(rows.groupBy("component", "part").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("members")))
+    largest = sizes.groupBy("component").agg(F.max(F.struct("shingles", "part")).alias("m"), F.sum("shingles").alias("all"), F.sum("members").alias("number"))
+    main = sizes.join(largest.select("component", F.col("m.part").alias("part"), "all", "number"), ["component", "part"])
+    blocks = lambda members, shingles: F.greatest(F.ceil(members / BLOCK), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    counts = main.select(
+        "component", F.col("part").alias("main"), blocks(F.col("members"), F.col("shingles")).alias("mains"),
+        blocks(F.col("number") - F.col("members"), F.col("all") - F.col("shingles")).alias("rest"))
+    of = F.xxhash64("digest", F.lit(7))
+    in_main = F.col("part") == F.col("main")
+    dealt = rows.join(counts, "component").withColumn(
+        "block", F.when(in_main, F.col("rest") + F.pmod(of, F.col("mains"))).otherwise(F.pmod(of, F.col("rest"))).cast("int"))
+    last = F.when(in_main, F.col("rest") - 1).otherwise(F.col("rest") + F.col("mains") - 1)
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(
+        "component", "digest", "n", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
 def _weight(rows: DataFrame, each: Column) -> int:
     """The sum of a weight over all rows; in a grid a row counts once for every block it is dealt to."""
     return int(rows.agg(F.sum(each)).first()[0] or 0)
@@ -233,6 +332,17 @@ def _bundle(rows: DataFrame, key: str, weight: int, per: int, work, schema: str)
     return rows.groupBy(F.pmod(F.xxhash64(key, "i", "j", F.lit(3)), F.lit(n)).alias("bundle")).applyInPandas(work, schema)
 
 
+def _with_part(rows: DataFrame, parts: DataFrame, name: str, out: str = "part") -> DataFrame:
+    """rows with the part of the class in column `name`: its component of true links, or itself."""
+    own = parts.select(F.col("node").alias(name), F.col("component").alias(out))
+    return rows.join(own, name, "left").withColumn(out, F.coalesce(out, name))
+
+
+def _apart(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """Edges between different parts."""
+    return _with_part(_with_part(edges, parts, "a", "part_a"), parts, "b", "part_b").where("part_a <> part_b")
+
+
 def _groups(docs: DataFrame, k: int, num: int, den: int, text: str, doc_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows: doc_id, at, n_shingles, digest, registers; classes: digest, least_id and more; links: node and component, of linked classes)."""
     spark = prepare(docs.sparkSession)
@@ -251,23 +361,51 @@ def _groups(docs: DataFrame, k: int, num: int, den: int, text: str, doc_id: str)
     full = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = cut(bands.join(full, "key"))
     met = met.withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-    grid = _grid(met, "key", "blocks").join(
-        classes.select("digest", "registers", "n"), "digest").select("key", "i", "j", "block", "digest", "registers", "n")
-    edges = _bundle(grid, "key", _weight(met, F.col("blocks")), 20_000, _possible_edges(least), "a binary, b binary")
-    groups = components(edges)
-
-    # full sets of the classes in such groups
-    wanted = cut(groups.join(classes, groups["node"] == classes["digest"]).select("digest", "component", "n", "one.doc_id", "one.at"))
-    sizes = wanted.groupBy("component").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("members"))
-    w = wanted.select(F.col("doc_id").alias("w_id"), F.col("at").alias("w_at"))
-    sets = named.join(w, named["doc_id"].eqNullSafe(w["w_id"]) & (named["at"] == w["w_at"]), "left_semi").select("text").mapInArrow(
-        _sets(k), "digest binary, n bigint, shingles binary")
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
-    sized = wanted.join(sizes, "component").select("digest", "component", "n", blocks.alias("blocks"))
-    placed = _grid(sized.drop("n"), "component", "blocks")
-    true = _bundle(sets.join(placed, "digest").select("component", "i", "j", "block", "digest", "n", "shingles"),
-                   "component", _weight(sized, F.col("n") * F.col("blocks")), 500_000, _true_edges(num, den), "a binary, b binary")
-    linked = components(true)
+    traits = classes.select("digest", "registers", "n")
+    grid = _grid(met, "blocks").join(traits, "digest").select("key", "i", "j", "block", "digest", "registers", "n")
+    edge = f"a binary, b binary, key {dict(met.dtypes)['key']}"
+    found = cut(_bundle(grid, "key", _weight(met, F.col("blocks")), 20_000, _possible_edges(least), edge))
+
+    # full sets of the classes at these edges
+    ends = found.select(F.col("a").alias("digest")).union(found.select("b")).distinct()
+    wanted = cut(classes.join(ends, "digest").select("digest", F.col("one.doc_id").alias("w_id"), F.col("one.at").alias("w_at")))
+    sets = cut(named.join(wanted, named["doc_id"].eqNullSafe(wanted["w_id"]) & (named["at"] == wanted["w_at"]), "left_semi").select("text").mapInArrow(
+        _sets(k), "digest binary, n bigint, shingles binary"), "none")
+    sets = sets.join(wanted.select("digest"), "digest", "left_semi")
+
+    open_, true, parts = cut(found.select("a", "b").distinct()), None, None
+    for _ in range(ROUNDS):
+        pick = cut(open_.groupBy("a").agg(F.min("b").alias("b")))
+        if pick.isEmpty():
+            break
+        own = cut(_along(pick, sets, num, den))
+        true = own if true is None else true.unionByName(own)
+        parts = components(true)
+        open_ = cut(_apart(open_.join(pick, ["a", "b"], "left_anti"), parts).select("a", "b"))
+    if true is None:
+        return rows, classes, components(spark.createDataFrame([], "a binary, b binary"))
+
+    # buckets with a spanning edge between parts: first every class meets its likeliest link to another part
+    def across(parts: DataFrame) -> tuple[DataFrame, int]:
+        rest = cut(_with_part(met.join(keys, "key", "left_semi"), parts, "digest"))
+        return _grid(rest, "blocks").join(traits, "digest").select("key", "i", "j", "block", "digest", "part", "registers", "n"), _weight(rest, F.col("blocks"))
+
+    keys = cut(_apart(found, parts).select("key").distinct())
+    if keys.isEmpty():
+        return rows, classes, parts
+    cells, weight = across(parts)
+    best = _bundle(cells, "key", weight, 20_000, _best_edges(least), "a binary, b binary, same int")
+    true = true.unionByName(cut(_along(cut(best.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b"))), sets, num, den)))
+    parts = components(true)
+
+    # then all that possible links between parts connect is compared on full sets
+    cells, weight = across(parts)
+    groups = components(_bundle(cells, "key", weight, 20_000, _possible_edges(least), edge).select("a", "b"))
+    members = groups.select("component", F.col("node").alias("digest")).join(sets.select("digest", "n").distinct(), "digest")
+    placed = cut(_part_grid(_with_part(members, parts, "digest")))
+    more = _bundle(sets.join(placed.drop("n"), "digest").select("component", "i", "j", "block", "digest", "n", "shingles"),
+                   "component", _weight(placed, F.col("n")), 500_000, _true_edges(num, den), "a binary, b binary")
+    linked = components(true.unionByName(more))
 
     return rows, classes, linked
 

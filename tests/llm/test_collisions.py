@@ -87,3 +87,13 @@ def test_shingles(docs):
     assert one.tolist() != other.tolist()
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs([(1, ONE), (2, OTHER), (3, ONE)]), k=3, num=85).collect()}
     assert got == {1: 1, 2: 2, 3: 1}
+
+
+@pytest.mark.parametrize("window", [1, 5, 1 << 18])
+def test_spans_are_compared_whole(window):
+    data = np.frombuffer(b"abcabcabdxxxxxxxxxxxxxxxxy", np.uint8)
+    starts, ends = np.array([0, 3, 9, 9]), np.array([3, 6, 9, 17])
+    assert wordhash.same_spans(data, starts, ends, data, np.array([3, 0, 2, 17 - 8]), np.array([6, 3, 2, 17]), window)
+    assert not wordhash.same_spans(data, starts, ends, data, np.array([3, 6, 2, 9]), np.array([6, 9, 2, 17]), window)
+    assert not wordhash.same_spans(data, starts, ends, data, np.array([3, 0, 2, 18]), np.array([6, 3, 2, 26]), window)
+    assert not wordhash.same_spans(data, starts, ends, data, np.array([3, 0, 2, 9]), np.array([6, 3, 3, 17]), window)

@@ -44,29 +44,33 @@ def ranks_of(data: str) -> dict[bytes, int] | None:
 
 
 @lru_cache(2)
-def _tokenizer(data: str) -> tuple[Tokenizer, Cache, list[str]]:
-    """The tokenizer, a cache of slices, and its added tokens. Where the ids are ranks, slices are merged in batches; otherwise the tokenizer encodes them."""
-    tokenizer = Tokenizer.from_str(data)
+def _tokenizer(data: str) -> Tokenizer:
+    return Tokenizer.from_str(data)
+
+
+@lru_cache(2)
+def _slices(data: str) -> tuple[Cache, list[str]]:
+    """A cache of slices, and the tokenizer's added tokens. Where the ids are ranks, slices are merged in batches; otherwise the tokenizer encodes them."""
     ranks = ranks_of(data)
 
     def encode(slices: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(slices, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in _tokenizer(data).encode_batch(slices, add_special_tokens=False)]
 
-    return tokenizer, merging(ranks) if ranks else Cache(encode), [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    return merging(ranks) if ranks else Cache(encode), [t["content"] for t in json.loads(data)["added_tokens"]]
 
 
 def token_ids(texts: list[str], data: str) -> list[np.ndarray]:
     """What tokenizer.encode(text, add_special_tokens=False) gives for every text, with the end id.
 
     Splitting and batched merging are shared with the byte-pair operator; a text that spells out an added token goes to the
-    tokenizer whole, which alone knows how to cut it.
+    tokenizer whole, which alone knows how to cut it and is loaded only then.
     """
-    tokenizer, cache, added = _tokenizer(data)
+    cache, added = _slices(data)
     plain = [t if not any(a in t for a in added) else "" for t in texts]
     out = []
     for text, own, ids in zip(texts, plain, encode_batch(plain, cache)):
         if text and not own:
-            ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            ids = np.array(_tokenizer(data).encode(text, add_special_tokens=False).ids, np.uint32)
         out.append(np.append(ids, np.uint32(END)))
     return out
 

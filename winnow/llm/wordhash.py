@@ -74,14 +74,25 @@ def span_hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, table:
     return hashes
 
 
-def same_spans(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> bool:
-    """Whether every span of buffer has the contents of its span of other."""
+def same_spans(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, begin: np.ndarray, stop: np.ndarray, window: int = 1 << 18) -> bool:
+    """Whether every span of buffer has the contents of its span of other; compared a window at a time, a longer span by itself."""
     size = ends - starts
     if (size != stop - begin).any():
         return False
-    before = np.cumsum(size) - size
-    step = np.arange(int(size.sum()))
-    return bool((buffer[step + np.repeat(starts - before, size)] == other[step + np.repeat(begin - before, size)]).all())
+    for i in np.flatnonzero(size > window).tolist():
+        if (buffer[starts[i] : ends[i]] != other[begin[i] : stop[i]]).any():
+            return False
+    size = np.where(size > window, 0, size)
+    total = np.cumsum(size)
+    first = 0
+    while first < len(size):
+        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + window, "right")))
+        own = size[first:last]
+        step = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+        if (buffer[step + np.repeat(starts[first:last], own)] != other[step + np.repeat(begin[first:last], own)]).any():
+            return False
+        first = last
+    return True
 
 
 def prefix_sums(buffer: np.ndarray, table: np.ndarray | None = _BYTE) -> np.ndarray:

@@ -1,5 +1,7 @@
 """Frontier weights, bounds and mixtures: known answers and brute force on small tables."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -103,12 +105,47 @@ def test_response_interval_known_answer(spark):
     assert row["mean"] == pytest.approx(1.0) and row["mean"] - row["radius"] == pytest.approx(-0.920646, abs=1e-5)
 
 
-def test_best_pair_across_blocks(spark):
-    rng = np.random.default_rng(2)
-    df = columns(spark, rng.normal(size=(25, 3)))
-    whole, parts = P.best_pair(df, "id", "a", 3).first(), P.best_pair(df, "id", "a", 3, block=4).first()
-    assert (whole["left"], whole["right"]) == (parts["left"], parts["right"])
+def every_pair(values, tol=1e-9):
+    """The best pair by trying all, each over all fractions at which two objectives meet."""
+    best = None
+    for i, l in enumerate(values):
+        for j in range(i + 1, len(values)):
+            r = values[j]
+            slope = r - l
+            fractions = [0.0, 1.0]
+            for x in range(len(l)):
+                for y in range(x):
+                    if abs(slope[x] - slope[y]) > 1e-14:
+                        fractions.append((l[y] - l[x]) / (slope[x] - slope[y]))
+            margin = max(min(l + f * slope) for f in fractions if 0 <= f <= 1)
+            gain = margin - max(0.0, min(l), min(r))
+            strict = bool(min(l) <= tol and min(r) <= tol and margin > tol)
+            row = (strict, round(gain, 12), round(margin, 12), -i, -j)
+            best = row if best is None else max(best, row)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(7))
+def test_best_pair_equals_all_pairs(spark, monkeypatch, seed):
+    """Also when cells split many times; with ties, copies, pools without a strict pair and pools of copies only."""
+    monkeypatch.setattr(P, "CELLS", [512, 8, 2, 8, 8, 8, 2][seed])
+    monkeypatch.setattr(P, "PAIRS", [200_000, 0, -1600, -3000, -900, 0, -3000][seed])
+    rng = np.random.default_rng(seed)
+    values = rng.normal(size=(60, 3)) if seed < 4 else np.round(rng.normal(size=(60, 3)))  # many equal responses
+    if seed == 3:
+        values = np.abs(values) + 1  # all singles succeed
+    if seed == 5:
+        values = np.tile([[1.0, -2.0, 0.5]], (9, 1))
+    if seed == 6:
+        values = np.column_stack([np.linspace(-1, 1, 60), np.linspace(1, -1, 60), np.zeros(60)])  # every pair alike
+    want = every_pair(values)
+    got = P.best_pair(columns(spark, values), "id", "a", values.shape[1]).first()
+    assert (got["strict"], round(got["gain"], 9), round(got["margin"], 9), -got["left"], -got["right"]) == (want[0], round(want[1], 9), round(want[2], 9), *want[3:])
+
+
+def test_best_pair_of_few(spark):
     assert P.best_pair(columns(spark, [(2, -1), (-1, 2), (0.1, 0.1)]), "id", "a", 2).first()["strict"]
+    assert P.best_pair(columns(spark, [(2, -1)]), "id", "a", 2).count() == 0
 
 
 def test_kth_largest_with_ties(spark):
@@ -166,15 +203,45 @@ def test_acquisition_known_answers(spark):
 def test_best_small_batch_finds_the_pair(spark):
     new = spark.createDataFrame([(0, [2.0, -1.0], 1.0), (1, [-1.0, 2.0], 1.0), (2, [0.1, 0.1], 1.0)], "id bigint, a array<double>, c double")
     out = A.best_small_batch(columns(spark, [(0, 0), (-1, -1)]), new, "id", "a", "c", 2, 2)
-    assert sorted(out["selected"]) == ["0", "1"] and out["new_margin"] == pytest.approx(0.5) and out["skyline"] == 1
+    assert sorted(out["selected"]) == ["0", "1"] and out["new_margin"] == pytest.approx(0.5)
 
 
 def test_best_batch_of_four_objectives_takes_four_columns(spark):
     new = spark.createDataFrame([(i, [3.0 if i == j else -0.5 for j in range(4)], 1.0) for i in range(5)], "id bigint, a array<double>, c double")
     out = A.best_small_batch(columns(spark, [(-1, -1, -1, -1)]), new, "id", "a", "c", 4, 4)
     assert sorted(out["selected"]) == ["0", "1", "2", "3"] and out["new_margin"] == pytest.approx((3 - 1.5) / 4)
-    with pytest.raises(ValueError, match="limit"):
-        A.best_small_batch(columns(spark, [(-1, -1, -1, -1)]), new, "id", "a", "c", 4, 4, limit=10)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_batch_equals_every_set(spark, seed):
+    """The margin of the best affordable set of up to m columns, and a set that attains it and cannot lose a column."""
+    rng = np.random.default_rng(seed)
+    m, n = 3, 9
+    old, new = rng.normal(size=(12, m)) - 0.8, rng.normal(size=(n, m))
+    costs = rng.integers(1, 6, n).astype(float)
+    budget = float([3, 5, 7, 9, 0.5, 6][seed])
+    if seed == 5:
+        new[1::2] = new[::2][: len(new[1::2])]  # copies at other prices
+    table = spark.createDataFrame([(i, new[i].tolist(), float(costs[i])) for i in range(n)], "id bigint, a array<double>, c double")
+    out = A.best_small_batch(columns(spark, old), table, "id", "a", "c", budget, m)
+    base = game(old.T)[1]
+    sets = [s for size in range(m + 1) for s in itertools.combinations(range(n), size) if costs[list(s)].sum() <= budget]
+    margin = lambda s: game(np.column_stack([old.T, new[list(s)].T]))[1]
+    want = max(map(margin, sets))
+    assert out["new_margin"] == pytest.approx(want, abs=1e-7) and out["gain"] == pytest.approx(want - base, abs=1e-7)
+    mine = [int(i) for i in out["selected"]]
+    assert costs[mine].sum() <= budget and margin(mine) == pytest.approx(want, abs=1e-7)
+    assert all(margin([i for i in mine if i != j]) < want - 1e-9 for j in mine)
+
+
+def test_best_batch_does_not_refuse_by_number(spark):
+    """Two hundred columns have a million sets of three; few nodes of the tree are opened."""
+    rng = np.random.default_rng(9)
+    new = rng.normal(size=(200, 3))
+    table = spark.createDataFrame([(i, new[i].tolist(), 1.0) for i in range(200)], "id bigint, a array<double>, c double")
+    out = A.best_small_batch(columns(spark, rng.normal(size=(50, 3)) - 2), table, "id", "a", "c", 2, 3)
+    pairs = max(game(new[[i, j]].T)[1] for i in range(200) for j in range(i))
+    assert out["new_margin"] == pytest.approx(max(pairs, new.min(1).max()), abs=1e-7) and out["nodes"] < 2000
 
 
 def test_proposal_menu_guard_and_extra_candidates(spark):
@@ -193,3 +260,35 @@ def test_a_round_limit_is_an_error(spark):
         P.frontier_weights(df, "id", "a", 4, rounds=1)
     with pytest.raises(NotConverged):
         P.capped_frontier(df, "id", "a", 4, rounds=1)
+
+
+def test_stored_columns_start_the_next_solution(spark):
+    rng = np.random.default_rng(12)
+    values = rng.normal(size=(400, 4))
+    old, new = columns(spark, values[:300]), columns(spark, values)
+    first = P.frontier_weights(old, "id", "a", 4)
+    cold = P.frontier_weights(new, "id", "a", 4)
+    warm = P.frontier_weights(new, "id", "a", 4, start=first.pool(spark))
+    gone = P.frontier_weights(new.filter("id % 2 = 0"), "id", "a", 4, start=first.pool(spark))  # half of the stored rows are gone
+    assert warm.margin == pytest.approx(cold.margin, abs=1e-6) and warm.rounds <= cold.rounds
+    assert gone.margin == pytest.approx(P.frontier_weights(new.filter("id % 2 = 0"), "id", "a", 4).margin, abs=1e-6)
+    nominated = spark.createDataFrame([(3,), (7,)], "id bigint")
+    assert P.frontier_weights(new, "id", "a", 4, start=nominated).margin == pytest.approx(cold.margin, abs=1e-6)
+
+
+@pytest.mark.parametrize("floor", [0.05, 0.4, 1.0])
+def test_levels_of_several_witnesses_in_the_same_passes(spark, floor):
+    """Water levels by bins equal those found by bisection on the rows, ties and rows without moments included."""
+    from winnow.operators import estimators as E
+
+    rng = np.random.default_rng(6)
+    p = rng.random(300)
+    p /= p.sum()
+    moments = rng.exponential(size=(300, 2)) ** 3
+    moments[:40] = moments[0]
+    moments[40:60] = 0
+    df = spark.createDataFrame([(float(x), y.tolist()) for x, y in zip(p, moments)], "p double, A array<double>")
+    witnesses = np.array([[0.5, 0.5], [1.0, 0.0], [0.1, 0.9]])
+    for w, c in zip(witnesses, E._levels(df, witnesses, floor, 2)):
+        b = p * np.sqrt(moments @ w)
+        assert np.maximum(floor * p, c * b).sum() == pytest.approx(1.0, abs=1e-9)

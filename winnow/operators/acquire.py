@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import itertools
-import math
-
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,6 +12,8 @@ from pyspark.sql import functions as F
 
 from winnow.functions.vectors import dot_with
 from winnow.operators.contracts import require_clean, rules
+from winnow.operators.frontier import frontier_weights
+from winnow.plans.converge import require
 from winnow.plans.cut import cut
 from winnow.plans.partials import array_sum, stack
 from winnow.plans.smalllp import game
@@ -42,7 +42,7 @@ def pair_violations(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
 def accept_pairs(pairs: DataFrame, min_confidence: float = 0.8, allow_synthetic: bool = False, check: bool = True) -> DataFrame:
     """Training pairs above the confidence floor; held-out pairs are an error."""
     if not 0 <= min_confidence <= 1:
-        raise ValueError("confidence range")
+        raise ValueError("the confidence threshold must be from 0 to 1")
     if check:
         require_clean(pairs.filter("split <> 'train'").select("prompt_id", "split"), "held-out labels")
     kept = pairs.filter(F.col("confidence") >= min_confidence)
@@ -57,75 +57,116 @@ def rank_acquisition(df: DataFrame, id: str, a: str, u: str, cost: str, witness:
     return rows if k is None else rows.orderBy(F.round("score", 12).desc(), id).limit(k)
 
 
-def undominated(df: DataFrame, id: str, a: str, m: int) -> DataFrame:
-    """Columns no other column reaches in every objective; enough for any max-min margin.
+@dataclass(frozen=True)
+class _Node:
+    """A part of the sets of new columns: these are bought, these never."""
+
+    bought: frozenset = frozenset()
+    never: frozenset = frozenset()
+    bound: float = float("inf")
+
+
+def best_small_batch(existing: DataFrame, new: DataFrame, id: str, a: str, cost: str, budget: float, m: int, tol: float = 1e-9, wave: int = 16, rounds: int = 10_000) -> dict:
+    """An affordable set of new columns with the largest frontier margin, by branch and bound.
 
-    Each task keeps its own skyline, then one merge level repeats it, so the driver sees a skyline
-    and not the pool.
+    A node of the tree has some columns bought and some excluded; with every column allowed that the rest of the budget can
+    buy alone, its margin is a bound, and it is exact where the columns it uses fit the budget together. Otherwise one
+    of them is bought in one child and excluded in the other. An optimal mix has at most one column per objective, so no
+    node buys more than m. The bounds come from games over the few columns generated so far, priced over both tables
+    with the witnesses of a whole wave of nodes at once: one aggregate a table and round, whatever the pool and the number
+    of sets. No column of the result can be left out without loss. Ids of new columns are unique, costs not negative.
     """
-    def skyline(frames):
-        ids, kept = np.zeros(0, dtype=np.int64), np.zeros((0, m))
-        for frame in frames:
-            if not len(frame):
+    old = cut(existing.select(F.col(id).alias("id"), F.col(a).cast("array<double>").alias("a")))
+    offered = cut(new.filter((F.col(cost) >= 0) & (F.col(cost) <= budget)).select(F.col(id).alias("id"), F.col(a).cast("array<double>").alias("a"), F.col(cost).cast("double").alias("c")))
+    held: list[np.ndarray] = []  # columns of the existing pool
+    known: dict = {}  # new columns met so far: (responses, cost)
+
+    def price(nodes: list[_Node], witnesses: list[np.ndarray]) -> list[float]:
+        """For every node the best value of any column it allows; the columns found join the games."""
+        tops = old.agg(*[F.max_by("a", F.struct(dot_with("a", w), "id")).alias(f"s{i}") for i, w in enumerate(witnesses)]).first()
+        picks = []
+        for i, (n, w) in enumerate(zip(nodes, witnesses)):
+            free = budget - sum(known[j][1] for j in n.bought)
+            ok = (F.col("c") <= F.lit(float(free) + tol)) & F.lit(len(n.bought) < m)
+            shut = n.bought | n.never
+            if shut:
+                ok = ok & ~F.col("id").isin(sorted(shut))
+            picks.append(F.max_by(F.struct("id", "a", "c"), F.when(ok, F.struct(dot_with("a", w), "id"))).alias(f"s{i}"))
+        news = offered.agg(*picks).first()
+        out = []
+        for n, w, top, best in zip(nodes, witnesses, tops, news):
+            values = [float(w @ known[j][0]) for j in n.bought]
+            if top is not None:
+                held.append(np.asarray(top, dtype=float))
+                values.append(float(w @ held[-1]))
+            if best is not None:
+                known[best["id"]] = np.asarray(best["a"], dtype=float), best["c"]
+                values.append(float(w @ known[best["id"]][0]))
+            out.append(max(values))
+        return out
+
+    def allowed(n: _Node) -> list:
+        free = budget - sum(known[j][1] for j in n.bought)
+        more = [j for j, (_, c) in known.items() if j not in n.bought and j not in n.never and c <= free + tol] if len(n.bought) < m else []
+        return [*n.bought, *more]
+
+    def solve(nodes: list[_Node]) -> list[tuple]:
+        """(bound, margin, weights of new columns) of every node, to within tol of each other."""
+        done: dict = {}
+        for _ in range(rounds):
+            open_ = [n for n in nodes if n not in done]
+            if not open_:
+                return [done[n] for n in nodes]
+            games = []
+            for n in open_:
+                ids = allowed(n)
+                columns = [*held, *(known[j][0] for j in ids)]
+                q, margin, witness = game(np.stack(columns, axis=1)) if columns else (np.zeros(0), -np.inf, np.full(m, 1.0 / m))
+                games.append((margin, dict(zip(ids, q[len(held):] if len(columns) else [])), witness))
+            tops = price(open_, [g[2] for g in games])
+            for n, (margin, weights, _), top in zip(open_, games, tops):
+                if top - margin <= tol * (1 + abs(margin)) or top <= best[0] + tol:
+                    done[n] = (top, margin, weights)
+            unique = {h.tobytes(): h for h in held}
+            held[:] = list(unique.values())
+        require(False, "batch bounds", float("inf"), rounds)
+
+    best: list = [-np.inf, []]
+    base = best[0] = _frontier_margin(old, m, held)
+    queue, count = [_Node()], 0
+    while queue:
+        queue.sort(key=lambda n: -n.bound)
+        nodes, queue = queue[:wave], queue[wave:]
+        count += len(nodes)
+        for n, (top, margin, weights) in zip(nodes, solve(nodes)):
+            if top <= best[0] + tol:
                 continue
-            values = np.vstack([kept, stack(frame["a"])])
-            names = np.concatenate([ids, frame["id"].to_numpy()])
-            order = np.argsort(-values.sum(1), kind="stable")
-            values, names = values[order], names[order]
-            # The row with the largest sum left is undominated; drop all it covers, and go on.
-            front = []
-            while len(values):
-                front.append((names[0], values[0]))
-                free = ~(values[0] >= values).all(1)
-                values, names = values[free], names[free]
-            ids, kept = np.asarray([f[0] for f in front], dtype=np.int64), np.asarray([f[1] for f in front])
-        yield pd.DataFrame({"id": ids, "a": pd.Series(list(kept), dtype=object)})
-
-    rows = df.select(F.col(id).cast("bigint").alias("id"), F.col(a).alias("a"))
-    schema = "id bigint, a array<double>"
-    return rows.mapInPandas(skyline, schema).repartition(8).mapInPandas(skyline, schema).coalesce(1).mapInPandas(skyline, schema)
-
-
-def best_small_batch(existing: DataFrame, new: DataFrame, id: str, a: str, cost: str, budget: float, m: int, limit: int = 20_000) -> dict:
-    """The best affordable set of new columns by frontier margin, exactly.
-
-    An optimal mix has at most one column per objective, so sets of more than m columns need not be tried.
-
-    The existing pool enters only through its skyline. Subsets are numbered, not joined: each task
-    decodes its share of the numbers. More subsets than the limit is an error, never a sample.
-    """
-    sky = [np.asarray(r["a"], dtype=float) for r in undominated(existing, id, a, m).collect()]
-    base = np.stack(sky, axis=1)
-    _, margin, _ = game(base)
-    rows = new.filter(F.col(cost) <= budget).select(F.col(id).alias("id"), F.col(a).alias("a"), F.col(cost).alias("c"))
-    n = rows.count()
-    most = min(n, m)
-    total = sum(math.comb(n, size) for size in range(1, most + 1))
-    if total > limit:
-        raise ValueError(f"{total} sets of up to {most} columns; the limit of exact enumeration is {limit}")
-    got = rows.orderBy("id").collect()  # n is bounded by the limit on subsets
-    ids = [r["id"] for r in got]
-    values = np.asarray([r["a"] for r in got], dtype=float)
-    costs = np.asarray([r["c"] for r in got], dtype=float)
-    spark = new.sparkSession
-    firsts = spark.range(n).repartition(8)
-
-    def scan(frames):
-        for frame in frames:
-            out = []
-            for i in frame["id"]:
-                rest = range(i + 1, n)
-                for s in ((i, *more) for size in range(most) for more in itertools.combinations(rest, size)):
-                    if costs[list(s)].sum() <= budget:
-                        out.append((",".join(str(ids[x]) for x in s), len(s), game(np.column_stack([base, values[list(s)].T]))[1]))
-            yield pd.DataFrame(out, columns=["chosen", "size", "margin"])
-
-    scored = firsts.mapInPandas(scan, "chosen string, size int, margin double")
-    best = scored.agg(F.max_by(F.struct("chosen", "margin"), F.struct(F.round("margin", 9), -F.col("size"), "chosen")).alias("b"), F.count("*").alias("n")).first()
-    if best["b"] is None or best["b"]["margin"] <= margin + 1e-9:
-        return {"selected": [], "new_margin": margin, "gain": 0.0, "subsets": best["n"], "skyline": len(sky)}
-    return {"selected": best["b"]["chosen"].split(","), "new_margin": best["b"]["margin"], "gain": best["b"]["margin"] - margin,
-            "subsets": best["n"], "skyline": len(sky)}
+            used = [j for j, q in weights.items() if q > 1e-12]
+            if sum(known[j][1] for j in used) <= budget + tol:
+                if margin > best[0] + tol:
+                    best[:] = [margin, used]
+                continue  # what the node uses can be bought, so its bound is met
+            j = max((j for j in used if j not in n.bought), key=lambda j: (weights[j], str(j)))
+            queue += [_Node(n.bought | {j}, n.never, top), _Node(n.bought, n.never | {j}, top)]
+        queue = [n for n in queue if n.bound > best[0] + tol]
+    chosen = sorted(best[1], key=str)
+    for j in list(chosen):  # a column that the rest replaces is left out
+        rest = [known[i][0] for i in chosen if i != j]
+        columns = [*held, *rest]
+        if columns and game(np.stack(columns, axis=1))[1] >= best[0] - tol:
+            chosen.remove(j)
+    return {"selected": [str(j) for j in chosen], "new_margin": best[0], "gain": best[0] - base if np.isfinite(base) else best[0],
+            "nodes": count, "columns": len(held) + len(known)}
+
+
+def _frontier_margin(pool: DataFrame, m: int, held: list) -> float:
+    """The margin of the existing pool alone, whose columns join `held`; minus infinity for an empty pool."""
+    if pool.isEmpty():
+        return -np.inf
+    found = frontier_weights(pool, "id", "a", m)
+    ids = pool.filter(F.col("id").isin(list(found.weights))).select("a").collect()  # at most m rows
+    held += [np.asarray(r["a"], dtype=float) for r in ids]
+    return found.margin
 
 
 def eligible(prefix: str, memory: float, equipment: Sequence[str], time: float) -> Column:
@@ -198,17 +239,17 @@ def greedy_coverage(df: DataFrame, id: str, p: str, weights: Sequence[float], k:
 def _root(covariance: np.ndarray) -> np.ndarray:
     s = np.asarray(covariance, dtype=float)
     if not np.allclose(s, s.T):
-        raise ValueError("covariance not symmetric")
+        raise ValueError("the covariance must equal its transpose")
     eig, u = np.linalg.eigh(s)
     if eig.min() < -1e-10:
-        raise ValueError("covariance not PSD")
+        raise ValueError("the covariance has a negative eigenvalue")
     return (u * np.sqrt(np.maximum(eig, 0))) @ u.T
 
 
 def gaussian_information(df: DataFrame, x: str, covariance: np.ndarray, noise: float) -> float:
     """Half the log determinant of I + root.X'X.root / noise over all rows of df."""
     if noise <= 0:
-        raise ValueError("invalid noise")
+        raise ValueError(f"noise must be above 0, not {noise}")
     d = len(covariance)
     gram = array_sum(df, [x], d * d, lambda f: (stack(f[x]).T @ stack(f[x])).ravel()).reshape(d, d)
     root = _root(covariance)

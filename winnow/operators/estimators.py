@@ -13,6 +13,7 @@ from winnow.operators.contracts import rules
 from winnow.plans.converge import require
 from winnow.plans.cut import cut
 from winnow.plans.ordered import with_group
+from winnow.plans.partials import array_sum, stack
 from winnow.plans.smalllp import game
 
 
@@ -53,7 +54,7 @@ def policy_violations(df: DataFrame, key: str, action: str, pi: str) -> DataFram
 def mature(df: DataFrame, t: str, window: float, observed_until: float) -> DataFrame:
     """Rows whose feedback window has closed."""
     if window < 0:
-        raise ValueError("window must be nonnegative")
+        raise ValueError(f"a maturity window is not negative: {window}")
     return df.filter(F.col(t) + F.lit(window) <= F.lit(observed_until))
 
 
@@ -106,68 +107,109 @@ def variance_objectives(df: DataFrame, p: str, q: str, moments: str, m: int) ->
     )
 
 
-def _water_fill(rows: DataFrame, witness: Sequence[float], floor: float, m: int) -> tuple[Column, list[float]]:
-    """q = max(floor p, c p sqrt(witness.A)) summing to one, and its objectives.
+BINS = 2048  # breakpoint bins of a pass
 
-    c solves a convex piecewise linear equation; each Newton step is one aggregate and the steps end
-    when the set of rows at the floor stops changing.
+
+def _levels(rows: DataFrame, witnesses: np.ndarray, floor: float, m: int) -> np.ndarray:
+    """For every witness the c with sum of max(floor p, c b) = 1, where b = p sqrt(witness.A).
+
+    A row leaves the floor at its breakpoint floor p / b. One pass adds up p below the floor and b above it by bins of
+    breakpoints, for all witnesses; the bin in which the sum crosses one is cut again, until no breakpoint is left
+    between its ends or they are equal to the last digit. Inside a bin without breakpoints c is a quotient.
     """
-    b = F.col("p") * F.sqrt(sum((F.element_at("A", i + 1) * F.lit(float(w)) for i, w in enumerate(witness)), F.lit(0.0)))
-    slim = rows.select("p", "A", b.alias("b"))
-    c = 1.0 / max(slim.agg(F.sum("b").alias("s")).first()["s"], 1e-300)
-    settled, step = False, 0.0
-    for done in range(1, 201):
-        at_floor = F.lit(floor) * F.col("p") >= F.lit(c) * F.col("b")
-        got = slim.agg(
-            F.sum(F.when(at_floor, F.lit(floor) * F.col("p")).otherwise(0.0)).alias("fixed"),
-            F.sum(F.when(at_floor, 0.0).otherwise(F.col("b"))).alias("free"),
-        ).first()
-        if got["free"] <= 0:
-            settled = True
-            break
-        nxt = (1.0 - got["fixed"]) / got["free"]
-        settled = abs(nxt - c) <= 1e-14 * c
-        step, c = abs(nxt - c), nxt
+    n = len(witnesses)
+    low, high = np.full(n, -745.0), np.full(n, 709.0)  # natural logs of any positive double
+    fixed, free = np.zeros(n), np.zeros(n)  # p at the floor above the bin's end, b of rows off the floor before its start
+    for _ in range(8):
+
+        def part(frame, low=low, high=high) -> np.ndarray:
+            p, moments = frame["p"].to_numpy(float), stack(frame["A"])
+            out = np.zeros((n, 3, BINS + 2))
+            for i, w in enumerate(witnesses):
+                b = p * np.sqrt(np.maximum(moments @ w, 0.0))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    at = np.where(b > 0, np.log(floor * p) - np.log(b), np.inf)
+                    at = np.where(p > 0, at, np.inf)
+                width = (high[i] - low[i]) / BINS
+                k = np.clip(np.floor((at - low[i]) / width) if width > 0 else np.where(at < low[i], -1, BINS), -1, BINS)
+                k = np.where(np.isfinite(at), k, BINS).astype(int) + 1
+                out[i, 0] = np.bincount(k, p, BINS + 2)
+                out[i, 1] = np.bincount(k, b, BINS + 2)
+                out[i, 2] = np.bincount(k, minlength=BINS + 2)
+            return out.ravel()
+
+        sums = array_sum(rows, ["p", "A"], n * 3 * (BINS + 2), part).reshape(n, 3, BINS + 2)
+        settled = True
+        for i in range(n):
+            p, b, count = sums[i]
+            width = (high[i] - low[i]) / BINS
+            # at the end of bin k all rows up to it are off the floor
+            ends = np.exp(low[i] + width * np.arange(1, BINS + 1))
+            off, on = np.cumsum(b)[1:-1], floor * (p.sum() - np.cumsum(p)[1:-1])
+            k = int(np.searchsorted(ends * off + on, 1.0))
+            if k >= BINS:
+                fixed[i], free[i] = floor * p[-1], b[:-1].sum()
+                continue
+            fixed[i], free[i] = floor * p[k + 2 :].sum(), b[: k + 1].sum()
+            if count[k + 1] and width > 1e-15 * max(1.0, abs(low[i])):
+                low[i], high[i] = low[i] + k * width, low[i] + (k + 1) * width
+                settled = False
+            elif count[k + 1]:
+                free[i] += b[k + 1]  # breakpoints equal to the last digit: they leave the floor together
         if settled:
             break
-    require(settled or step <= 1e-10 * c, "allocation level", step, done)
-    q = F.greatest(F.lit(floor) * F.col("p"), F.lit(c) * b)
-    terms = [F.sum(F.col("p") * F.col("p") * F.element_at("A", i + 1) / q).alias(f"v{i}") for i in range(m)]
+    return np.where(free > 0, (1.0 - fixed) / np.maximum(free, 1e-300), 0.0)
+
+
+def _allocations(rows: DataFrame, witnesses: np.ndarray, floor: float, m: int) -> tuple[list[Column], list[list[float]]]:
+    """q = max(floor p, c p sqrt(witness.A)) summing to one, for several witnesses, and the objectives of each."""
+    out = []
+    for w, c in zip(witnesses, _levels(rows, witnesses, floor, m)):
+        b = F.col("p") * F.sqrt(sum((F.element_at("A", i + 1) * F.lit(float(x)) for i, x in enumerate(w)), F.lit(0.0)))
+        out.append(F.greatest(F.lit(floor) * F.col("p"), F.lit(float(c)) * b))
+    terms = [F.sum(F.when(F.col("p") > 0, F.col("p") * F.col("p") * F.element_at("A", i + 1) / q)).alias(f"v{j}_{i}") for j, q in enumerate(out) for i in range(m)]
     got = rows.agg(*terms).first()
-    return q, [float(got[f"v{i}"]) for i in range(m)]
+    return out, [[float(got[f"v{j}_{i}"] or 0.0) for i in range(m)] for j in range(len(out))]
 
 
 def minimax_allocation(
-    df: DataFrame, id: str, p: str, moments: str, m: int, floor: float = 0.05, tol: float = 1e-5, rounds: int = 400
+    df: DataFrame, id: str, p: str, moments: str, m: int, floor: float = 0.05, tol: float = 1e-5, rounds: int = 40
 ) -> tuple[DataFrame, dict]:
     """(id, q) with q >= floor * p that minimizes the largest objective second moment.
 
     For fixed objective weights q has a closed form; its objectives are a cut for the driver's
-    master over m weights, whose mix of earlier allocations is feasible and bounds the optimum.
+    master over m weights, whose mix of earlier allocations is feasible and bounds the optimum. A round tries the
+    master's weights and, around them, weights moved towards every objective and towards the best ones met, all in the same passes.
     """
     if not 0 < floor <= 1:
-        raise ValueError("positive floor required")
+        raise ValueError(f"floor must be above 0 and at most 1, not {floor}")
     rows = cut(df.select(F.col(id).alias("id"), F.col(p).alias("p"), F.col(moments).alias("A")))
-    witness = np.ones(m) / m
+    witness, step = np.ones(m) / m, 0.5
     columns: list[Column] = []
     values: list[list[float]] = []
-    weights, best_low, value = np.ones(1), -np.inf, np.inf
-    for _ in range(rounds):
-        q, v = _water_fill(rows, witness, floor, m)
-        best_low = max(best_low, float(witness @ np.asarray(v)))
-        columns.append(q)
-        values.append(v)
+    best_low, at, value, passes = -np.inf, witness, np.inf, 0
+    for passes in range(1, rounds + 1):
+        near = [(1 - s) * witness + s * e for e in np.eye(m) for s in (step, step / 4)]
+        tried = np.unique(np.round([witness, at, (witness + at) / 2, *near], 15), axis=0)
+        tried /= tried.sum(1, keepdims=True)
+        more, found = _allocations(rows, tried, floor, m)
+        lows = [float(w @ np.asarray(v)) for w, v in zip(tried, found)]
+        if max(lows) > best_low:
+            best_low, at = max(lows), tried[int(np.argmax(lows))]
+        columns += more
+        values += found
         # min over mixes of the largest objective is a game with negated columns.
         weights, negative, witness = game(-np.asarray(values).T)
         value = -negative
         if value - best_low <= tol * (1 + abs(value)):
             break
-    require(value - best_low <= tol * (1 + abs(value)), "minimax allocation", value - best_low, rounds)
+        step /= 4
+    require(value - best_low <= tol * (1 + abs(value)), "minimax allocation", value - best_low, passes)
     mixed = F.lit(0.0)
     for c, w in zip(columns, weights):
         if w > 0:
             mixed = mixed + F.lit(float(w)) * c
-    return rows.select("id", mixed.alias("q")), {"upper": value, "lower": best_low, "gap": value - best_low, "witness": witness.tolist()}
+    return rows.select("id", mixed.alias("q")), {"upper": value, "lower": best_low, "gap": value - best_low, "witness": witness.tolist(), "rounds": passes}
 
 
 def corrected_estimate(draws: DataFrame, values: DataFrame, id: str, x: Sequence[str], p: str, q: str) -> DataFrame:
@@ -183,7 +225,7 @@ def support_violations(values: DataFrame, id: str, p: str, q: str) -> DataFrame:
 def cost_allocation(df: DataFrame, p: str, variance: str, cost: str, budget: float, out: str = "n") -> DataFrame:
     """Add out: draws per stratum proportional to p * sqrt(variance / cost), spending the budget."""
     if budget <= 0:
-        raise ValueError("invalid allocation")
+        raise ValueError(f"budget must be above 0, not {budget}")
     rows = df.withColumn("_z", F.col(p) * F.sqrt(F.col(variance) / F.col(cost)))
     rows = with_group(rows, [], F.sum(F.col(cost) * F.col("_z")).alias("_t"))
     share = F.when(F.col("_t") > 0, F.lit(float(budget)) * F.col("_z") / F.when(F.col("_t") > 0, F.col("_t"))).otherwise(0.0)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from winnow.functions.vectors import dot, dot_sql, dot_with, norm, scaled, sum_array, sum_by
 from winnow.plans.converge import require
 from winnow.plans.cut import cut
+from winnow.plans.partials import stack
 from winnow.plans.smalllp import face, game, guarded
 
 
@@ -23,14 +24,14 @@ def response_matrix(df: DataFrame, v: str, targets: Sequence[Sequence[float]], s
     """Add a: the dot product of each row's vector with every target, divided by the target's scale."""
     s = [1.0] * len(targets) if scales is None else [float(x) for x in scales]
     if any(x <= 0 for x in s):
-        raise ValueError("invalid scales")
+        raise ValueError(f"scales must be above 0: {s}")
     return df.withColumn(out, F.array(*[dot_with(v, t) / F.lit(x) for t, x in zip(targets, s)]))
 
 
 def response_with_floor(df: DataFrame, a: str, p: str, floor: float, m: int) -> DataFrame:
     """Replace a by floor * (A p) + (1 - floor) * a."""
     if not 0 <= floor <= 1:
-        raise ValueError("invalid floor")
+        raise ValueError(f"floor must be from 0 to 1, not {floor}")
     mean = df.agg(sum_array(a, m, F.col(p)).alias("mean")).select("mean").scalar()
     mixed = F.zip_with(F.col(a), F.col("_mean"), lambda x, c: F.lit(floor) * c + F.lit(1 - floor) * x)
     return df.withColumn("_mean", mean).withColumn(a, mixed).drop("_mean")
@@ -69,6 +70,11 @@ class Frontier:
     certified: bool
     rounds: int
     note: dict = field(default_factory=dict)
+    columns: dict = field(default_factory=dict)
+
+    def pool(self, spark, id_type: str = "bigint") -> DataFrame:
+        """(id, a) of all columns that were generated, to start from when the table has grown."""
+        return spark.createDataFrame([(k, [float(x) for x in c]) for k, c in self.columns.items()], f"id {id_type}, a array<double>")
 
     def frame(self, spark, id_type: str = "bigint") -> DataFrame:
         return spark.createDataFrame([(k, float(w)) for k, w in sorted(self.weights.items())], f"id {id_type}, q double")
@@ -82,20 +88,27 @@ def _best_rows(df: DataFrame, id: str, a: str, scores: list[Column]) -> dict:
 
 
 def frontier_weights(
-    df: DataFrame, id: str, a: str, m: int, tol: float = 1e-7, extra: dict | None = None, rounds: int = 1000
+    df: DataFrame, id: str, a: str, m: int, tol: float = 1e-7, extra: dict | None = None, rounds: int = 1000, start: DataFrame | None = None
 ) -> Frontier:
     """Weights over all rows that maximize the worst objective, with a dual witness.
 
     The driver solves over the few columns generated so far; each pass prices every row with the
     witness and brings back the best one. An optimum needs at most m columns. `extra` adds
     columns that are not rows, such as the zero column of no update.
+
+    `start` names rows to begin with, by their column `id`: rows nominated without responses, or the columns of an earlier solution
+    (Frontier.pool), kept in a table and used again after the table has grown. Their responses are read from df, so
+    rows that are gone do no harm and rows that have changed count as they are now. The caller bounds their number.
     """
     pool = cut(df.select(F.col(id).alias("id"), F.col(a).alias("a")))
     columns = dict(extra or {})
+    if start is not None:
+        columns.update({r["id"]: np.asarray(r["a"], dtype=float) for r in pool.join(start.select("id").distinct(), "id", "left_semi").collect()})
     seeds = [F.element_at("a", i + 1) for i in range(m)] + [worst("a"), priced("a", [1.0 / m] * m)]
-    columns.update(_best_rows(pool, "id", "a", seeds))
     if not columns:
-        raise ValueError("empty response matrix")
+        columns.update(_best_rows(pool, "id", "a", seeds))
+    if not columns:
+        raise ValueError("no row to weigh: the table is empty")
     up, done, witness, q, margin = np.inf, 0, None, None, 0.0
     for done in range(1, rounds + 1):
         keys = list(columns)
@@ -110,7 +123,8 @@ def frontier_weights(
     gains = np.stack([columns[k] for k in keys], axis=1) @ q
     weights = {k: float(w) for k, w in zip(keys, q) if w > 0}
     return Frontier(
-        weights, margin, gains.tolist(), witness.tolist(), up, gap, bool(gap <= tol * (1 + abs(up))), done
+        weights, margin, gains.tolist(), witness.tolist(), up, gap, bool(gap <= tol * (1 + abs(up))), done,
+        columns={k: c for k, c in columns.items() if k not in (extra or {})},
     )
 
 
@@ -174,7 +188,7 @@ def kth_largest(df: DataFrame, value: str, k: int, bins: int = 1024) -> tuple[fl
     ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n")).first()
     lo, hi, above, inside = ends["lo"], ends["hi"], 0, ends["n"]
     if not 1 <= k <= inside:
-        raise ValueError("k outside the table")
+        raise ValueError(f"the table has no {k}-th row")
     while lo < hi and inside > bins:
         width = (hi - lo) / bins
         slot = f"least(greatest(floor(({value} - {lo!r}D) / {width!r}D), 0), {bins - 1})" if width > 0 else "0"
@@ -285,7 +299,7 @@ def guarded_weights(
     p = p / p.sum()
     rows = sorted(guardrails)
     if any(not 0 <= r < m for r in rows):
-        raise ValueError("invalid guardrail")
+        raise ValueError("the guard must name an objective and a lowest value")
     limits = np.asarray([guardrails[r] for r in rows], dtype=float)
     pool = cut(df.select(F.col(id).alias("id"), F.col(a).alias("a")))
     n = pool.count()
@@ -334,7 +348,7 @@ def response_interval(
 ) -> DataFrame:
     """(id, objective, mean, radius): clipped-mean responses with a simultaneous Hoeffding radius."""
     if clip <= 0 or not 0 < delta < 1:
-        raise ValueError("clip/delta")
+        raise ValueError("clip must be above 0 and delta between 0 and 1")
     means = sorted(sum_by(targets.withColumn("_c", clipped(v, clip)), [objective], "_c").collect(), key=lambda r: r[objective])
     pool = updates.count()
     factor = np.log(2.0 * len(means) * pool / delta)
@@ -355,7 +369,7 @@ def descent_bound(
 ) -> DataFrame:
     """Per objective the smoothness lower bound of the loss decrease along the mean direction."""
     if step < 0 or smoothness < 0 or gradient_error < 0 or direction_error < 0 or (batch is not None and batch < 1):
-        raise ValueError("negative bound")
+        raise ValueError("smoothness and the error bounds must not be negative")
     w = F.col(q)
     d = np.asarray(sum_by(pool, [], g, w).first()["s"], dtype=float)
     n = float(np.linalg.norm(d))
@@ -373,70 +387,177 @@ def descent_bound(
     return pool.sparkSession.createDataFrame(out, "objective int, bound double")
 
 
-def best_pair(units: DataFrame, id: str, a: str, m: int, tol: float = 1e-9, block: int = 50_000) -> DataFrame:
+CELLS = 512  # cells whose pairs the driver bounds at the start
+PAIRS = 200_000  # pairs of units evaluated without a further split, besides 16 for every unit
+
+
+def best_pair(units: DataFrame, id: str, a: str, m: int, tol: float = 1e-9) -> DataFrame:
     """The two units whose best mix gains most, preferring pairs where both singles fail and the mix succeeds.
 
-    Every unit finds its own best partner against blocks of the unit table held in memory one at a
-    time; only that partner is emitted, never the pairs. (left, right, fraction, margin, gain, strict)
+    (left, right, fraction, margin, gain, strict). Units fall into the cells of a grid over their responses. The best mix of two
+    cells' upper corners bounds every pair of their units, and pairs of cells whose bound stays below a pair already seen are
+    dropped; the others split by an equality join of each cell with its halves, until few pairs of units are left,
+    which are evaluated. Equal responses count once, with their smallest ids.
     """
-    import pandas as pd
-
-    rows = cut(units.select(F.col(id).cast("bigint").alias("id"), F.col(a).alias("a")))
+    rows = units.select(F.col(id).cast("bigint").alias("id"), F.col(a).cast("array<double>").alias("a"))
+    classes = cut(rows.groupBy("a").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.max("id").alias("top")))
+    found = _pair_search(classes.filter(F.array_min("a") <= tol), m, tol, strict=True)
+    if found is None:
+        found = _pair_search(classes, m, tol, strict=False)
+        # Two units of equal responses: any mix of them is each of them.
+        same = rows.join(classes.filter("n > 1").select("a", F.col("id").alias("first")), "a").filter("id > first")
+        worst_ = F.array_min("a")
+        twin = same.select("first", "id", worst_.alias("w"), F.least(worst_, F.lit(0.0)).alias("g")).agg(
+            F.max_by(F.struct("first", "id", "w", "g"), F.struct(F.round("g", 12), F.round("w", 12), -F.col("first"), -F.col("id"))).alias("t")).first()["t"]
+        if twin is not None:
+            other = (twin["first"], twin["id"], 0.0, twin["w"], twin["g"], False)
+            found = other if found is None else max(found, other, key=_pair_key)
     schema = "left bigint, right bigint, fraction double, margin double, gain double, strict boolean"
-    best, after = None, None
-    while True:
-        part = rows if after is None else rows.filter(F.col("id") > after)
-        held = part.orderBy("id").limit(block).collect()  # a block of fixed size
-        if not held:
-            break
-        after = held[-1]["id"]
-        ids = np.asarray([h["id"] for h in held])
-        right = np.asarray([h["a"] for h in held], dtype=float)
-
-        def scan(frames, ids=ids, right=right):
-            for frame in frames:
-                out = []
-                for left_id, value in zip(frame["id"], frame["a"]):
-                    found = _partner(np.asarray(value, dtype=float), right[ids > left_id], tol)
-                    if found is not None:
-                        k, fraction, margin, gain, strict = found
-                        out.append((left_id, int(ids[ids > left_id][k]), fraction, margin, gain, strict))
-                yield pd.DataFrame(out, columns=["left", "right", "fraction", "margin", "gain", "strict"])
-
-        found = rows.filter(F.col("id") < after).mapInPandas(scan, schema)
-        key = F.struct("strict", F.round("gain", 12), F.round("margin", 12), -F.col("left"), -F.col("right"))
-        top = found.agg(F.max_by(F.struct("*"), key).alias("t")).first()["t"]
-        if top is not None and (best is None or _pair_key(top) > _pair_key(best)):
-            best = top
-    if best is None:
-        return rows.sparkSession.createDataFrame([], schema)
-    return rows.sparkSession.createDataFrame([tuple(best)], schema)
-
-
-def _pair_key(row) -> tuple:
-    return (row["strict"], round(row["gain"], 12), round(row["margin"], 12), -row["left"], -row["right"])
-
-
-def _partner(left: np.ndarray, right: np.ndarray, tol: float):
-    """The best partner of one unit among the rows of right."""
-    if not len(right):
-        return None
+    return units.sparkSession.createDataFrame([found] if found else [], schema)
+
+
+_PAIR = ["left", "right", "fraction", "margin", "gain", "strict"]
+
+
+def _pair_key(row: tuple) -> tuple:
+    left, right, _, margin, gain, strict = row
+    return strict, round(gain, 12), round(margin, 12), -left, -right
+
+
+def _mix(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fraction of right, worst objective) of the best mix of every row of left with the same row of right."""
     slope = right - left
-    fractions = [np.zeros(len(right)), np.ones(len(right))]
-    m = len(left)
+    fractions = [np.zeros(len(left)), np.ones(len(left))]
+    m = left.shape[1]
     for i in range(m):
         for j in range(i + 1, m):
             bottom = slope[:, i] - slope[:, j]
             ok = np.abs(bottom) > 1e-14
-            f = np.where(ok, (left[j] - left[i]) / np.where(ok, bottom, 1.0), 0.0)
+            f = np.where(ok, (left[:, j] - left[:, i]) / np.where(ok, bottom, 1.0), 0.0)
             fractions.append(np.where((f >= 0) & (f <= 1), f, 0.0))
     f = np.stack(fractions)
-    value = (left[None, None, :] + f[:, :, None] * slope[None, :, :]).min(2)
+    value = (left[None] + f[:, :, None] * slope[None]).min(2)
     pick = value.argmax(0)
-    margin = value[pick, np.arange(len(right))]
-    single = np.maximum(0.0, np.maximum(left.min(), right.min(1)))
-    gain = margin - single
-    strict = (left.min() <= tol) & (right.min(1) <= tol) & (margin > tol)
-    order = np.lexsort((np.arange(len(right)), -np.round(margin, 12), -np.round(gain, 12), ~strict))
-    k = int(order[0])
-    return k, float(f[pick[k], k]), float(margin[k]), float(gain[k]), bool(strict[k])
+    at = np.arange(len(left))
+    return f[pick, at], value[pick, at]
+
+
+def _gains(left: np.ndarray, right: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fraction, margin, gain over the best single); low and high replace the singles, for bounds."""
+    fraction, margin = _mix(left, right)
+    single = np.maximum(left.min(1) if low is None else low, right.min(1) if high is None else high)
+    return fraction, margin, margin - np.maximum(single, 0.0)
+
+
+def _pair_search(classes: DataFrame, m: int, tol: float, strict: bool) -> tuple | None:
+    """The best pair of different classes; with strict only pairs whose mix succeeds."""
+    import pandas as pd
+
+    spark = classes.sparkSession
+    ends = classes.agg(F.count("*").alias("n"), *(f(F.element_at("a", i + 1)).alias(f"{n}{i}") for i in range(m) for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    if ends["n"] < 2:
+        return None
+    low = [ends[f"lo{i}"] for i in range(m)]
+    wide = [max(ends[f"hi{i}"] - ends[f"lo{i}"], 1e-300) for i in range(m)]
+
+    def code(level: int) -> Column:
+        """The cell of a row: every objective's range in 2^level parts; a cell of the level before holds the cells of half its numbers."""
+        at = [F.least(F.floor((F.element_at("a", i + 1) - F.lit(low[i])) / F.lit(wide[i]) * F.lit(float(1 << level))), F.lit((1 << level) - 1)) for i in range(m)]
+        return F.array(*at)
+
+    def cells(level: int) -> DataFrame:
+        high = F.array(*[F.max(F.element_at("a", i + 1)) for i in range(m)])
+        return classes.groupBy(code(level).alias("cell")).agg(
+            high.alias("high"), F.min(F.array_min("a")).alias("least"), F.count("*").alias("n"),
+            F.max_by(F.struct("id", "a"), F.struct(F.array_min("a"), -F.col("id"))).alias("one"))
+
+    best: list = [None]
+
+    def offer(rows: list[tuple]) -> None:
+        for row in rows:
+            left, right, _, margin, _, _ = row
+            if (not strict or margin > tol) and (best[0] is None or _pair_key(row) > _pair_key(best[0])):
+                best[0] = row
+
+    def enough(margin: np.ndarray, gain: np.ndarray) -> np.ndarray:
+        """Which bounds leave room for a pair as good as the best one seen."""
+        out = margin > tol if strict else np.ones(len(gain), bool)
+        return out if best[0] is None else out & (gain >= best[0][4] - 1e-11)
+
+    def pairs_of(x: pd.DataFrame, y: pd.DataFrame) -> list[tuple]:
+        """Evaluated pairs of classes, row by row, the smaller id left; the best only."""
+        one, two = x["id"].to_numpy(), y["id"].to_numpy()
+        a, b = stack(x["a"]), stack(y["a"])
+        swap = one > two
+        left, right = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
+        fraction, margin, gain = _gains(left, right)
+        good = (left.min(1) <= tol) & (right.min(1) <= tol) & (margin > tol)
+        keep = np.flatnonzero((one != two) & (good | (not strict)))
+        if not len(keep):
+            return []
+        first, second = np.minimum(one, two)[keep], np.maximum(one, two)[keep]
+        k = np.lexsort((second, first, -np.round(margin[keep], 12), -np.round(gain[keep], 12), ~good[keep]))[0]
+        i = keep[k]
+        return [(int(first[k]), int(second[k]), float(fraction[i]), float(margin[i]), float(gain[i]), bool(good[i]))]
+
+    # the finest level whose cells are few: their pairs are bounded here
+    counts = classes.agg(*(F.approx_count_distinct(code(level)).alias(str(level)) for level in range(1, 11))).first()
+    level = max([n for n in range(1, 11) if counts[str(n)] <= CELLS // 2], default=0)
+    top = cells(level).orderBy("cell").toPandas()  # about CELLS / 2 of them
+    high, least, number = stack(top["high"]), top["least"].to_numpy(), top["n"].to_numpy()
+    u, v = np.triu_indices(len(top))
+    singles = top["one"].apply(lambda r: r["id"]), top["one"].apply(lambda r: r["a"])
+    ones = pd.DataFrame({"id": singles[0].to_numpy(), "a": list(singles[1])})
+    offer(pairs_of(ones.iloc[u], ones.iloc[v]))
+    _, margin, gain = _gains(high[u], high[v], least[u], least[v])
+    keep = np.flatnonzero(enough(margin, gain) & ((u != v) | (number[u] > 1)))
+    codes = [[int(x) for x in c] for c in top["cell"]]
+    kind, schema = "u array<bigint>, v array<bigint>", "left bigint, right bigint, fraction double, margin double, gain double, strict boolean"
+    work = float((number[u[keep]].astype(float) * number[v[keep]]).sum())
+    pairs = spark.createDataFrame([(codes[i], codes[j]) for i, j in zip(u[keep], v[keep])], kind)
+    limit = PAIRS + 16 * ends["n"]
+    while work > limit and level < 50:
+        level += 1
+        fine = cut(cells(level).withColumn("parent", F.transform("cell", lambda c: F.floor(c / 2))))
+        side = lambda x: fine.select(F.col("parent").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("cell", "high", "least", "n", "one")))
+        met = pairs.join(side("u"), "u").join(side("v"), "v").filter("u <> v or u_cell <= v_cell")
+        seen = best[0][4] if best[0] else None
+
+        def bound(frames, seen=seen):
+            for f in frames:
+                if len(f):
+                    _, margin, gain = _gains(stack(f["u_high"]), stack(f["v_high"]), f["u_least"].to_numpy(), f["v_least"].to_numpy())
+                    ok = (margin > tol) if strict else np.ones(len(f), bool)
+                    if seen is not None:
+                        ok &= gain >= seen - 1e-11
+                    same = np.array([tuple(x) == tuple(y) for x, y in zip(f["u_cell"], f["v_cell"])])
+                    f = f[ok & (~same | (f["u_n"].to_numpy() > 1))].assign(gain=gain[ok & (~same | (f["u_n"].to_numpy() > 1))])
+                    pick = lambda c, k: [r[k] for r in f[c]]
+                    left, right = (pd.DataFrame({"id": pick(c, "id"), "a": pick(c, "a")}) for c in ("u_one", "v_one"))
+                    got = pairs_of(left, right) if len(f) else []
+                    out = {"u": f["u_cell"], "v": f["v_cell"], "bound": f["gain"], "n": f["u_n"] * f["v_n"].astype(float)}
+                    # the best pair evaluated in this batch goes with its first row
+                    out |= {c: [got[0][k] if got and i == 0 else None for i in range(len(f))] for k, c in enumerate(_PAIR)}
+                    yield pd.DataFrame(out)
+
+        kept = cut(met.mapInPandas(bound, f"{kind}, bound double, n double, {schema}"))
+        seen_here = kept.filter("left is not null").orderBy(F.round("gain", 12).desc(), F.round("margin", 12).desc(), "left", "right").limit(1)
+        offer([tuple(r) for r in seen_here.select(*_PAIR).collect()])
+        pairs = kept if best[0] is None else kept.filter(F.col("bound") >= F.lit(best[0][4] - 1e-11))
+        work = pairs.agg(F.sum("n").alias("s")).first()["s"] or 0.0
+        pairs = pairs.select("u", "v")
+    member = classes.select(code(level).alias("c"), "id", "a")
+    x, y = (member.select(F.col("c").alias(n), F.struct("id", "a").alias(f"{n}_one")) for n in "uv")
+    left = pairs.join(x, "u").join(y, "v").filter("u <> v or u_one.id < v_one.id").select("u_one", "v_one")
+
+    def evaluate(frames):
+        for f in frames:
+            sides = [pd.DataFrame({"id": [r["id"] for r in f[c]], "a": [r["a"] for r in f[c]]}) for c in ("u_one", "v_one")]
+            yield pd.DataFrame(pairs_of(*sides) if len(f) else [], columns=_PAIR)
+
+    got = left.mapInPandas(evaluate, schema)
+    key = F.struct("strict", F.round("gain", 12), F.round("margin", 12), -F.col("left"), -F.col("right"))
+    last = got.agg(F.max_by(F.struct("*"), key).alias("t")).first()["t"]
+    if last is not None:
+        offer([tuple(last)])
+    return best[0]

@@ -91,7 +91,7 @@ def safe_mixture(df: DataFrame, group: Sequence[str], base: str, explore: str, l
 def kl_tilt(df: DataFrame, group: Sequence[str], p: str, utility: str, temperature: float = 1.0, out: str = "q") -> DataFrame:
     """Add out proportional to p * exp(utility / temperature) on the support of p."""
     if temperature <= 0:
-        raise ValueError("invalid tilt")
+        raise ValueError(f"temperature must be above 0, not {temperature}")
     on = F.col(p) > 0
     z = F.when(on, F.log(F.when(on, F.col(p))) + F.col(utility) / F.lit(float(temperature)))
     # each written table is read twice, by the aggregate and by the join; nothing above is computed again

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.functions.keys import json_array, json_list, json_text, seeded, stable_bucket
-from winnow.plans.ordered import last_items, top_per_group, with_group, with_previous
+from winnow.plans.cut import cut
+from winnow.plans.ordered import last_items, top_per_group, with_group, with_previous, with_row_number
 from winnow.schemas import MASKED
 
 
@@ -164,10 +165,11 @@ def one_query_per_user(queries: DataFrame, user: str, query: str, sizes: dict[st
     """One query per user, users in hash order, in consecutive disjoint parts of the given sizes."""
     columns = queries.columns
     picked = queries.groupBy(user).agg(F.min_by(F.struct(*columns), seeded(seed, user, query)).alias("q"))
-    picked = picked.select("q.*").withColumn("_h", seeded(seed, user))
+    picked = cut(picked.select("q.*").withColumn("_h", seeded(seed, user)))
     total = sum(sizes.values())
-    few = picked.orderBy("_h").limit(total)
-    ranked = few.withColumn("_rn", F.row_number().over(Window.orderBy("_h")))
+    # Only digests and users are numbered, in ordered slices where they are many.
+    numbered = with_row_number(picked.select("_h", F.col(user).alias("_u")), [], [F.col("_h"), F.col("_u")], "_rn").filter(F.col("_rn") <= total)
+    ranked = picked.join(numbered.drop("_h"), F.col(user) == F.col("_u")).drop("_u")
     part, upto = F.lit(None).cast("string"), 0
     bounds = []
     for name, n in sizes.items():

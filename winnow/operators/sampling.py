@@ -43,7 +43,7 @@ def root_reservoir(df: DataFrame, root: str, k: int, seed: int = 42) -> DataFram
     join and no list of roots.
     """
     if k < 1:
-        raise ValueError("invalid reservoir size")
+        raise ValueError("a reservoir holds at least one root")
     roots = df.select(seeded(seed, root).alias("h")).distinct()
     cutoff = digest_cutoff(roots, k)
     return df if cutoff is None else df.filter(seeded(seed, root) <= F.lit(cutoff))
@@ -156,7 +156,7 @@ def base_distribution(df: DataFrame, domain: str, mode: str, only: str | None =
         n = df.agg(F.count("*").alias("n")).select("n").scalar()
         return df.withColumn("p", F.lit(1.0) / n)
     if mode != "equal_domains":
-        raise ValueError("unknown mode")
+        raise ValueError(f"no base distribution {mode!r}")
     sizes = df.groupBy(domain).agg(F.count("*").alias("_n"))
     domains = sizes.agg(F.count("*").alias("d")).select("d").scalar()
     return df.join(sizes, domain).withColumn("p", F.lit(1.0) / (domains * F.col("_n"))).drop("_n")

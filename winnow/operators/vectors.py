@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.functions.keys import hash48, seeded
+from winnow.functions.keys import hash48, seeded, uniform
 from winnow.functions.vectors import dot_with, mean_by, minus, norm, squared_distance
 from winnow.plans.cut import cut
 from winnow.plans.ordered import top_per_group, with_group
@@ -54,7 +54,7 @@ def times(df: DataFrame, v: str, matrix: np.ndarray, out: str) -> DataFrame:
 
 def random_projection(df: DataFrame, v: str, width: int, dim: int, seed: int = 0, out: str = "projected") -> DataFrame:
     if dim < 1:
-        raise ValueError("dim must be positive")
+        raise ValueError("a projection has at least one dimension")
     return times(df, v, projection_matrix(width, dim, seed), out)
 
 
@@ -151,6 +151,45 @@ def farthest_first(df: DataFrame, id: str, v: str, k: int, seed: int = 0, every:
     return chosen
 
 
+def _nearest(held: np.ndarray):
+    """The squared distance of a vector to the nearest of the held ones."""
+
+    @F.pandas_udf("double")
+    def near(s: pd.Series) -> pd.Series:
+        x = stack(s)
+        if not len(x):
+            return pd.Series([], dtype=float)
+        return pd.Series(np.maximum(((x**2).sum(1)[:, None] - 2 * x @ held.T + (held**2).sum(1)).min(1), 0.0))
+
+    return near
+
+
+def spread_rows(df: DataFrame, id: str, v: str, k: int, seed: int = 0, passes: int = 4, factor: int = 2) -> list:
+    """Up to k vectors far apart, in passes + 1 passes whatever k.
+
+    Every pass draws factor * k rows with chances that grow with the squared distance to all rows drawn before (an exponential race on
+    seeded digests, so that the smallest keys win); among these few, the driver takes farthest first. Ids are unique.
+    """
+    pool = cut(df.select(F.col(id).alias("id"), F.col(v).cast("array<double>").alias("v")))
+    first = pool.agg(F.min_by(F.struct("id", "v"), seeded(seed, "id")).alias("b")).first()["b"]
+    if first is None:
+        return []
+    held = np.asarray([first["v"]], dtype=float)
+    for n in range(passes):
+        raced = pool.select("id", "v", _nearest(held)(F.col("v")).alias("d"), uniform(f"{seed}-{n}", "id").alias("u")).filter("d > 1e-18")
+        key = F.round(-F.log(F.greatest("u", F.lit(1e-300))) / F.col("d"), 12)
+        drawn = raced.orderBy(key, "id").select("v").limit(factor * k).collect()
+        if not drawn:
+            break
+        held = np.vstack([held, np.asarray([r["v"] for r in drawn], dtype=float)])
+    chosen = [0]
+    far = np.square(held - held[0]).sum(1)
+    while len(chosen) < k and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, np.square(held - held[chosen[-1]]).sum(1))
+    return [held[i].tolist() for i in chosen]
+
+
 def vector_clusters(df: DataFrame, id: str, v: str, k: int, seed: int, fit: DataFrame | None = None, floor: int = 256) -> tuple[DataFrame, np.ndarray]:
     """Membership (record_id, unit, p) of k-means groups with at least `floor` rows, and the centers."""
     from pyspark.ml.clustering import KMeans

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from winnow import schemas
 from winnow.operators.contracts import require_clean, sft_violations, table_violations, feedback_violations
 from winnow.operators.history import strict_history
+from winnow.sources.lines import bad_lines
 
 
 def _read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -20,16 +21,20 @@ def _read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     )
 
 
-def _require_parsed(df: DataFrame, path: str) -> DataFrame:
+def _require_parsed(df: DataFrame, path: str, schema: str) -> DataFrame:
     # Spark refuses a raw scan of the corrupt column alone, so one parsed column goes with it.
     bad = df.filter(F.col("_corrupt").isNotNull()).select("_corrupt", df.columns[0])
-    require_clean(bad, f"{path}: malformed line")
+    if bad.first() is not None:
+        # Only now is it worth a slower read that knows files and lines.
+        for row in bad_lines(df.sparkSession, path, schema).orderBy("_file", "_line").limit(1).collect():
+            raise ValueError(f"{row['_file']}:{row['_line']}: malformed line: {row['_error']}")
+        require_clean(bad, f"{path}: malformed line")
     return df.drop("_corrupt")
 
 
 def read_sft(spark: SparkSession, path: str, split: str | None = None, check: bool = True) -> DataFrame:
     """SFT records from JSON lines; a row of another split is an error, not a filter."""
-    df = _require_parsed(_read_json(spark, path, schemas.SFT), path)
+    df = _require_parsed(_read_json(spark, path, schemas.SFT), path, schemas.SFT)
     df = df.withColumn("label_origin", F.coalesce("label_origin", F.lit("observed")))
     if check:
         require_clean(sft_violations(df), path)
@@ -40,7 +45,7 @@ def read_sft(spark: SparkSession, path: str, split: str | None = None, check: bo
 
 
 def read_feedback(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
-    df = _require_parsed(_read_json(spark, path, schemas.FEEDBACK), path)
+    df = _require_parsed(_read_json(spark, path, schemas.FEEDBACK), path, schemas.FEEDBACK)
     if check:
         require_clean(feedback_violations(df), path)
     return df
@@ -49,7 +54,7 @@ def read_feedback(spark: SparkSession, path: str, check: bool = True) -> DataFra
 def read_sid_split(spark: SparkSession, path: str, split: str, task: str | None = None) -> DataFrame:
     """Records of one split (and task); on a table partitioned by (task, split) others are not read."""
     if split not in schemas.SID_SPLITS:
-        raise ValueError("invalid split")
+        raise ValueError(f"split must be one of {schemas.SID_SPLITS}, not {split!r}")
     df = spark.read.parquet(path).filter(F.col("split") == split)
     return df if task is None else df.filter(F.col("task") == task)
 
@@ -93,7 +98,7 @@ def normalize_reviews(raw: DataFrame, domain: str | Column) -> DataFrame:
 
 def read_reviews(spark: SparkSession, path: str, domain: str) -> DataFrame:
     """JSON lines, plain or gzip; fails on a missing id or a timestamp that is not an integer."""
-    raw = _require_parsed(_read_json(spark, path, schemas.REVIEW), path)
+    raw = _require_parsed(_read_json(spark, path, schemas.REVIEW), path, schemas.REVIEW)
     require_clean(review_violations(raw), path)
     return normalize_reviews(raw, domain)
 
@@ -164,7 +169,7 @@ def feedback_log_to_records(log: DataFrame, train_end: float, selection_end: flo
     times; without it the row's own columns do.
     """
     if not train_end < selection_end or h < 1:
-        raise ValueError("invalid boundaries")
+        raise ValueError(f"training must end before selection and histories hold at least one item: {train_end}, {selection_end}, {h}")
     t = F.col("time_ms").cast("double")
     key = F.col(tie).cast("string") if tie else F.concat_ws("|", "video_id", "tab")
     events = log.select(

@@ -15,10 +15,14 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+WIDTH = 64  # seconds of a bucket of pending events
+
+
 class HistoryProcessor(StatefulProcessor):
-    """Per user: the last h items before the open instant, and the events after it by time.
+    """Per user: the last h items before the open instant, and the events after it in buckets of time.
 
-    Pending events are entries of a map, so a batch writes its own events only and closing an instant removes its own only.
+    A batch reads and writes the buckets of its own events only, and closing reads the buckets that the watermark has reached and the
+    first one behind it; what waits in later buckets is not touched.
     """
 
     def __init__(self, h: int):
@@ -27,15 +31,21 @@ class HistoryProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.past = handle.getListState("past", "t bigint, event_id string, item_id string")
-        self.pending = handle.getMapState("pending", "t bigint, event_id string", "item_id string")
+        self.pending = handle.getMapState("pending", "b bigint", "t array<bigint>, event_id array<string>, item_id array<string>")
+        self.open = handle.getValueState("open", "b array<bigint>")
         self.timer = handle.getValueState("timer", "t bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        new: dict = {}
         for frame in rows:
             for t, event, item in zip(frame["t"].astype(int).tolist(), frame["event_id"].tolist(), frame["item_id"].tolist()):
-                self.pending.updateValue((t, event), (item,))
-                first = t if first is None else min(first, t)
+                new.setdefault(t // WIDTH, {})[t, event] = item
+        known = self._open()
+        for b, own in new.items():
+            self._put(b, (self._get(b) if b in known else {}) | own)
+        if new.keys() - known:
+            self.open.update((sorted(known | new.keys()),))
+        first = min((t for own in new.values() for t, _ in own), default=None)
         held = self.timer.get()
         if first is not None and (held is None or first < held[0]):
             self._wait(first)
@@ -44,6 +54,17 @@ class HistoryProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield self._close(key, timerValues.getCurrentWatermarkInMs())
 
+    def _open(self) -> set:
+        held = self.open.get()
+        return set() if held is None else {int(b) for b in held[0]}
+
+    def _get(self, b: int) -> dict:
+        t, event, item = self.pending.getValue((b,))
+        return {(int(x), y): z for x, y, z in zip(t, event, item)}
+
+    def _put(self, b: int, rows: dict) -> None:
+        self.pending.updateValue((b,), ([t for t, _ in rows], [e for _, e in rows], list(rows.values())))
+
     def _wait(self, t: int) -> None:
         self.timer.update((t,))
         self.handle.registerTimer(t * 1000)
@@ -54,12 +75,18 @@ class HistoryProcessor(StatefulProcessor):
         held = self.timer.get()
         if held is None or held[0] * 1000 > watermark_ms:
             return pd.DataFrame([], columns=columns)
-        closed, later = [], None
-        for (t, event), (item,) in self.pending.iterator():
-            if t * 1000 <= watermark_ms:
-                closed.append((t, event, item))
-            else:
-                later = t if later is None else min(later, t)
+        closed, later, left = [], None, sorted(self._open())
+        while left:
+            rows = self._get(left[0])
+            due = {k: item for k, item in rows.items() if k[0] * 1000 <= watermark_ms}
+            closed += [(t, event, item) for (t, event), item in due.items()]
+            if len(due) < len(rows):
+                rest = {k: item for k, item in rows.items() if k not in due}
+                later = min(t for t, _ in rest)
+                if due:
+                    self._put(left[0], rest)
+                break
+            self.pending.removeKey((left.pop(0),))
         past, out = [tuple(x) for x in self.past.get()], []
         for _, block in itertools.groupby(sorted(closed), key=lambda x: x[0]):
             tied = list(block)
@@ -67,13 +94,13 @@ class HistoryProcessor(StatefulProcessor):
             items = [x[2] for x in past if x[0] < tied[0][0]]
             out += [(key[0], event, t, items) for t, event, _ in tied]
             past = sorted(past + tied)[-self.h :]
-        for t, event, _ in closed:
-            self.pending.removeKey((t, event))
         if past:
             self.past.put(past)
         if later is None:
             self.timer.clear()
+            self.open.clear()
         else:
+            self.open.update((left,))
             self._wait(later)
         return pd.DataFrame(out, columns=columns)
 

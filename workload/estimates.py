@@ -355,8 +355,8 @@ def acq_best_small_batch(spark, sf):
     )
     out = A.best_small_batch(rows.filter("label >= 5"), centers, "id", "a", "cost", 5, 3)
     return spark.createDataFrame(
-        [(",".join(out["selected"]), float(out["new_margin"]), float(out["gain"]), int(out["subsets"]))],
-        "selected string, new_margin double, gain double, subsets bigint",
+        [(",".join(out["selected"]), float(out["new_margin"]), float(out["gain"]), int(out["nodes"]))],
+        "selected string, new_margin double, gain double, nodes bigint",
     )
 
 

@@ -300,3 +300,31 @@ def fro_bootstrap_gap(spark, sf):
 def fro_seeded_sample(spark, sf):
     """Rows whose responses are fetched first."""
     return T.wide(spark, sf).orderBy(seeded(6, "id")).limit(16).select("id")
+
+
+@query(
+    "fro_warm_start",
+    """select cast(3 as bigint) as solved, true as same_margin, true as fewer_rounds, true as certified,
+         (select count(*) from vec where label < 8) as old_rows, (select count(*) from vec) as new_rows""",
+    "vec",
+)
+def fro_warm_start(spark, sf):
+    """The frontier of a table that has grown, from its stored old columns and from nominated rows, against a cold start."""
+    import uuid
+
+    from winnow.operators.vectors import farthest_first
+    from winnow.plans.cut import checkpoint_folder
+
+    rows = cut(T.wide(spark, sf))
+    before = P.frontier_weights(rows.filter("label < 8"), "id", "a", 3)
+    path = f"{checkpoint_folder(spark)}/winnow/{uuid.uuid4().hex}"
+    before.pool(spark).write.parquet(path)
+    cold = P.frontier_weights(rows, "id", "a", 3)
+    warm = P.frontier_weights(rows, "id", "a", 3, start=spark.read.schema("id bigint, a array<double>").parquet(path))
+    nominated = spark.createDataFrame([(i,) for i in farthest_first(rows.select("id", "v"), "id", "v", 8, 1)], "id bigint")
+    spread = P.frontier_weights(rows, "id", "a", 3, start=nominated)
+    same = max(abs(x.margin - cold.margin) for x in (warm, spread)) <= 1e-6 * (1 + abs(cold.margin))
+    counts = rows.agg(F.sum(F.when(F.col("label") < 8, 1).otherwise(0)).alias("old_rows"), F.count("*").alias("new_rows"))
+    return counts.select(
+        F.lit(3).cast("bigint").alias("solved"), F.lit(bool(same)).alias("same_margin"), F.lit(bool(warm.rounds <= cold.rounds)).alias("fewer_rounds"),
+        F.lit(bool(warm.certified and spread.certified)).alias("certified"), "old_rows", "new_rows")

@@ -271,3 +271,110 @@ def src_plan_audit(spark, sf):
     )
     forged = plan.filter("domain = 'opening'").withColumn("response_tokens", F.col("response_tokens") + 1)
     return C.plan_audit(plan.unionByName(forged), records)
+
+
+def _written(spark, rows, form: str, **options) -> str:
+    """rows written to the checkpoint folder as files of a format."""
+    import uuid
+
+    from winnow.plans.cut import checkpoint_folder
+
+    path = f"{checkpoint_folder(spark)}/winnow/{uuid.uuid4().hex}"
+    rows.write.options(**options).format(form).save(path)
+    return path
+
+
+@query(
+    "src_encode_table",
+    """select record_id, split, len(input_ids) as tokens, cost, sha256(array_to_string(input_ids, ',')) as digest
+       from (select * replace (case split when 'holdout' then 'test' else split end as split) from sft_all) where cost > 0""",
+    "sft_all",
+)
+def src_encode_table(spark, sf):
+    """Turns through the encoder table function: a turn without a response gives no record."""
+    from winnow.sources.encoder import encode
+
+    rows = encode(T.turns(spark, sf), "winnow.sources.encoder:words")
+    ids = F.sha2(F.array_join(F.transform("input_ids", lambda i: i.cast("string")), ","), 256)
+    return rows.select("record_id", "split", F.size("input_ids").alias("tokens"), C.response_cost("labels").alias("cost"), ids.alias("digest"))
+
+
+@query(
+    "src_read_feedback",
+    """select user_id, count(*) as records, round(sum(timestamp), 6) as times, cast(sum(len(history)) as bigint) as items from
+         (select scene as user_id, n_chars as timestamp, [scene, scene] as history from feedback
+          where quality is not null and n_chars > 300 and n_chars <= 4000) group by 1""",
+    "feedback",
+)
+def src_read_feedback(spark, sf):
+    """Feedback records written as JSON lines and read back through the checked reader."""
+    rows = _feedback_records(spark, sf).filter("labels[0] is not null and timestamp > 300 and timestamp <= 4000").withColumn(
+        "history_times", F.array(F.lit(100.0), F.col("timestamp") - 200.0)).withColumn("prompt", F.lit("")).withColumn("source", F.lit("log"))
+    columns = [c.split()[0] for c in R.schemas.FEEDBACK.split(", ")]
+    back = R.read_feedback(spark, _written(spark, rows.select(*columns), "json"))
+    return back.groupBy("user_id").agg(
+        F.count("*").alias("records"), r(F.sum("timestamp")).alias("times"), F.sum(F.size("history")).alias("items"))
+
+
+@query(
+    "src_read_feedback_log",
+    """select event_type as tab, count(*) as rows, count(distinct user_id) as users, cast(sum(case when event_id % 3 = 0 then 1 else 0 end) as bigint) as unknown,
+         round(sum(case when event_id % 3 = 0 then null else event_id % 2 end), 6) as clicks from events group by 1""",
+)
+def src_read_feedback_log(spark, sf):
+    """Events written as a csv log with a header, read back, its spellings of unknown labels turned to null."""
+    events = T.table(spark, sf, "events")
+    number = F.col("event_id").cast("bigint")
+    spelling = F.element_at(F.array(F.lit("-1"), F.lit("nan"), F.lit("None")), (number % 9 / 3).cast("int") + 1)
+    click = F.when(number % 3 == 0, spelling).otherwise((number % 2).cast("string"))
+    rows = events.select(
+        F.col("user_id").cast("string").alias("user_id"), number.cast("string").alias("video_id"), F.unix_millis(F.to_timestamp("ts")).cast("string").alias("time_ms"),
+        F.col("event_type").alias("tab"), click.alias("is_click"), F.lit("0").alias("is_like"))
+    back = R.read_feedback_log(spark, _written(spark, rows, "csv", header=True))
+    label = R.known_label("is_click")
+    return back.groupBy("tab").agg(
+        F.count("*").alias("rows"), F.countDistinct("user_id").alias("users"), F.sum(F.when(label.isNull(), 1).otherwise(0)).alias("unknown"),
+        r(F.sum(label)).alias("clicks"))
+
+
+@query(
+    "src_read_reviews",
+    """with e as (select cast(user_id as varchar) as u, cast(event_id % 500 as varchar) as i, epoch(cast(cast(ts as date) as timestamp)) as t, event_id % 5 + 1 as rating from events)
+       select i as item_id, count(*) as reviews, count(distinct u || ' ' || t) as times, round(sum(rating), 6) as rating from e group by 1""",
+)
+def src_read_reviews(spark, sf):
+    """Reviews written as gzip JSON lines, read back and normalised."""
+    number = F.col("event_id").cast("bigint")
+    rows = T.table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("user_id"), (number % 500).cast("string").alias("parent_asin"), T.day("ts").alias("timestamp"),
+        (number % 5 + 1).cast("double").alias("rating"))
+    back = R.read_reviews(spark, _written(spark, rows, "json", compression="gzip"), "log")
+    at = F.concat_ws(" ", "user_id", "timestamp")
+    return back.groupBy("item_id").agg(F.count("*").alias("reviews"), F.countDistinct(at).alias("times"), r(F.sum("rating")).alias("rating"))
+
+
+@query(
+    "src_read_upstream_csv",
+    """with h as (select o_custkey as c, list(cast(o_orderkey as varchar) order by o_orderkey) as h from orders group by 1)
+       select c as user_id, array_to_string(list_slice(h, greatest(len(h) - 4, 1), len(h)), ' ') as history from h""",
+)
+def src_read_upstream_csv(spark, sf):
+    """Histories written as list literals in csv cells, read back, the last five items kept."""
+    orders = T.table(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("h"))
+    quoted = F.transform("h", lambda k: F.concat(F.lit("'"), k.cast("string"), F.lit("'")))
+    rows = orders.select(F.col("o_custkey").alias("user_id"), F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]")).alias("history_item_id"))
+    back = R.parse_history_column(R.read_upstream_csv(spark, _written(spark, rows, "csv", header=True, escape='"')), "history_item_id", 5)
+    return back.select(F.col("user_id").cast("bigint").alias("user_id"), F.array_join("history", " ").alias("history"))
+
+
+@query(
+    "src_lines_pushed",
+    """select p_brand as brand, count(*) as parts, cast(sum(p_size) as bigint) as size from part where p_size >= 40 and p_brand <> 'Brand#11' group by 1""",
+)
+def src_lines_pushed(spark, sf):
+    """Parts written as JSON lines, read through the line source, which applies the filter on size itself."""
+    from winnow.sources.lines import read_where
+
+    rows = T.table(spark, sf, "part").select("p_partkey", "p_brand", F.col("p_size").cast("bigint").alias("p_size"))
+    kept = read_where(spark, _written(spark, rows, "json"), "p_brand string, p_size bigint", "p_size >= 40 and p_brand <> 'Brand#11'")
+    return kept.groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("parts"), F.sum("p_size").alias("size"))

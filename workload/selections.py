@@ -41,6 +41,24 @@ def sel_budgeted_utility(spark, sf):
     return S.ordered_select(pool(spark, sf), 400, "utility").select("id", "cost", r("utility").alias("utility"))
 
 
+def _quota_config(coverage: float) -> S.SelectConfig:
+    return S.SelectConfig(
+        budget=160, coverage_weight=coverage, utility_weight=0.2, min_rows={"0": 5, "1": 4}, max_rows={"2": 2}, provenance_cap=1, block=32,
+        stop_nonpositive=False)
+
+
+@query("sel_quota_random")
+def sel_quota_random(spark, sf):
+    """Random order under quotas and a provenance cap."""
+    return S.budgeted_select(pool(spark, sf), _quota_config(1.0), "random")[0]
+
+
+@query("sel_quota_utility")
+def sel_quota_utility(spark, sf):
+    """Utility order under quotas and a provenance cap."""
+    return S.budgeted_select(pool(spark, sf), _quota_config(0.0), "utility")[0]
+
+
 @query(
     "sel_quota_feasibility",
     """with g as (select *, row_number() over (partition by cell || '/' || grp order by cost, id) as g from vec),
@@ -246,6 +264,32 @@ def sel_query_ledger(spark, sf):
     return X.query_ledger(requests, ledger, pool_ids, 10_000_000)
 
 
+@query(
+    "sel_charged_queries",
+    """with a as (select id, 'random_frontier-2' as request from vec order by sha256('2|' || id) limit 24),
+       b as (select id, 'random_frontier-5' as request from vec order by sha256('5|' || id) limit 24),
+       c as (select id, min(request) as request from (select * from a union all select * from b) group by id)
+       select *, (select count(*) from c) as charged from c""",
+    "vec",
+)
+def sel_charged_queries(spark, sf):
+    """Two selections pay for their responses from one ledger, the first one twice, which charges nothing anew."""
+    import uuid
+
+    from winnow.operators.ledger import ResponseLedger
+    from winnow.plans.cut import checkpoint_folder
+
+    rows = T.wide(spark, sf)
+    ledger = ResponseLedger(spark, f"{checkpoint_folder(spark)}/winnow/{uuid.uuid4().hex}", 48)
+    paid = []
+    for seed in (2, 2, 5):
+        _, report = X.budgeted_query_select(rows.select("id", "v"), rows.select("id", "a"), 24, "random_frontier", T.D, 5, 3, seed=seed, ledger=ledger)
+        paid.append(report["charged"])
+    if paid[0] != paid[1]:
+        raise AssertionError(f"a repeated selection was charged: {paid}")
+    return ledger.charged().withColumn("charged", F.lit(paid[-1]).cast("bigint"))
+
+
 @query(
     "smp_seeded_order",
     "select id, sha256('17|' || id) as h from vec",
@@ -267,28 +311,33 @@ def _composed(spark, sf):
 
 @query(
     "sel_composed_pipeline",
-    """with t as (select * from sft where split = 'train'),
-         roots as (select root_id from (select distinct root_id from t) order by sha256('42|' || root_id) limit 60),
+    """with t as (select * from sft where split = 'train'), n as (select count(distinct root_id) as n from t),
+         roots as (select root_id from (select root_id, row_number() over (order by sha256('42|' || root_id)) as k from (select distinct root_id from t))
+                   where k <= (select n // 2 from n)),
          p as (select * from t where root_id in (select root_id from roots)), b as (select cast(sum(cost) * 0.5 as bigint) as budget from p)
-       select count(*) as pool_rows, count(distinct root_id) as roots, cast(sum(cost) as bigint) as pool_tokens, true as within_budget,
-         true as swaps_keep_cells, true as plan_within, cast(0 as bigint) as violations from p""",
+       select count(*) as pool_rows, count(distinct root_id) as roots, cast(sum(cost) as bigint) as pool_tokens, (select budget from b) as budget,
+         cast(0 as bigint) as violations from p""",
     "sft",
 )
 def sel_composed_pipeline(spark, sf):
-    """All steps in a row; the report states the pool exactly and what must hold of selection, refill and plan."""
+    """All steps in a row over half of all roots, however many there are; what must hold of selection, refill and plan is counted as violations.
+
+    Which rows are selected, refilled and planned is held against plain versions in tests/test_compose.py.
+    """
     from winnow.operators.compose import compose
     from winnow.operators.sampling import root_reservoir
 
     records = cut(_composed(spark, sf))
-    budget = int(root_reservoir(records, "root_id", 60, 42).agg(F.sum("cost").alias("s")).first()["s"] * 0.5)
+    roots = records.select("root_id").distinct().count() // 2
+    budget = int(root_reservoir(records, "root_id", roots, 42).agg(F.sum("cost").alias("s")).first()["s"] * 0.5)
     config = S.SelectConfig(budget=budget, keep_all_when_fits=False, provenance_cap=3)
-    out = compose(records, "v", "z", F.col("domain") == "opening", T.D, 2, 60, config, 2 * budget)
+    out = compose(records, "v", "z", F.col("domain") == "opening", T.D, 2, roots, config, 2 * budget)
     pool = out.pool.agg(F.count("*").alias("pool_rows"), F.countDistinct("root_id").alias("roots"), F.sum("cost").alias("pool_tokens"))
     spent = out.selected.agg(F.sum("cost")).first()[0]
     planned = out.plan.agg(F.sum("response_tokens")).first()[0]
     cells = out.pool.select("id", "cell")
     moved = out.swaps.join(cells.withColumnsRenamed({"id": "id_in", "cell": "a"}), "id_in").join(cells.withColumnsRenamed({"id": "id_out", "cell": "b"}), "id_out")
     odd = moved.filter("a <> b or token_delta <> 0 or gain <= 0").count()
-    return pool.select(
-        "pool_rows", "roots", "pool_tokens", F.lit(bool(0 < spent <= budget)).alias("within_budget"), F.lit(odd == 0).alias("swaps_keep_cells"),
-        F.lit(bool(0 < planned <= 2 * budget)).alias("plan_within"), F.lit(out.audit.count()).cast("bigint").alias("violations"))
+    crowded = out.selected.groupBy("grp").count().filter("count > 3").count()
+    bad = odd + crowded + int(not 0 < spent <= budget) + int(not 0 < planned <= 2 * budget) + out.audit.count()
+    return pool.select("pool_rows", "roots", "pool_tokens", F.lit(budget).cast("bigint").alias("budget"), F.lit(bad).cast("bigint").alias("violations"))

@@ -34,7 +34,6 @@ RATE = 20.0
 TOP = (1 << 16) - 2
 BLOCK = 1024
 BLOCK_SHINGLES = 400_000
-ROUNDS = 2  # passes along spanning edges, each with one edge a class
 STAR_SHINGLES = 2_000_000  # shingles of the classes that meet a copy of the set at the other end of their edges
 SURE = 12.0  # log likelihood ratio against the threshold from which a candidate is dropped
 
@@ -289,7 +288,8 @@ def _along(edges: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         F.col("b").alias("hub"), F.pmod(F.xxhash64("a", F.lit(5)), F.col("blocks")).alias("block"), F.col("a").alias("digest"), F.lit(True).alias("leaf"))
     hubs = each.select(F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"),
                        F.col("b").alias("digest"), F.lit(False).alias("leaf"))
-    rows = dealt.unionByName(hubs).join(sets.select("digest", "shingles"), "digest")
+    # written down, so that its size is known before the sets are joined to it
+    rows = cut(dealt.unionByName(hubs)).join(sets.select("digest", "shingles"), "digest")
     n = max(edges.sparkSession.sparkContext.defaultParallelism, -(-_weight(each, F.col("met")) // 1_000_000))
     return rows.groupBy(F.pmod(F.xxhash64("hub", "block", F.lit(3)), F.lit(n)).alias("bundle")).applyInPandas(_star_edges(num, den), "a binary, b binary")
 
@@ -358,7 +358,10 @@ def _groups(docs: DataFrame, k: int, num: int, den: int, text: str, doc_id: str)
     # classes that meet another class in a band
     bands = classes.select("digest", "registers").mapInArrow(_keys, "digest binary, keys array<bigint>").select(
         "digest", F.explode("keys").alias("key"))
-    full = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    marks = [F.bit_xor(F.xxhash64("digest", F.lit(i))).alias(f"mark{i}") for i in (1, 2)]
+    full = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *marks).where("size > 1")
+    # classes that share several bands meet once: of buckets with the same members, told by two digests over them, one stays
+    full = full.groupBy("size", "mark1", "mark2").agg(F.min("key").alias("key")).select("key", "size")
     met = cut(bands.join(full, "key"))
     met = met.withColumn("blocks", F.ceil(F.col("size") / BLOCK))
     traits = classes.select("digest", "registers", "n")
@@ -371,35 +374,32 @@ def _groups(docs: DataFrame, k: int, num: int, den: int, text: str, doc_id: str)
     wanted = cut(classes.join(ends, "digest").select("digest", F.col("one.doc_id").alias("w_id"), F.col("one.at").alias("w_at")))
     sets = cut(named.join(wanted, named["doc_id"].eqNullSafe(wanted["w_id"]) & (named["at"] == wanted["w_at"]), "left_semi").select("text").mapInArrow(
         _sets(k), "digest binary, n bigint, shingles binary"), "none")
-    sets = sets.join(wanted.select("digest"), "digest", "left_semi")
-
-    open_, true, parts = cut(found.select("a", "b").distinct()), None, None
-    for _ in range(ROUNDS):
-        pick = cut(open_.groupBy("a").agg(F.min("b").alias("b")))
-        if pick.isEmpty():
-            break
-        own = cut(_along(pick, sets, num, den))
-        true = own if true is None else true.unionByName(own)
-        parts = components(true)
-        open_ = cut(_apart(open_.join(pick, ["a", "b"], "left_anti"), parts).select("a", "b"))
-    if true is None:
+
+    # along one spanning edge of every class, to the least of its hubs
+    pick = cut(found.groupBy("a").agg(F.min("b").alias("b")))
+    if pick.isEmpty():
         return rows, classes, components(spark.createDataFrame([], "a binary, b binary"))
+    true = cut(_along(pick, sets, num, den))
+    parts = components(true)
 
     # buckets with a spanning edge between parts: first every class meets its likeliest link to another part
-    def across(parts: DataFrame) -> tuple[DataFrame, int]:
+    def across(parts: DataFrame, keys: DataFrame) -> tuple[DataFrame, int]:
         rest = cut(_with_part(met.join(keys, "key", "left_semi"), parts, "digest"))
         return _grid(rest, "blocks").join(traits, "digest").select("key", "i", "j", "block", "digest", "part", "registers", "n"), _weight(rest, F.col("blocks"))
 
     keys = cut(_apart(found, parts).select("key").distinct())
     if keys.isEmpty():
         return rows, classes, parts
-    cells, weight = across(parts)
+    cells, weight = across(parts, keys)
     best = _bundle(cells, "key", weight, 20_000, _best_edges(least), "a binary, b binary, same int")
     true = true.unionByName(cut(_along(cut(best.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b"))), sets, num, den)))
     parts = components(true)
 
     # then all that possible links between parts connect is compared on full sets
-    cells, weight = across(parts)
+    keys = cut(_apart(found, parts).select("key").distinct())
+    if keys.isEmpty():
+        return rows, classes, parts
+    cells, weight = across(parts, keys)
     groups = components(_bundle(cells, "key", weight, 20_000, _possible_edges(least), edge).select("a", "b"))
     members = groups.select("component", F.col("node").alias("digest")).join(sets.select("digest", "n").distinct(), "digest")
     placed = cut(_part_grid(_with_part(members, parts, "digest")))

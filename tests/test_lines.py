@@ -62,7 +62,7 @@ def test_filters_reach_the_reader(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text("".join(json.dumps({"id": ["a", "b", None][i % 3], "n": i, "x": float(i)}) + "\n" for i in range(30)))
     schema = "id string, n bigint, x double"
     full = lines.read_lines(spark, str(tmp_path), schema)
-    for rule in ("id = 'a' and n >= 6", "id is null", "id is not null and n in (1, 2, 3)", "x > 20", "id <=> 'b'", "n < 4 or n > 27", "n > 5 and x < 9.0"):
+    for rule in ("id = 'a' and n >= 6", "id is null", "id is not null and n in (1, 2, 3)", "x > 20", "id <=> 'b'", "n < 4 or n > 27", "n > 5 and x < 9.0", "id <> 'a' and n > 3", "not (n in (1, 2))"):
         assert rows_of(lines.read_where(spark, str(tmp_path), schema, rule)) == rows_of(full.filter(rule)), rule
     spark.conf.set(lines.PUSHED, "true")
     try:

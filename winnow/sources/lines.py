@@ -181,7 +181,8 @@ _ASKS = {EqualTo: lambda a, b: a == b, GreaterThan: lambda a, b: a > b, GreaterT
 
 def taken(rule: Filter, schema: StructType) -> bool:
     """Whether the reader applies a filter: on one top-level column that is no array, and no number that may be NaN."""
-    if len(rule.attribute) != 1 or rule.attribute[0] not in schema.names or rule.attribute[0] in PLACE:
+    name = getattr(rule, "attribute", ())
+    if len(name) != 1 or name[0] not in schema.names or name[0] in PLACE:
         return False
     kind = schema[rule.attribute[0]].dataType
     if isinstance(rule, (IsNull, IsNotNull)):

@@ -409,12 +409,25 @@ def acq_coverage_value(spark, sf):
     return A.coverage_value(rows, "p_brand", "p", "w").select(r("value").alias("value"))
 
 
-@query("acq_greedy_coverage")
+def _coverage_sql(k: int) -> str:
+    """One step after another; `rest` holds what every direction has left."""
+    gain = "list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i] * rest[i]))"
+    steps = ["p0 as (select id, list_transform(v, lambda x: least(abs(x), 1.0)) as p from vec)", "s0 as (select list_transform(p, lambda x: 1.0::double) as rest from p0 limit 1)"]
+    for n in range(k):
+        taken = " union all ".join(f"select id from c{i}" for i in range(n)) or "select -1"
+        steps += [
+            f"c{n} as materialized (select id, p, {gain} as gain from p0, s{n} where id not in ({taken}) order by round({gain}, 12) desc, id limit 1)",
+            f"s{n + 1} as materialized (select list_transform(range(1, len(p) + 1), lambda i: rest[i] * (1 - p[i])) as rest from c{n}, s{n})"]
+    total = " + ".join(f"(select gain from c{n})" for n in range(k))
+    return f"with {', '.join(steps)} " + " union all ".join(f"select id, {n} as step, round({total}, 6) as value from c{n}" for n in range(k))
+
+
+@query("acq_greedy_coverage", _coverage_sql(8), "vec")
 def acq_greedy_coverage(spark, sf):
     """Eight vectors that cover the 64 directions, each component's size as its success probability."""
     rows = T.vec(spark, sf).withColumn("p", F.transform("v", lambda x: F.least(F.abs(x), F.lit(1.0))))
     ids, value = A.greedy_coverage(rows, "id", "p", [1.0] * T.D, 8)
-    return spark.createDataFrame([(i, n, value) for n, i in enumerate(ids)], "id bigint, step int, value double")
+    return spark.createDataFrame([(i, n, round(value, 6)) for n, i in enumerate(ids)], "id bigint, step int, value double")
 
 
 @query("acq_gaussian_information")

@@ -319,7 +319,7 @@ def src_read_feedback(spark, sf):
 @query(
     "src_read_feedback_log",
     """select event_type as tab, count(*) as rows, count(distinct user_id) as users, cast(sum(case when event_id % 3 = 0 then 1 else 0 end) as bigint) as unknown,
-         round(sum(case when event_id % 3 = 0 then null else event_id % 2 end), 6) as clicks from events group by 1""",
+         cast(sum(case when event_id % 3 = 0 then null else event_id % 2 end) as double) as clicks from events group by 1""",
 )
 def src_read_feedback_log(spark, sf):
     """Events written as a csv log with a header, read back, its spellings of unknown labels turned to null."""
@@ -340,7 +340,7 @@ def src_read_feedback_log(spark, sf):
 @query(
     "src_read_reviews",
     """with e as (select cast(user_id as varchar) as u, cast(event_id % 500 as varchar) as i, epoch(cast(cast(ts as date) as timestamp)) as t, event_id % 5 + 1 as rating from events)
-       select i as item_id, count(*) as reviews, count(distinct u || ' ' || t) as times, round(sum(rating), 6) as rating from e group by 1""",
+       select i as item_id, count(*) as reviews, count(distinct u || ' ' || t) as times, cast(sum(rating) as double) as rating from e group by 1""",
 )
 def src_read_reviews(spark, sf):
     """Reviews written as gzip JSON lines, read back and normalised."""

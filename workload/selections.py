@@ -31,12 +31,25 @@ def sel_budgeted_full_code(spark, sf):
     return chosen
 
 
-@query("sel_budgeted_random")
+def _walk(key: str, where: str = "true") -> str:
+    """A walk over the pool in descending order of a key: a row is taken if it still fits the budget of 400."""
+    return f"""with recursive o as (select id, cost, v[1] + v[2] as utility, row_number() over (order by {key} desc, id) as k from vec where {where}),
+         w as (select cast(0 as bigint) as k, 400 as room, cast(null as bigint) as id, false as taken
+           union all select o.k, case when o.cost <= w.room then w.room - o.cost else w.room end, o.id, o.cost <= w.room from w join o on o.k = w.k + 1)"""
+
+
+_DRAWN = "round((cast('0x' || substr(sha256({seed} || '|' || id), 1, 12) as bigint) + 0.5::double) / 281474976710656::double, 12)"
+_DENSITY = "round((v[1] + v[2]) / cost, 12)"
+
+
+@query("sel_budgeted_random", _walk(_DRAWN.format(seed=3)) + " select id, cost from w join o using (id) where taken", "vec")
 def sel_budgeted_random(spark, sf):
     return S.ordered_select(pool(spark, sf), 400, "random", 3).select("id", "cost")
 
 
-@query("sel_budgeted_utility")
+@query(
+    "sel_budgeted_utility",
+    _walk(_DENSITY, f"{_DENSITY} > 0") + " select id, cost, round(utility, 6) as utility from w join o using (id) where taken", "vec")
 def sel_budgeted_utility(spark, sf):
     return S.ordered_select(pool(spark, sf), 400, "utility").select("id", "cost", r("utility").alias("utility"))
 
@@ -47,16 +60,40 @@ def _quota_config(coverage: float) -> S.SelectConfig:
         stop_nonpositive=False)
 
 
-@query("sel_quota_random")
+def _quota_walk(key: str) -> str:
+    """The written rule of a selection whose densities do not change, one row after another.
+
+    A row is taken if budget, upper quota and cap allow it and what the lower quotas still need can be paid for
+    after it: the cheapest row of every group that is not used yet, as many as are missing.
+    """
+    need = " + ".join(
+        f"""coalesce(list_sum(list_sort((select coalesce(list(c), []) from (select min(q.cost) as c from p q where q.cell = '{cell}'
+              and q.grp <> o.grp and not list_contains(w.groups, q.grp) group by q.grp)))[1 : greatest({n} - len(list_filter(w.cells, lambda x: x = '{cell}'))
+              - case when o.cell = '{cell}' then 1 else 0 end, 0)]), 0)""" for cell, n in (("0", 5), ("1", 4)))
+    return f"""with recursive p as (select id, cost, cell, cell || '/' || grp as grp, v, v[1] + v[2] as utility from vec),
+         o as (select *, row_number() over (order by {key} desc, id) as k from p),
+         w as (select cast(0 as bigint) as k, cast(160 as bigint) as room, cast([] as varchar[]) as cells, cast([] as varchar[]) as groups, cast(null as bigint) as id,
+             false as taken
+           union all select k, case when fits then room - cost else room end, case when fits then list_append(cells, cell) else cells end,
+             case when fits then list_append(groups, grp) else groups end, id, fits from (
+               select o.k, o.id, o.cost, o.cell, o.grp, w.room, w.cells, w.groups,
+                 o.cost <= w.room and not list_contains(w.groups, o.grp)
+                   and (o.cell <> '2' or len(list_filter(w.cells, lambda x: x = '2')) < 2) and o.cost + {need} <= w.room as fits
+               from w join o on o.k = w.k + 1)),
+         t as (select id, row_number() over (order by k) as rank from w where taken)
+       select t.id, t.rank, p.cost, p.cell, p.grp from t join p using (id)"""
+
+
+@query("sel_quota_random", _quota_walk(_DRAWN.format(seed=42)), "vec")
 def sel_quota_random(spark, sf):
     """Random order under quotas and a provenance cap."""
     return S.budgeted_select(pool(spark, sf), _quota_config(1.0), "random")[0]
 
 
-@query("sel_quota_utility")
+@query("sel_quota_utility", _quota_walk("round(0.2 * (v[1] + v[2]) / cost, 12)"), "vec")
 def sel_quota_utility(spark, sf):
-    """Utility order under quotas and a provenance cap."""
-    return S.budgeted_select(pool(spark, sf), _quota_config(0.0), "utility")[0]
+    """Utility per token under quotas and a provenance cap, through the lazy rounds."""
+    return S.budgeted_select(pool(spark, sf), _quota_config(0.0), "full_code")[0]
 
 
 @query(
@@ -314,7 +351,7 @@ def _composed(spark, sf):
     """with t as (select * from sft where split = 'train'), n as (select count(distinct root_id) as n from t),
          roots as (select root_id from (select root_id, row_number() over (order by sha256('42|' || root_id)) as k from (select distinct root_id from t))
                    where k <= (select n // 2 from n)),
-         p as (select * from t where root_id in (select root_id from roots)), b as (select cast(sum(cost) * 0.5 as bigint) as budget from p)
+         p as (select * from t where root_id in (select root_id from roots)), b as (select cast(floor(sum(cost) * 0.5) as bigint) as budget from p)
        select count(*) as pool_rows, count(distinct root_id) as roots, cast(sum(cost) as bigint) as pool_tokens, (select budget from b) as budget,
          cast(0 as bigint) as violations from p""",
     "sft",

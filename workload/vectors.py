@@ -156,7 +156,19 @@ def vec_geometry_diagnostics(spark, sf):
     return C.geometry_diagnostics(C.sparse_code(T.vec(spark, sf), "v", d, 3, pooled=True), "v", "code", d, T.D)
 
 
-@query("vec_farthest_first")
+def _farthest_sql(k: int, seed: int) -> str:
+    """One step after another: the row farthest from those taken, by the distance to the nearest of them."""
+    steps = [f"c0 as (select arg_min(id, sha256('{seed}|' || id)) as id from vec)", "d0 as (select id, cast('infinity' as double) as d from vec)"]
+    for n in range(1, k):
+        far = "list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - y.v[i]) * (x.v[i] - y.v[i])))"
+        taken = " union all ".join(f"select id from c{i}" for i in range(n))
+        steps += [
+            f"d{n} as materialized (select x.id, least(d.d, {far}) as d from vec x join d{n - 1} d using (id), (select v from vec where id = (select id from c{n - 1})) y)",
+            f"c{n} as materialized (select id from d{n} where id not in ({taken}) order by round(d, 12) desc, id limit 1)"]
+    return f"with {', '.join(steps)} " + " union all ".join(f"select id, {n} as step from c{n}" for n in range(k))
+
+
+@query("vec_farthest_first", _farthest_sql(10, 5), "vec")
 def vec_farthest_first(spark, sf):
     ids = V.farthest_first(T.vec(spark, sf), "id", "v", 10, 5)
     return spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "id bigint, step int")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,8 +9,10 @@ from pyspark.sql import functions as F
 
 from winnow.functions.keys import seeded
 from winnow.plans.cut import cut
-from winnow.plans.ordered import top_per_group
+from winnow.plans.ordered import top_per_group, with_row_number, with_running
 
+#: Of a decided swap: what the next round and the result need.
+SWAPPED = ["o", "id_in", "score", "cost", "grp", "free", "id_out", "score_out", "cost_out", "grp_out"]
 SWAP = "id_in bigint, id_out bigint, gain double, token_delta bigint, score_in double"
 
 
@@ -52,72 +53,103 @@ def refill(
     return _capped(rows, keys, max_swaps, cap)
 
 
-def _capped(pool: DataFrame, keys: list[str], max_swaps: int, cap: int, block: int = 2000) -> DataFrame:
-    """The sequential rule with a provenance cap, over blocks of incoming rows in score order.
+def _capped(pool: DataFrame, keys: list[str], max_swaps: int, cap: int) -> DataFrame:
+    """The sequential rule with a provenance cap, by rounds of proposals of all arriving rows at once.
 
-    Per block the driver holds the block, the worst selected rows of every group of keys and the worst
-    selected rows of the block's own provenance groups: all bounded by block and max_swaps.
+    The rule, one arriving row after another in score order: a row whose group has room takes the worst selected row of its
+    keys that is left, a row whose group is exactly full the worst one of its own group, any other none; it swaps if it scores
+    higher. What a row may do depends on the decisions of earlier rows only.
+
+    A round takes the decisions of the round before and lets every row decide again: how many rows its group has by then,
+    how many swaps its keys have seen, which rows they took. If all decisions before a row were right, its new one is
+    right too, whatever later rows had decided; so each round makes at least one more row right, and decisions that two
+    rounds in a row agree on, from the first row up to some row, are those of the rule. Rounds end when that holds for all
+    rows, or for `max_swaps` swaps. Rows count only up to a place in the order that is doubled while swaps are missing.
+
+    Everything is a table; keys and groups of any size are cut into slices.
     """
     spark = pool.sparkSession
     pool = cut(pool.select("id", "score", "cost", "cell", "grp", "selected"))
     chosen = pool.filter("selected")
-    worst = top_per_group(chosen, keys, [F.col("score"), F.col("id")], max_swaps, "_r").collect()
-    out: dict = defaultdict(list)
-    for r in sorted(worst, key=lambda r: (r["score"], r["id"])):
-        out[tuple(r[k] for k in keys)].append(r)
-    # Incoming rows that beat no selected row of their keys can never swap.
+    outs = with_row_number(chosen.drop("selected"), keys, [F.col("score"), F.col("id")], "slot")
+    outs = cut(with_row_number(outs, [*keys, "grp"], [F.col("slot")], "own"))
+    held = chosen.groupBy("grp").agg(F.count("*").alias("held"))
+    # Arriving rows that beat no selected row of their keys can never swap.
     least = chosen.groupBy(*keys).agg(F.min("score").alias("_least"))
-    arriving = cut(pool.filter(~F.col("selected")).join(least, keys).filter(F.col("score") > F.col("_least")).drop("_least"))
-    counts: dict = {}
-    inside: dict = defaultdict(list)
-    swaps, gone, last = [], set(), None
-
-    def count_groups(groups: set) -> DataFrame | None:
-        """Selected rows per group, for groups not counted yet; their selected rows."""
-        fresh = sorted(groups - set(counts))
-        if not fresh:
-            return None
-        mine = chosen.join(spark.createDataFrame([(g,) for g in fresh], "grp string"), "grp", "left_semi")
-        counts.update(dict.fromkeys(fresh, 0))
-        counts.update({r["grp"]: r["n"] for r in mine.groupBy("grp").agg(F.count("*").alias("n")).collect()})
-        return mine
-
-    count_groups({r["grp"] for r in worst})
-    listed: set = set()
-    while len(swaps) < max_swaps:
-        rest = arriving if last is None else arriving.filter(
-            (F.col("score") < last["score"]) | ((F.col("score") == last["score"]) & (F.col("id") > last["id"]))
-        )
-        got = rest.orderBy(F.col("score").desc(), "id").limit(block).collect()
-        if not got:
-            break
-        last = got[-1]
-        count_groups({r["grp"] for r in got})
-        # Only a full group can be confined to its own rows, and only then are they needed.
-        full = sorted({r["grp"] for r in got if counts[r["grp"]] + len(got) >= cap} - listed)
-        if full:
-            listed.update(full)
-            mine = chosen.join(spark.createDataFrame([(g,) for g in full], "grp string"), "grp", "left_semi")
-            for r in top_per_group(mine, ["grp", *keys], [F.col("score"), F.col("id")], max_swaps, "_r").collect():
-                inside[(r["grp"], *[r[k] for k in keys])].append(r)
-        for r in got:
-            if len(swaps) >= max_swaps:
+    arriving = pool.filter(~F.col("selected")).join(least, keys).filter(F.col("score") > F.col("_least")).drop("_least", "selected")
+    ordered = with_row_number(arriving.withColumnRenamed("id", "id_in"), [], [F.col("score").desc(), F.col("id_in")], "o")
+    ordered = cut(ordered.join(held, "grp", "left").withColumn("held", F.coalesce("held", F.lit(0).cast("bigint"))))
+    total = ordered.count()
+    upto = min(total, 4 * max_swaps + 1000)
+    made = cut(_decide(ordered.filter(F.col("o") <= upto), outs, None, keys, cap))
+    while True:
+        rows = ordered.filter(F.col("o") <= upto)
+        new = cut(_decide(rows, outs, made, keys, cap))
+        # the first row on which the two rounds differ; all decisions before it are final
+        both = made.select("o", F.col("id_out").alias("was")).join(new.select("o", F.col("id_out").alias("now")), "o", "full")
+        wrong = both.filter(~F.col("was").eqNullSafe(F.col("now"))).agg(F.min("o").alias("o")).first()["o"]
+        made = new
+        final = made if wrong is None else made.filter(F.col("o") < wrong)
+        if wrong is None or final.count() >= max_swaps:
+            if upto >= total or final.count() >= max_swaps:
                 break
-            key = tuple(r[k] for k in keys)
-            if counts[r["grp"]] < cap:
-                options = (x for x in out[key] if x["id"] not in gone)
-            else:
-                options = (x for x in sorted(inside[(r["grp"], *key)], key=lambda x: (x["score"], x["id"])) if x["id"] not in gone)
-                if counts[r["grp"]] - 1 >= cap:
-                    continue
-            j = next(options, None)
-            if j is None or r["score"] <= j["score"]:
-                continue
-            gone.add(j["id"])
-            counts[j["grp"]] -= 1
-            counts[r["grp"]] += 1
-            swaps.append((r["id"], j["id"], float(r["score"] - j["score"]), int(r["cost"] - j["cost"]), float(r["score"])))
-    return spark.createDataFrame(swaps, SWAP)
+            upto = min(total, 2 * upto)
+    swaps = final.orderBy("o").limit(max_swaps).select(
+        "id_in", "id_out", (F.col("score") - F.col("score_out")).alias("gain"), (F.col("cost") - F.col("cost_out")).cast("bigint").alias("token_delta"),
+        F.col("score").alias("score_in"))
+    return spark.createDataFrame(swaps.collect(), SWAP)  # at most max_swaps rows
+
+
+def _outgoing() -> list[Column]:
+    return [F.col(c).alias(f"{c}_out") for c in ("id", "score", "cost", "grp")]
+
+
+def _decide(rows: DataFrame, outs: DataFrame, made: DataFrame | None, keys: list[str], cap: int) -> DataFrame:
+    """The swaps that all rows decide on, given the swaps of the round before (none: every row's group has room).
+
+    Of the rows of its keys, those that free takers took are the first ones, but for rows that takers bound to their group took; so the
+    worst row left is the n-th of the others, n counting the free swaps before, or an earlier one that a bound taker takes only
+    later. The same holds inside a group with the roles exchanged.
+    """
+    inside = [*keys, "grp"]
+    if made is None:
+        asks = with_row_number(rows, keys, [F.col("o")], "n").withColumn("free", F.lit(True)).withColumn("place", F.col("n"))
+        met = asks.join(outs.select(*keys, F.col("slot").alias("place"), *_outgoing()), [*keys, "place"])
+    else:
+        # who took a row first
+        took = made.groupBy("id_out").agg(F.min(F.struct("o", "free")).alias("t")).select("id_out", F.col("t.o").alias("t"), F.col("t.free").alias("by_free"))
+        state = cut(outs.join(took.withColumnRenamed("id_out", "id"), "id", "left"))
+        bound, freed = F.coalesce(~F.col("by_free"), F.lit(False)), F.coalesce("by_free", F.lit(False))
+
+        moves = made.select(F.explode(F.array(
+            F.struct(F.col("grp").alias("grp"), F.lit(1).alias("kind"), F.lit(1).alias("d")),
+            F.struct(F.col("grp_out").alias("grp"), F.lit(2).alias("kind"), F.lit(-1).alias("d")))).alias("m"), "o").select("m.*", "o")
+        seen = rows.select("grp", F.lit(0).alias("kind"), F.lit(0).alias("d"), "o").unionByName(moves)
+        seen = with_running(seen, ["grp"], [F.col("o"), F.col("kind")], "d", "moved", "sum").filter("kind = 0").select("o", "moved")
+
+        def before(names: list[str], free: bool, taken: DataFrame, place: str) -> DataFrame:
+            """(o, n, later) for every row: swaps of one kind before it in its names, and the least place that the other kind takes at or after it."""
+            swaps = made.filter(F.col("free") == free).select(*names, "o", F.lit(1).alias("kind"), F.lit(1).alias("d"))
+            asks = rows.select(*names, "o", F.lit(0).alias("kind"), F.lit(0).alias("d"))
+            n = with_running(asks.unionByName(swaps), names, [F.col("o"), F.col("kind")], "d", "n", "sum").filter("kind = 0").select("o", "n")
+            places = taken.select(*names, F.col("t").alias("o"), F.lit(0).alias("kind"), F.col(place).alias("p"))
+            asks = rows.select(*names, "o", F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("p"))
+            later = with_running(places.unionByName(asks), names, [F.col("o").desc(), F.col("kind"), F.col("p")], "p", "later", "min").filter("kind = 1").select("o", "later")
+            return n.join(later, "o")
+
+        now = F.col("held") + F.col("moved")
+        asks = cut(rows.join(seen, "o").withColumn("free", F.when(now < cap, True).when(now == cap, False)).filter("free is not null"))
+        left = with_row_number(state.filter(~bound).select(*keys, "slot"), keys, [F.col("slot")], "n").withColumn("n", F.col("n") - 1)
+        a = asks.filter("free").join(before(keys, True, state.filter(bound), "slot"), "o").join(left, [*keys, "n"], "left")
+        a = a.withColumn("place", F.least("slot", "later")).select(*rows.columns, "free", "place")
+        met = a.join(outs.select(*keys, F.col("slot").alias("place"), *_outgoing()), [*keys, "place"])
+        left = with_row_number(state.filter(~freed).select(*inside, "own"), inside, [F.col("own")], "n").withColumn("n", F.col("n") - 1)
+        b = asks.filter("not free").join(before(inside, False, state.filter(freed), "own"), "o").join(left, [*inside, "n"], "left")
+        b = b.withColumn("place", F.least("own", "later")).select(*rows.columns, "free", "place")
+        names = list(dict.fromkeys([*SWAPPED, *keys]))
+        met = met.select(*names).unionByName(b.join(outs.select(*inside, F.col("own").alias("place"), *_outgoing()), [*inside, "place"]).select(*names))
+    names = list(dict.fromkeys([*SWAPPED, *keys]))
+    return met.filter(F.col("score") > F.col("score_out")).select(*names)
 
 
 def random_refill(pool: DataFrame, max_swaps: int, seed: int, exact_token_match: bool = True) -> DataFrame:

@@ -84,20 +84,32 @@ def with_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return _tidy(joined.withColumn(out, F.col(out) + F.coalesce(F.col("_carry"), F.lit(0))).drop("_carry"))
 
 
-def with_running_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, out: str = "running"
+#: Running aggregates: how values fold in a slice, and how a slice's result joins those before it.
+FOLDS = {"sum": (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0))), "min": (F.min, F.least), "max": (F.max, F.greatest)}
+
+
+def with_running(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, out: str, fold: str
 ) -> DataFrame:
-    """Inclusive running sum of value over (keys order by order), exact for keys of any size."""
+    """Inclusive running sum, least or greatest value over (keys order by order), exact for keys of any size. Least and greatest pass over nulls."""
+    add, join = FOLDS[fold]
     df, keys, cut_any = sliced(df, keys, order)
     upto = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = df.withColumn(out, F.sum(value).over(upto))
+    local = df.withColumn(out, add(value).over(upto))
     if not cut_any:
         return _tidy(local)
-    sums = df.filter(F.col(SLICE) != COLD).groupBy(*keys, SLICE).agg(F.sum(value).alias("_s"))
+    sums = df.filter(F.col(SLICE) != COLD).groupBy(*keys, SLICE).agg(add(value).alias("_s"))
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.withColumn("_carry", F.sum("_s").over(before)).filter(F.col("_carry").isNotNull())
+    carry = sums.withColumn("_carry", add("_s").over(before)).filter(F.col("_carry").isNotNull())
     joined = _attach(local, carry, keys, "_carry")
-    return _tidy(joined.withColumn(out, F.col(out) + F.coalesce(F.col("_carry"), F.lit(0))).drop("_carry"))
+    return _tidy(joined.withColumn(out, join(F.col(out), F.col("_carry"))).drop("_carry"))
+
+
+def with_running_sum(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, out: str = "running"
+) -> DataFrame:
+    """Inclusive running sum of value over (keys order by order), exact for keys of any size."""
+    return with_running(df, keys, order, value, out, "sum")
 
 
 def with_previous(

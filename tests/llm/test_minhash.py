@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from winnow.llm import minhash
+from winnow.llm import common, minhash
 from winnow.llm.common import components
 from winnow.llm.wordhash import shingle_sets, word_hashes
 
@@ -178,3 +178,15 @@ def test_components_of_chains(spark):
     assert set(got) == set(range(61)) | {100, 101}
     assert len({got[i] for i in range(61)}) == 1 and got[100] == got[101] and got[0] != got[100]
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 26])
+def test_sieve_passes_every_member(spark, monkeypatch, bits):
+    """No member is lost, whatever the size; a sieve much larger than its members stops most others."""
+    monkeypatch.setattr(common, "SIEVE_BITS", bits)
+    rows = spark.range(0, 5000).select(F.col("id").alias("at"), F.lit("x").alias("page"), F.lit("y").alias("bit"))
+    got = common.with_maybe(rows, "at", common.sieve(spark.range(0, 5000, 10), "id"), "maybe")
+    passed = {r.at for r in got.where("maybe").collect()}
+    assert got.count() == 5000 and got.columns == ["at", "page", "bit", "maybe"]
+    assert set(range(0, 5000, 10)) <= passed and len(passed) < 500 + (100 if bits > 1 << 20 else 400)
+    assert common.with_maybe(rows, "at", common.sieve(spark.range(0), "id"), "maybe").where("maybe").isEmpty()

@@ -92,32 +92,54 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): one row (node, component) for every node, component being one of its nodes.
 
     Every round a root hooks to its least neighbour by a hashed order and the edges are contracted, so that
-    the number of live edges falls by a constant factor; no neighbour list is ever gathered. Each
-    round is written to the checkpoint folder.
+    the number of live edges falls by a constant factor; no neighbour list is ever gathered. A round writes its
+    parents and the live edges to the checkpoint folder; the rounds' parents are joined at the end.
     """
     spark = edges.sparkSession
     live = cut(edges.where("a <> b").select("a", "b").distinct())
-    label: DataFrame | None = None
+    rounds: list[DataFrame] = []
+    order = lambda c: F.struct(F.xxhash64(c), F.col(c).alias("v"))
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        order = lambda c: F.struct(F.xxhash64(c), F.col(c).alias("v"))
-        hook = cut(both.groupBy("a").agg(F.min(order("b")).alias("m")).select(
-            F.col("a").alias("v"), F.least(order("a"), F.col("m")).getField("v").alias("p")))
+        hook = both.groupBy("a").agg(F.min(order("b")).alias("m")).select(
+            F.col("a").alias("v"), F.least(order("a"), F.col("m")).getField("v").alias("p"))
         # one jump: the parent of the parent
         up = hook.select(F.col("v").alias("p"), F.col("p").alias("g"))
         new = cut(hook.join(up, "p").select("v", F.col("g").alias("p")))
-        label = cut(new if label is None else label.join(new.select(F.col("v").alias("p"), F.col("p").alias("r")), "p", "left").select(
-            "v", F.coalesce("r", "p").alias("p")))
+        rounds.append(new)
         a, b = (new.select(F.col("v").alias(c), F.col("p").alias(f"p{c}")) for c in "ab")
         moved = live.join(a, "a").join(b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
         # a node that jumped past a root keeps an edge to where that root itself goes
         roots = new.select(F.col("p").alias("a")).distinct().join(a, "a").select("a", F.col("pa").alias("b"))
         edge = F.least(order("a"), order("b")).getField("v"), F.greatest(order("a"), order("b")).getField("v")
         live = cut(moved.unionByName(roots).where("a <> b").select(edge[0].alias("a"), edge[1].alias("b")).distinct())
-    if label is None:
+    if not rounds:
         kind = dict(edges.dtypes)["a"]
         return spark.createDataFrame([], f"node {kind}, component {kind}")
-    return label.select(F.col("v").alias("node"), F.col("p").alias("component"))
+    label = rounds[0]
+    for new in rounds[1:]:
+        label = label.join(new.select(F.col("v").alias("p"), F.col("p").alias("r")), "p", "left").select("v", F.coalesce("r", "p").alias("p"))
+    return cut(label.select(F.col("v").alias("node"), F.col("p").alias("component")))
+
+
+SIEVE_BITS = 1 << 26  # 8 MB whatever the number of members
+_PAGE = 1 << 15  # bits of a row of a sieve
+
+
+def sieve(members: DataFrame, column: str) -> DataFrame:
+    """(page, bits): which of SIEVE_BITS hash values the members' column has."""
+    at = F.pmod(F.xxhash64(column, F.lit(77)), F.lit(SIEVE_BITS))
+    return members.select((at / _PAGE).cast("int").alias("page"), (at % _PAGE).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def with_maybe(df: DataFrame, column: str, bits: DataFrame, out: str) -> DataFrame:
+    """df with a flag: false for rows whose column no member has. The sieve is broadcast; its size is bounded, and beyond it more rows pass."""
+    at = F.pmod(F.xxhash64(column, F.lit(77)), F.lit(SIEVE_BITS))
+    names = [free_name(df, n) for n in ("page", "bits", "bit")]
+    pages = F.broadcast(bits.select(F.col("page").alias(names[0]), F.col("bits").alias(names[1])))
+    joined = df.withColumn(names[0], (at / _PAGE).cast("int")).withColumn(names[2], (at % _PAGE).cast("int")).join(pages, names[0], "left")
+    byte = f"cast(conv(hex(substring(`{names[1]}`, `{names[2]}` div 8 + 1, 1)), 16, 10) as int)"
+    return joined.withColumn(out, F.coalesce(F.expr(f"shiftright({byte}, `{names[2]}` % 8) & 1 = 1"), F.lit(False))).drop(*names)
 
 
 def spanning(linked: np.ndarray) -> np.ndarray:

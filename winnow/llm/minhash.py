@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import bipartite, components, cut, free_name, pieces, prepare, runs, spanning, spread, texts
+from winnow.llm.common import bipartite, components, cut, free_name, pieces, prepare, runs, sieve, spanning, spread, texts, with_maybe
 from winnow.llm.wordhash import mix, shingle_sets
 
 REGISTERS = 128
@@ -372,7 +372,8 @@ def _groups(docs: DataFrame, k: int, num: int, den: int, text: str, doc_id: str)
     # full sets of the classes at these edges
     ends = found.select(F.col("a").alias("digest")).union(found.select("b")).distinct()
     wanted = cut(classes.join(ends, "digest").select("digest", F.col("one.doc_id").alias("w_id"), F.col("one.at").alias("w_at")))
-    sets = cut(named.join(wanted, named["doc_id"].eqNullSafe(wanted["w_id"]) & (named["at"] == wanted["w_at"]), "left_semi").select("text").mapInArrow(
+    near = with_maybe(named, "at", sieve(wanted, "w_at"), "maybe").where("maybe")
+    sets = cut(near.join(wanted, near["doc_id"].eqNullSafe(wanted["w_id"]) & (near["at"] == wanted["w_at"]), "left_semi").select("text").mapInArrow(
         _sets(k), "digest binary, n bigint, shingles binary"), "none")
 
     # along one spanning edge of every class, to the least of its hubs
@@ -444,7 +445,12 @@ def survivors(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text:
     gone = cut(worded.join(picks, same, "left_anti").select(F.col("doc_id").alias("g_id"), F.col("at").alias("g_at")))
     name = free_name(docs, "at")
     marked = docs.withColumn(name, F.xxhash64(text))
-    left = marked.join(gone, marked[doc_id].eqNullSafe(gone["g_id"]) & (marked[name] == gone["g_at"]), "left_anti")
+    # texts that are surely no member of `gone` stay where they are; only the others meet it
+    flag = free_name(marked, "maybe")
+    marked = with_maybe(marked, name, sieve(gone, "g_at"), flag)
+    asked = marked.where(F.col(flag)).drop(flag)
+    kept = asked.join(gone, asked[doc_id].eqNullSafe(gone["g_id"]) & (asked[name] == gone["g_at"]), "left_anti")
+    left = marked.where(~F.col(flag)).drop(flag).unionByName(kept)
     if not worded.where("times > 1").isEmpty():
         worded_row = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
         left = left.where(worded_row).dropDuplicates([doc_id, name]).unionByName(left.where(~worded_row))

@@ -1,6 +1,11 @@
 """A corpus pipeline over documents: toxicity, language, near-duplicates, personal data, packing.
 
-Every stage reads the table that the stage before it wrote and works on all of it. All but the last return the columns of documents.
+Every stage reads the table that the stage before it wrote and works on all of it. All but the last return the columns of documents,
+whatever further ones the table has, under any names.
+
+Null and empty texts are not toxic, but are in no language, so the second stage drops them. Texts of any length are judged whole. Of
+repeated rows, and of any group of near-duplicates, the one with the least doc_id stays (null ids last). Scores at the toxicity threshold
+go. An empty table gives no rows; without labels no document is toxic, and without a row of known language there is no learned one and all go.
 """
 
 from __future__ import annotations

@@ -415,6 +415,9 @@ def decode_ids(ids: bytes, data: bytes) -> bytes:
 def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of docs: doc_id, ids (little-endian unsigned 32-bit numbers) of the whole text; null and empty texts have none.
 
+    Null ids and repeated rows are rows like any other. A very long text is a batch of its own. An empty table gives no rows. Only the
+    two named columns are read.
+
     The rank file is read once by the driver and broadcast: its size is that of a vocabulary.
     """
     spark = prepare(docs.sparkSession)
@@ -432,7 +435,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """encoded with a column `bytes`, which it must not have yet: what its ids stand for. Null ids give null."""
+    """encoded with a column `bytes`, which it must not have yet: what its ids stand for. Null ids give null, no ids the empty string;
+    rows and columns stay as they are, in an empty table too."""
     spark = prepare(encoded.sparkSession)
     with open(path, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())

@@ -122,7 +122,8 @@ def with_language(docs: DataFrame, model: Model, name: str, score: str, text: st
     """docs with all columns and rows, and the language and its score in 0..1 under two names that docs must not have.
 
     A text that is null, empty or has no letter is `und` with score 0, as is everything if no row could be learned
-    from. Ties go to the language that sorts first.
+    from. Ties go to the language that sorts first. Repeated rows get equal predictions, whole texts are read however long,
+    and an empty table stays empty.
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast((model.languages, model.landmarks, model.root, model.weights))
@@ -147,7 +148,10 @@ def with_language(docs: DataFrame, model: Model, name: str, score: str, text: st
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of docs: doc_id, held_out, lang_pred, score in 0..1. Only the two named columns are read."""
+    """One row per row of docs: doc_id, held_out, lang_pred, score in 0..1. Only the two named columns are read.
+
+    Repeated rows and null ids are rows like any other; a null id counts as the empty text for held_out. Whole texts are read, however
+    long, each alone in its batch if need be. An empty table gives no rows."""
     raw = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return with_language(raw, model, "lang_pred", "score").select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 

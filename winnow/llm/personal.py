@@ -228,7 +228,8 @@ def _joined(spans: list[Span]) -> str:
 def find(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of docs: doc_id, base counts by kind, base_sha256 and all spans as kind:start:end (code points, end exclusive).
 
-    A null or empty text has none. Only the two named columns are read.
+    A null or empty text has none. Repeated rows and null ids are rows like any other; whole texts are read in time linear in their
+    length; an empty table gives no rows. Only the two named columns are read.
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model.chance)
@@ -258,7 +259,9 @@ def masked(text: str, spans: list[Span]) -> str:
 
 
 def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with all columns and rows, the personal data in the text masked; a null text stays null."""
+    """docs with all columns and rows, the personal data in the text masked; a null text stays null.
+
+    Empty texts stay as they are, repeated rows are masked alike, very long texts are masked whole, and an empty table stays empty."""
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model.chance)
 

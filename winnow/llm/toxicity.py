@@ -158,7 +158,9 @@ def with_score(docs: DataFrame, model: Model, name: str, text: str = "text") ->
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score in 0..1 and predicted (1 from 0.7 up). Only the two named columns are read."""
+    """One row per row of docs: doc_id, held_out, score in 0..1 and predicted (1 from 0.7 up, 0.7 itself included). Only the two named columns are read.
+
+    Repeated rows get equal scores, null ids count as the empty text for held_out, and an empty table gives no rows."""
     raw = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return with_score(raw, model, "score").select(
         "doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -82,7 +82,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url: str =
     """One row per row of pages: page_id, host, path, rule, verdict, and decided_by (rule or trees).
 
     The longest fitting rule decides; otherwise the trees do. Null and malformed URLs have an empty host and path, fit no
-    rule and go to the trees. Where no URL of the table is decided by a rule, everything else is allowed.
+    rule and go to the trees. Where no URL of the table is decided by a rule, everything else is allowed. Repeated rows get equal
+    verdicts, null ids are kept, a very long URL is read whole, and an empty table gives no rows. Only the two named columns are read,
+    so that no other name can clash.
     """
     prepare(pages.sparkSession)
     host, path = host_and_path(F.col("url"))

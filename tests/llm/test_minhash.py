@@ -93,7 +93,7 @@ def test_bundles_of_a_hot_group_stay_small(docs, monkeypatch):
     rows = [(i, " ".join(f"c{j}" for j in range(9 * i, 9 * i + 150))) for i in rng.permutation(40).tolist()]
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(rows)).collect()}
     assert got == {i: c for i, _, c in brute(rows, 5, 80, 100)} and set(got.values()) == {0}
-    assert [key for key, _, _ in seen] == ["key", "key", "key", "component"] and all(weight == size for _, weight, size in seen)
+    assert [key for key, _, _ in seen] == ["key", "key", "component"] and all(weight == size for _, weight, size in seen)
 
 
 def test_sets_travel_about_once(docs, monkeypatch):
@@ -123,7 +123,7 @@ def test_sets_travel_about_once(docs, monkeypatch):
         rows.append((i, " ".join(own)))
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs(rows)).collect()), key=str)
     assert got == brute(rows, 5, 80, 100)
-    assert sum(moved) < 6 * len(rows)  # all blocks with all would be 15 a set
+    assert sum(moved) < 7 * len(rows)  # all blocks with all would be 15 a set
 
 
 def test_survivors(docs):

@@ -7,15 +7,17 @@ equal) under the known set sizes drops a candidate only if a similarity at the t
 question; what remains is confirmed on the full shingle sets.
 
 Nothing is emitted per pair. Documents with equal sets are one class. A bucket of a band is compared in blocks of
-at most BLOCK classes and yields the spanning edges of its possible links. Full sets first meet along these edges only, every class
-beside one other, so that a set travels about once however large its group; true links contract to parts. A bucket whose spanning
-edges all turned out true, or inside parts, is done. In the others possible links between different parts are listed
-again, and what they connect is compared on full sets in blocks, the largest part of a group only with the rest of it.
+at most BLOCK classes and yields the spanning edges of its possible links, and for every class the edge with the most equal
+registers. Full sets first meet along one edge a class, so that a set travels about once however large its group; true links
+contract to parts. A bucket whose spanning edges all lie inside parts is done. In the others possible links between
+different parts are listed again, and what they connect is compared on full sets in blocks, the largest part of a group
+only with the rest of it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,7 @@ RATE = 20.0
 TOP = (1 << 16) - 2
 BLOCK = 1024
 BLOCK_SHINGLES = 400_000
+SURPLUS = 0.05  # by which the share of equal registers of a hub must exceed the similarity asked for
 STAR_SHINGLES = 2_000_000  # shingles of the classes that meet a copy of the set at the other end of their edges
 SURE = 12.0  # log likelihood ratio against the threshold from which a candidate is dropped
 
@@ -141,29 +144,47 @@ def _sets(k: int):
     return scan
 
 
-def _edges(rows: pd.DataFrame, keys: list[str], link, named: bool = False) -> pd.DataFrame:
-    """Spanning edges of all blocks in rows, with the first key if named; link(left, right) gives the links of two frames as a matrix."""
+def _edges(rows: pd.DataFrame, keys: list[str], link, likeliest: bool = False) -> pd.DataFrame:
+    """Spanning edges of all blocks in rows; link(left, right) gives the links of two frames as a matrix.
+
+    With likeliest, link also gives the numbers of equal registers, and the edges are named by the first key and come with that number; after
+    them, with no key, every row's edge with the most equal registers.
+    """
     rows = rows.sort_values([*keys, "digest"], kind="stable").reset_index(drop=True)
     digest, block = rows["digest"].to_numpy(), rows["block"].to_numpy()
-    a, b, of = [], [], []
+    out: list[tuple] = []
     for start, stop in runs([rows[c].to_numpy() for c in keys]):
         part = rows.iloc[start:stop]
         ids, own = digest[start:stop], block[start:stop]
         i, j = part["i"].iat[0], part["j"].iat[0]
+        left, right = (own == i, own == j) if i != j else (np.ones(len(ids), bool),) * 2
+        if len(ids) < 2 or not left.any() or not right.any():
+            continue
+        found = link(part[left], part[right]) if i != j else link(part, part)
+        linked, same = found if likeliest else (found, None)
+        a, b = ids[left], ids[right]
         if i == j:
-            if len(ids) > 1:
-                label = spanning(link(part, part))
-                moved = np.flatnonzero(label != np.arange(len(label)))
-                a += ids[moved].tolist()
-                b += ids[label[moved]].tolist()
+            label = spanning(linked)
+            edges = [(x, int(label[x])) for x in np.flatnonzero(label != np.arange(len(label))).tolist()]
         else:
-            left, right = own == i, own == j
-            if left.any() and right.any():
-                for x, y in bipartite(link(part[left], part[right])):
-                    a.append(ids[left][x])
-                    b.append(ids[right][y])
-        of += [rows[keys[0]].iat[start]] * (len(a) - len(of))
-    return pd.DataFrame({"a": a, "b": b} | ({keys[0]: of} if named else {}))
+            edges = bipartite(linked)
+        if not likeliest:
+            out += [(a[x], b[y]) for x, y in edges]
+            continue
+        key = part[keys[0]].iat[0]
+        # from the larger to the smaller digest, so that the classes of a group choose the same hub
+        out += [(max(a[x], b[y]), min(a[x], b[y]), key, int(same[x, y])) for x, y in edges]
+        score = np.where(linked, same, -1)
+        if i == j:
+            np.fill_diagonal(score, -1)  # a row is no partner of its own
+        for names, others, m in ((a, b, score),) if i == j else ((a, b, score), (b, a, score.T)):
+            best = m.argmax(1)
+            out += [(names[x], others[best[x]], None, int(m[x, best[x]])) for x in np.flatnonzero(m.max(1) >= 0).tolist()]
+    if not likeliest:
+        return pd.DataFrame(out, columns=["a", "b"])
+    a, b, key, same = zip(*out) if out else ((),) * 4
+    # a column of numbers and nulls must not become one of doubles
+    return pd.DataFrame({"a": a, "b": b, keys[0]: pd.array(key, dtype="Int64"), "same": pd.array(same, dtype="Int32")})
 
 
 def _possible(least: float):
@@ -182,32 +203,7 @@ def _possible(least: float):
 
 def _possible_edges(least: float):
     link = _possible(least)
-    return lambda rows: _edges(rows, ["key", "i", "j"], lambda left, right: link(left, right)[0], named=True)
-
-
-def _best_edges(least: float):
-    """For every row with a possible link in a cell, the one with the most equal registers."""
-    link = _possible(least)
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["key", "i", "j", "digest"], kind="stable").reset_index(drop=True)
-        found = []
-        for start, stop in runs([rows[c].to_numpy() for c in ("key", "i", "j")]):
-            part = rows.iloc[start:stop]
-            cells = [(part, part)]
-            if part["i"].iat[0] != part["j"].iat[0]:
-                cells = [(part[part["block"] == part["i"]], part[part["block"] == part["j"]])]
-                cells.append(cells[0][::-1])
-            for left, right in cells:
-                if len(left) and len(right):
-                    out, same = link(left, right)
-                    same = np.where(out, same, -1)
-                    best = same.argmax(1)
-                    has = np.flatnonzero(out.any(1))
-                    found += zip(left["digest"].to_numpy()[has].tolist(), right["digest"].to_numpy()[best[has]].tolist(), same[has, best[has]].tolist())
-        return pd.DataFrame(found, columns=["a", "b", "same"])
-
-    return work
+    return lambda rows: _edges(rows, ["key", "i", "j"], link, likeliest=True)
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -366,42 +362,36 @@ def _groups(docs: DataFrame, k: int, num: int, den: int, text: str, doc_id: str)
     met = met.withColumn("blocks", F.ceil(F.col("size") / BLOCK))
     traits = classes.select("digest", "registers", "n")
     grid = _grid(met, "blocks").join(traits, "digest").select("key", "i", "j", "block", "digest", "registers", "n")
-    edge = f"a binary, b binary, key {dict(met.dtypes)['key']}"
+    edge = f"a binary, b binary, key {dict(met.dtypes)['key']}, same int"
     found = cut(_bundle(grid, "key", _weight(met, F.col("blocks")), 20_000, _possible_edges(least), edge))
+    # one edge for every class: to a hub that looks similar enough, of which a whole group may be; otherwise to the likeliest partner
+    hub = F.col("key").isNotNull() & (F.col("same") >= math.ceil((least + SURPLUS) * REGISTERS))
+    pick = cut(found.groupBy("a").agg(F.coalesce(F.min(F.when(hub, F.col("b"))), F.max_by("b", F.struct("same", "b"))).alias("b")))
+    if pick.isEmpty():
+        return rows, classes, components(spark.createDataFrame([], "a binary, b binary"))
 
     # full sets of the classes at these edges
-    ends = found.select(F.col("a").alias("digest")).union(found.select("b")).distinct()
+    ends = pick.select(F.col("a").alias("digest")).union(pick.select("b")).distinct()
     wanted = cut(classes.join(ends, "digest").select("digest", F.col("one.doc_id").alias("w_id"), F.col("one.at").alias("w_at")))
     near = with_maybe(named, "at", sieve(wanted, "w_at"), "maybe").where("maybe")
     sets = cut(near.join(wanted, near["doc_id"].eqNullSafe(wanted["w_id"]) & (near["at"] == wanted["w_at"]), "left_semi").select("text").mapInArrow(
         _sets(k), "digest binary, n bigint, shingles binary"), "none")
-
-    # along one spanning edge of every class, to the least of its hubs
-    pick = cut(found.groupBy("a").agg(F.min("b").alias("b")))
-    if pick.isEmpty():
-        return rows, classes, components(spark.createDataFrame([], "a binary, b binary"))
     true = cut(_along(pick, sets, num, den))
     parts = components(true)
 
-    # buckets with a spanning edge between parts: first every class meets its likeliest link to another part
+    # buckets with a spanning edge between parts
+    found = found.where("key is not null").select("a", "b", "key")
+
     def across(parts: DataFrame, keys: DataFrame) -> tuple[DataFrame, int]:
         rest = cut(_with_part(met.join(keys, "key", "left_semi"), parts, "digest"))
         return _grid(rest, "blocks").join(traits, "digest").select("key", "i", "j", "block", "digest", "part", "registers", "n"), _weight(rest, F.col("blocks"))
 
+    # all that possible links between parts connect is compared on full sets
     keys = cut(_apart(found, parts).select("key").distinct())
     if keys.isEmpty():
         return rows, classes, parts
     cells, weight = across(parts, keys)
-    best = _bundle(cells, "key", weight, 20_000, _best_edges(least), "a binary, b binary, same int")
-    true = true.unionByName(cut(_along(cut(best.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b"))), sets, num, den)))
-    parts = components(true)
-
-    # then all that possible links between parts connect is compared on full sets
-    keys = cut(_apart(found, parts).select("key").distinct())
-    if keys.isEmpty():
-        return rows, classes, parts
-    cells, weight = across(parts, keys)
-    groups = components(_bundle(cells, "key", weight, 20_000, _possible_edges(least), edge).select("a", "b"))
+    groups = components(_bundle(cells, "key", weight, 20_000, _possible_edges(least), edge).where("key is not null").select("a", "b"))
     members = groups.select("component", F.col("node").alias("digest")).join(sets.select("digest", "n").distinct(), "digest")
     placed = cut(_part_grid(_with_part(members, parts, "digest")))
     more = _bundle(sets.join(placed.drop("n"), "digest").select("component", "i", "j", "block", "digest", "n", "shingles"),

@@ -243,6 +243,12 @@ def test_prompts_hold_valid_json(spark):
     items = ['say "hi"', "back\\slash", "tab\t", "plain"]
     got = spark.createDataFrame([(items,)], "a array<string>").select(json_list(F.col("a")).alias("j")).first()["j"]
     assert json.loads(got) == items and got.count('", "') == 3
+    lists = [[], ["a"], ["a", "b, c"], ['x",', "y"], ["", ""], ["é", "\u0001"], ["end\\", "next"], ["it's", "new\nline"]]
+    rows = spark.createDataFrame(list(enumerate(lists)), "i int, a array<string>").select("i", json_list(F.col("a")).alias("j")).collect()
+    assert {r["i"]: json.loads(r["j"]) for r in rows} == dict(enumerate(lists))
+    assert {r["i"]: r["j"] for r in rows} == {i: json.dumps(x, ensure_ascii=False) for i, x in enumerate(lists)}
+    none = spark.createDataFrame([(None,), (["a", None],)], "a array<string>").select(json_list(F.col("a")).alias("j")).collect()
+    assert [r["j"] for r in none] == [None, '["a", null]']
 
 
 def test_draws_cover_every_interval_and_do_not_depend_on_partitions(spark):

@@ -35,8 +35,14 @@ def uniform(seed: int | str, *columns: Column | str) -> Column:
 
 
 def json_list(column: Column) -> Column:
-    """A JSON list of strings with ', ' between items; quotes, backslashes and control characters are escaped."""
-    return F.concat(F.lit("["), F.array_join(F.transform(column, lambda x: json_text(x)), ", "), F.lit("]"))
+    """A JSON list of strings with ', ' between items; quotes, backslashes and control characters are escaped.
+
+    Items are escaped one by one only in rows that need it; most lists are one join of their items.
+    """
+    each = F.concat(F.lit("["), F.array_join(F.transform(column, lambda x: json_text(x)), ", "), F.lit("]"))
+    plain = ~F.array_join(column, "").rlike(r'["\\\x00-\x1f]') & ~F.exists(column, lambda x: x.isNull())
+    joined = F.when(F.size(column) == 0, F.lit("[]")).otherwise(F.concat(F.lit('["'), F.array_join(column, '", "'), F.lit('"]')))
+    return F.when(F.coalesce(plain, F.lit(False)), joined).otherwise(each)
 
 
 def json_text(column: Column | str) -> Column:

@@ -10,7 +10,8 @@ from workload import all_queries, all_sql
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CHECKED = ["src_partition_leaks", "hist_strict_history", "met_ranking_summary", "obs_group_advantages", "acq_rank_acquisition",
-           "grf_legal_layout", "vec_signed_units", "sel_refill", "fro_proposal_menu", "smp_root_reservoir"]
+           "grf_legal_layout", "vec_signed_units", "sel_refill", "fro_proposal_menu", "smp_root_reservoir", "sel_quota_utility", "src_lines_pushed",
+           "src_encode_table", "vec_farthest_first"]
 PLANNED = ["hist_next_item_task", "met_ranking_per_query", "smp_weighted_draws", "obs_corrected_estimate", "grf_restricted_logprob",
            "sel_concentration", "fro_executable_distribution", "vec_nominate_rows"]
 

@@ -4,7 +4,6 @@ import itertools
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from winnow.operators import acquire as A
 from winnow.operators import frontier as P

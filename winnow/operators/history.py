@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions.keys import json_array, json_list, json_text, seeded, stable_bucket
 from winnow.plans.cut import cut
-from winnow.plans.ordered import last_items, top_per_group, with_group, with_previous, with_row_number
+from winnow.plans.ordered import last_items, top_per_group, with_previous, with_row_number
 from winnow.schemas import MASKED
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from winnow.functions.keys import seeded, uniform
 from winnow.plans.cut import cut
-from winnow.plans.ordered import top_per_group, with_group, with_running_sum
+from winnow.plans.ordered import top_per_group, with_running_sum
 
 SMALL = 100_000
 

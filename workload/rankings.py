@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from winnow.functions.keys import stable_bucket
 from winnow.operators import ranking as M
 from winnow.operators import sampling as S
 from winnow.operators.history import with_history

@@ -122,7 +122,7 @@ def components(edges: DataFrame) -> DataFrame:
     return cut(label.select(F.col("v").alias("node"), F.col("p").alias("component")))
 
 
-SIEVE_BITS = 1 << 26  # 8 MB whatever the number of members
+SIEVE_BITS = 1 << 24  # 2 MB whatever the number of members
 _PAGE = 1 << 15  # bits of a row of a sieve
 
 
